@@ -161,6 +161,17 @@ def _merge(node: int, items: pa.StructArray, sizes: np.ndarray, starts: np.ndarr
     return pa.table([pa.array(np.full(n, node)), pa.array(np.arange(n)), pa.array(fill), pa.array(done), lists], names=BIN_SCHEMA.names)
 
 
+def _round(capacity: int, slack: int, carry: int):
+    """Packs the underfull bins of several nodes as items of their parent."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        lists = group["items"].combine_chunks()
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        return _merge(key[0].as_py(), lists.flatten(), group["fill"].to_numpy(), starts, capacity, slack, carry)
+
+    return run
+
+
 def pack(
     pieces: DataFrame,
     *,
@@ -197,13 +208,8 @@ def pack(
             break
         nodes, level = groups_for(nodes, fan_in), level + 1
 
-        def inner(key: tuple[pa.Scalar, ...], group: pa.Table, last=nodes == 1) -> pa.Table:
-            lists = group["items"].combine_chunks()
-            starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-            return _merge(key[0].as_py(), lists.flatten(), group["fill"].to_numpy(), starts, capacity, capacity if last else slack, max_carry)
-
         up = bins.filter("not done").select((F.col("node") % nodes).alias("node"), "fill", "items")
-        bins = up.groupBy("node").applyInArrow(inner, BIN_SCHEMA)
+        bins = up.groupBy("node").applyInArrow(_round(capacity, capacity if nodes == 1 else slack, max_carry), BIN_SCHEMA)
     packed = functools.reduce(DataFrame.unionAll, ready) if ready else spark.createDataFrame([], "sequence_id long, items array<int>")
     return packed.select("sequence_id", F.inline("items")).select(*names, "sequence_id", "offset")
 

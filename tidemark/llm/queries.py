@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import packing
+from tidemark.llm import flac, packing
 from tidemark.llm.common import table
 
 
@@ -12,8 +13,39 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as 8-bit FLAC, read back, with features of the samples."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    size = F.greatest(F.lit(1), F.ceil(F.length("raw") / 192)) * 192
+    padded = F.concat("raw", F.encode(F.repeat(F.lit(" "), (size - F.length("raw")).cast("int")), "UTF-8"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    stored = flac.encode(texts.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), padded.alias("payload")))
+    read = flac.decode(stored)
+    tail = F.expr("substring(pcm, -16)")
+    frames = F.size("blocks")
+    feature = F.format_string(
+        "blocks=%d;last_offset=%d;rate_permille=%d;mean_block_bytes=%d",
+        frames,
+        F.element_at("blocks", -1)["sample_offset"],
+        F.floor(F.length("media") * 1000 / F.length("pcm")),
+        F.floor(F.length("media") / frames),
+    )
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("pcm").cast("long").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+        "ok",
+    )
+
+
 QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_flac_media": op10_flac_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}

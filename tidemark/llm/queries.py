@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import flac, packing
+from tidemark.llm import flac, language_id, license_scan, packing, secret_scan
 from tidemark.llm.common import table
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from two thirds of the documents, label all of them."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = language_id.fit(docs.filter(remainder != 1))
+    found = language_id.label(docs, model)
+    return found.select("doc_id", (remainder == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates with the forest's decision; the value itself is given as a digest only."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "ordinal", "start", "n_chars", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -44,6 +63,9 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_language_id": op5_language_id,
+    "op7_license_scan": op7_license_scan,
+    "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_flac_media": op10_flac_media,
 }

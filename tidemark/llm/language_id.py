@@ -178,44 +178,62 @@ def viterbi(scores: np.ndarray, per_doc: np.ndarray, switch: float = SWITCH) ->
     return best
 
 
+_SPAN = pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())])
+
+
+def _label(texts: pa.Array, model: Model, switch: float) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Language, score and spans of each text of an array."""
+    langs = np.array([*model.langs, UNKNOWN], object)
+    width = max(1, len(model.langs))
+    words = words_of_texts(texts)
+    has_letter = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    per_doc = words.per_doc()
+    if model.langs:
+        scores, lettered = _emissions(words, model)
+        best = viterbi(scores, per_doc, switch).astype(np.int64)
+    else:
+        best, lettered = np.zeros(len(words.start), np.int64), np.zeros(len(words.start), bool)
+    weight = np.bincount(words.doc * width + best, lettered, len(texts) * width).reshape(-1, width)
+    total = weight.sum(axis=1)
+    und = ~has_letter | (not model.langs)
+    pred = np.where(und, len(model.langs), weight.argmax(axis=1))
+    score = np.where(und, 0.0, np.where(total > 0, weight.max(axis=1) / np.maximum(total, 1), 1 / width))
+    turn = np.diff(best) != 0
+    turn |= np.diff(words.doc) != 0
+    runs = np.flatnonzero(np.append(True, turn)) if len(best) else np.empty(0, np.int64)
+    ends = np.append(runs[1:], len(best))[: len(runs)]
+    kept = ~und[words.doc[runs]]
+    runs, ends = runs[kept], ends[kept]
+    owner = words.doc[runs]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+    first = np.cumsum(per_doc) - per_doc
+    spans = pa.StructArray.from_arrays([pa.array(langs[best[runs]], pa.string()), pa.array(runs - first[owner]), pa.array(ends - runs)], fields=list(_SPAN))
+    return langs[pred], score, pa.ListArray.from_arrays(pa.array(bounds), spans)
+
+
 def label(docs: DataFrame, model: Model, *, switch: float = SWITCH) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of each row; spans are runs of words of one language.
 
     ``lang_pred`` has the most words with letters, ``score`` is their share.
     """
-    span = pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())])
-    langs = np.array([*model.langs, UNKNOWN], object)
-    width = max(1, len(model.langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in slices(batch["text"], 8_000_000):
-                words = words_of_texts(texts)
-                has_letter = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
-                per_doc = words.per_doc()
-                if model.langs:
-                    scores, lettered = _emissions(words, model)
-                    best = viterbi(scores, per_doc, switch).astype(np.int64)
-                else:
-                    best, lettered = np.zeros(len(words.start), np.int64), np.zeros(len(words.start), bool)
-                weight = np.bincount(words.doc * width + best, lettered, len(texts) * width).reshape(-1, width)
-                total = weight.sum(axis=1)
-                und = ~has_letter | (not model.langs)
-                pred = np.where(und, len(model.langs), weight.argmax(axis=1))
-                score = np.where(und, 0.0, weight.max(axis=1) / np.maximum(total, 1))
-                score[~und & (total == 0)] = 1 / width
-                runs = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(words.doc, prepend=-1) != 0))
-                runs = runs[~und[words.doc[runs]]]
-                owner = words.doc[runs]
-                ends = np.flatnonzero((np.diff(best, append=-1) != 0) | (np.diff(words.doc, append=-1) != 0)) + 1
-                ends = ends[~und[words.doc[ends - 1]]]
-                first_of_doc = np.cumsum(per_doc) - per_doc
-                bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-                spans = pa.StructArray.from_arrays([pa.array(langs[best[runs]], pa.string()), pa.array(runs - first_of_doc[owner]), pa.array(ends - runs)], fields=list(span))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, len(texts)), pa.array(langs[pred], pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans)],
-                    names=["doc_id", "lang_pred", "score", "spans"],
-                )
+                lang, score, spans = _label(texts, model, switch)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(texts)), pa.array(lang, pa.string()), pa.array(score), spans], names=["doc_id", "lang_pred", "score", "spans"])
 
     schema = "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first_word: long, n_words: long>>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, model: Model, *, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
+    """``docs``, all columns, without texts that have no language or none in ``least`` of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, texts in slices(batch["text"], 8_000_000):
+                lang, score, _ = _label(texts.cast(pa.string()), model, switch)
+                yield batch.slice(a, len(texts)).filter(pa.array((lang != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import flac, language_id, license_scan, packing, secret_scan
+from tidemark.llm import flac, jaccard_join, language_id, license_scan, packing, secret_scan
 from tidemark.llm.common import table
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from two thirds of the documents, label all of them."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +67,7 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_language_id": op5_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_secret_scan": op8_secret_scan,

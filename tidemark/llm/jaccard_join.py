@@ -16,6 +16,8 @@ How the work is laid out:
   elements are counted over all texts and kept in a table of bounded size.
 * Postings travel as packed arrays, a row for each (batch of texts, bucket of
   keys), so that Spark shuffles megabytes and not hundreds of millions of rows.
+* How many prefix elements two heavy sets share bounds their overlap from above
+  (`plausible`), so the sets themselves are fetched for few pairs only.
 * Links only have to connect groups.  Each class is first compared with the
   class of its lists that is in most lists; what is linked then is one
   component, and only pairs of different components are compared further, all
@@ -37,7 +39,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tidemark.llm.common import materialise
 from tidemark.llm.words import Words, mix, slices, word_hashes, words_of_texts
@@ -52,6 +53,9 @@ FREQUENT_ELEMENTS = 1_000_000
 FILTER_BITS = 1 << 26
 #: Bytes kept of an element's hash for comparing two sets.
 KEPT = 5
+#: A shared list of a subset of elements counts as so many keys: it is always worth a comparison.
+SUBSET = 1 << 40
+_SUBSET_BIT = 1 << 31
 _U = np.uint64
 _HALF = _U(1 << 63)
 
@@ -219,8 +223,8 @@ def _pairs_of(p: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(p, 1)
 
 
-def _keys(sets: Sets, frequent: np.ndarray, modulus: int, light: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each posting."""
+def _keys(sets: Sets, frequent: np.ndarray, modulus: int, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, is it a subset's key) of each posting."""
     v, owner, sizes = sets.values, sets.owner, sets.sizes
     often = np.zeros(len(v), bool)
     if len(frequent):
@@ -248,22 +252,24 @@ def _keys(sets: Sets, frequent: np.ndarray, modulus: int, light: int) -> tuple[n
         i, j = _pairs_of(p)
         keys.append(mix(first[:, i] * _U(0xD1342543DE82EF95) + first[:, j]).ravel())
         rows.append(np.repeat(own, len(i)))
-    return np.concatenate(rows), np.concatenate(keys)
+    row = np.concatenate(rows)
+    return row, np.concatenate(keys), np.arange(len(row)) >= len(at)
 
 
 def shared_lists(docs: DataFrame, frequent: np.ndarray, light: int, buckets: int) -> DataFrame:
-    """(list, class, size): the classes that stand in one list, for lists of two or more.
+    """(list, class, size, keys): the classes that stand in one list, for lists of two or more.
 
-    Lists of the same classes are one list.
+    Lists of the same classes are one list of as many ``keys``; a list of a
+    subset of elements counts as ``SUBSET`` keys.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, names = _classes_of(batch["text"])
-            rows, keys = _keys(sets, known.value, buckets << 32, light)
+            rows, keys, subset = _keys(sets, known.value, buckets << 32, light)
             low = ((keys // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)
-            yield _by_bucket((keys % _U(buckets)).astype(np.int64), [low, names[rows], sets.sizes[rows].astype(np.uint32)], buckets)
+            yield _by_bucket((keys % _U(buckets)).astype(np.int64), [low, names[rows], sets.sizes[rows].astype(np.uint32) | np.where(subset, _SUBSET_BIT, 0).astype(np.uint32)], buckets)
 
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         low, name, size = _unpack(group, "c0", np.uint32), _unpack(group, "c1", np.int64), _unpack(group, "c2", np.uint32)
@@ -278,24 +284,29 @@ def shared_lists(docs: DataFrame, frequent: np.ndarray, light: int, buckets: int
         low, name, size = low[new], name[new], size[new]
         edges = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.empty(0, np.int64)
         n = np.diff(np.append(edges, len(low)))
-        label = np.add.reduceat(mix(name.view(np.uint64)), edges) if len(edges) else np.empty(0, np.uint64)
-        _, first = np.unique(label, return_index=True)
-        good = np.zeros(len(edges), bool)
-        good[first] = n[first] > 1
-        kept = np.repeat(good, n)
-        return pa.table([pa.array(np.repeat(label, n)[kept].view(np.int64)), pa.array(name[kept]), pa.array(size[kept].astype(np.int64))], names=["list", "class", "size"])
+        subset = np.logical_or.reduceat(size >= _SUBSET_BIT, edges) if len(edges) else np.empty(0, bool)
+        label = mix(np.add.reduceat(mix(name.view(np.uint64)), edges) + subset.astype(np.uint64)) if len(edges) else np.empty(0, np.uint64)
+        _, first, times = np.unique(label, return_index=True, return_counts=True)
+        keys = np.zeros(len(edges), np.int64)
+        keys[first] = np.where(subset[first], SUBSET, times) * (n[first] > 1)
+        kept = np.repeat(keys > 0, n)
+        columns = [np.repeat(label, n)[kept].view(np.int64), name[kept], (size[kept] & (_SUBSET_BIT - 1)).astype(np.int64), np.repeat(keys, n)[kept]]
+        return pa.table([pa.array(c) for c in columns], names=["list", "class", "size", "keys"])
 
-    lists = _texts(docs).mapInArrow(spread, "bucket long, c0 binary, c1 binary, c2 binary").groupBy("bucket").applyInArrow(meet, "list long, class long, size long")
-    return lists.dropDuplicates(["list", "class"])
+    packed = _texts(docs).mapInArrow(spread, "bucket long, c0 binary, c1 binary, c2 binary")
+    lists = packed.groupBy("bucket").applyInArrow(meet, "list long, class long, size long, keys long")
+    return lists.groupBy("list", "class").agg(F.max("size").alias("size"), F.sum("keys").alias("keys"))
 
 
-def sets_of_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, elements) of the classes in ``wanted``; elements are packed, ascending, ``KEPT`` bytes each.
+def sets_of_classes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, elements, is_a, is_b) of the classes in ``pairs``; elements are packed, ascending, ``KEPT`` bytes each.
 
     A filter of fixed size, set from all wanted classes, keeps most other texts'
     sets from being shuffled; those that slip through are dropped by the join.
     """
     spark = docs.sparkSession
+    sides = pairs.select(F.col("a").alias("class"), F.lit(True).alias("is_a")).unionAll(pairs.select("b", F.lit(False)))
+    wanted = materialise(sides.groupBy("class").agg(F.bool_or("is_a").alias("is_a"), F.bool_or(~F.col("is_a")).alias("is_b")), "jaccard-wanted")
     bit = F.pmod(F.col("class"), F.lit(FILTER_BITS))
     marks = wanted.groupBy((bit / 64).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(pmod(class, {FILTER_BITS}), 64) as int)))").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.int64)
@@ -313,7 +324,7 @@ def sets_of_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(packed, pa.binary())], names=["class", "elements"])
 
     found = _texts(docs).mapInArrow(run, "class long, elements binary")
-    return found.join(wanted.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements"))
+    return found.join(wanted, "class").groupBy("class", "is_a", "is_b").agg(F.first("elements").alias("elements"))
 
 
 def _sorted_low(sets: Sets) -> np.ndarray:
@@ -343,8 +354,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(BELOW * common >= ABOVE * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
-    both = one.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
+    one = pairs.join(sets.filter("is_b").select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
+    both = one.join(sets.filter("is_a").select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -376,27 +387,38 @@ def _with_components(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
-    """Each class with the class that is in most lists, of those in its lists whose size fits."""
+    """Each class with a class that is in most lists: of those in its lists, the one it shares most keys with."""
     degree = lists.groupBy("class").agg(F.count("*").alias("degree"))
     ranked = lists.join(degree, "class")
-    rank = F.struct("degree", "class", "size", "component")
-    hubs = ranked.groupBy("list").agg(F.max(rank).alias("hub"))
+    hubs = ranked.groupBy("list").agg(F.max(F.struct("degree", "class", "size", "component")).alias("hub"))
     near = ranked.join(hubs, "list").filter((F.col("hub.component") != F.col("component")) & _fits("size", "hub.size"))
-    best = near.groupBy("class").agg(F.max("hub").alias("hub"))
-    return best.select(F.col("hub.class").alias("a"), F.col("class").alias("b"))
+    met = near.groupBy("class", "size", F.col("hub.class").alias("a"), F.col("hub.size").alias("m")).agg(F.sum("keys").alias("keys"))
+    best = met.filter(plausible("size", "m")).groupBy("class").agg(F.max(F.struct("keys", "a")).alias("best"))
+    return best.select("best.a", F.col("class").alias("b"))
 
 
 def _fits(x: str, y: str):
     return BELOW * F.least(x, y) >= ABOVE * F.greatest(x, y)
 
 
+def plausible(x: str, y: str):
+    """Can sets of sizes ``x`` and ``y`` that share ``keys`` prefix elements link?
+
+    Of the set whose prefix ends first all shared elements in the prefix are
+    known, so the overlap is at most ``keys`` and the rest of that set.
+    """
+    rest = F.ceil(F.greatest(x, y) * (ABOVE / BELOW)) - 1
+    return (ABOVE + BELOW) * (F.col("keys") + rest) >= ABOVE * (F.col(x) + F.col(y))
+
+
 def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of classes of different components that share a list and whose sizes fit."""
+    """All pairs of classes of different components that can link, by the keys they share."""
     groups = lists.select("list", "component").distinct()
     met = groups.join(groups.withColumnRenamed("component", "other"), "list").filter("component < other")
-    left = lists.select("list", "component", F.col("class").alias("a"), F.col("size").alias("n"))
+    left = lists.select("list", "component", F.col("class").alias("a"), F.col("size").alias("n"), "keys")
     right = lists.select("list", F.col("component").alias("other"), F.col("class").alias("b"), F.col("size").alias("m"))
-    return met.join(left, ["list", "component"]).join(right, ["list", "other"]).filter(_fits("n", "m")).select("a", "b").distinct()
+    pairs = met.join(left, ["list", "component"]).join(right, ["list", "other"]).filter(_fits("n", "m"))
+    return pairs.groupBy("a", "b", "n", "m").agg(F.sum("keys").alias("keys")).filter(plausible("n", "m")).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, known: DataFrame, *, buckets: int, rounds: int = 2) -> DataFrame | None:
@@ -407,7 +429,6 @@ def similar_classes(docs: DataFrame, known: DataFrame, *, buckets: int, rounds:
     lists = materialise(shared_lists(docs, frequent, light, buckets), "jaccard-lists")
     if lists.isEmpty():
         return None
-    sets = materialise(sets_of_classes(docs, lists.select("class")), "jaccard-sets")
     labels, links, tested = None, [], []
     for turn in range(rounds + 1):
         lists = materialise(_with_components(lists, labels), f"jaccard-lists{turn}")
@@ -417,7 +438,10 @@ def similar_classes(docs: DataFrame, known: DataFrame, *, buckets: int, rounds:
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = materialise(pairs, f"jaccard-pairs{turn}")
+        if pairs.isEmpty():
+            continue
         tested.append(pairs)
+        sets = materialise(sets_of_classes(docs, pairs), f"jaccard-sets{turn}")
         links.append(materialise(linked(pairs, sets), f"jaccard-links{turn}"))
         if not links[-1].isEmpty():
             labels = components(functools.reduce(DataFrame.unionAll, links))

@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import flac, jaccard_join, language_id, license_scan, packing, secret_scan
+from tidemark.llm import flac, jaccard_join, language_id, license_scan, nearest, packing, pitman_yor, secret_scan, sentencepiece_lattice, tool_calls
 from tidemark.llm.common import table
 
 
+def op1_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from six sevenths of the documents, score all of them."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out")))
+
+
+def op2_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text, decode it again, and say whether the text came back."""
+    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = sentencepiece_lattice.decode(encoded)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.replace("text", F.lit(sentencepiece_lattice.SPACE), F.lit(" "))).alias("round_trip"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, read as calls (user turns) and results (the replies)."""
+    calls, results = tool_calls.calls_of_chat(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.REPLY).drop("errors")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from two thirds of the documents, label all of them."""
     docs = table(spark, sf_dir, "documents")
@@ -22,6 +41,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -67,8 +90,12 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pitman_yor_scores": op1_pitman_yor_scores,
+    "op2_sentencepiece_lattice": op2_sentencepiece_lattice,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_tool_calls": op4_tool_calls,
     "op5_language_id": op5_language_id,
+    "op6_projected_neighbours": op6_projected_neighbours,
     "op7_license_scan": op7_license_scan,
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,

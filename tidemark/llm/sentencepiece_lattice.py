@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from tidemark.llm.words import Words, gather, slices, word_hashes
 
 SPACE = "▁"
+#: Texts of about so many bytes are encoded together.
+TEXT_BYTES = 3_000_000
 #: What a byte piece costs below the lowest score.
 BYTE_PENALTY = 10.0
 _MARK = np.frombuffer(SPACE.encode(), np.uint8)
@@ -201,7 +203,7 @@ def encode(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, part in slices(batch[text].cast(pa.string()), 16_000_000):
+            for a, part in slices(batch[text].cast(pa.string()), TEXT_BYTES):
                 flat, n = encode_texts([t or "" for t in part.to_pylist()], path)
                 bounds = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
                 lists = pa.ListArray.from_arrays(bounds, pa.array(flat.astype(np.int32)), mask=part.is_null())

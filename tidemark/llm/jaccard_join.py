@@ -223,8 +223,8 @@ def _pairs_of(p: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(p, 1)
 
 
-def _keys(sets: Sets, frequent: np.ndarray, modulus: int, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, is it a subset's key) of each posting."""
+def _keys(sets: Sets, frequent: np.ndarray, modulus: int, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, is it a subset's key, rank of the element) of each posting; a subset's rank is 0."""
     v, owner, sizes = sets.values, sets.owner, sets.sizes
     often = np.zeros(len(v), bool)
     if len(frequent):
@@ -253,49 +253,54 @@ def _keys(sets: Sets, frequent: np.ndarray, modulus: int, light: int) -> tuple[n
         keys.append(mix(first[:, i] * _U(0xD1342543DE82EF95) + first[:, j]).ravel())
         rows.append(np.repeat(own, len(i)))
     row = np.concatenate(rows)
-    return row, np.concatenate(keys), np.arange(len(row)) >= len(at)
+    ranks = np.zeros(len(row), np.int64)
+    ranks[: len(at)] = rank[at]
+    return row, np.concatenate(keys), np.arange(len(row)) >= len(at), ranks
 
 
 def shared_lists(docs: DataFrame, frequent: np.ndarray, light: int, buckets: int) -> DataFrame:
-    """(list, class, size, keys): the classes that stand in one list, for lists of two or more.
+    """(list, class, size, keys, rank): the classes that stand in one list, for lists of two or more.
 
-    Lists of the same classes are one list of as many ``keys``; a list of a
-    subset of elements counts as ``SUBSET`` keys.
+    Lists of the same classes are one list of as many ``keys``, with the lowest
+    rank that an element has in each set; a list of a subset of elements counts
+    as ``SUBSET`` keys.
     """
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, names = _classes_of(batch["text"])
-            rows, keys, subset = _keys(sets, known.value, buckets << 32, light)
+            rows, keys, subset, ranks = _keys(sets, known.value, buckets << 32, light)
             low = ((keys // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)
-            yield _by_bucket((keys % _U(buckets)).astype(np.int64), [low, names[rows], sets.sizes[rows].astype(np.uint32) | np.where(subset, _SUBSET_BIT, 0).astype(np.uint32)], buckets)
+            yield _by_bucket((keys % _U(buckets)).astype(np.int64), [low, names[rows], sets.sizes[rows].astype(np.uint32) | np.where(subset, _SUBSET_BIT, 0).astype(np.uint32), ranks.astype(np.uint32)], buckets)
 
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        low, name, size = _unpack(group, "c0", np.uint32), _unpack(group, "c1", np.int64), _unpack(group, "c2", np.uint32)
+        low, name, size, rank = (_unpack(group, f"c{i}", kind) for i, kind in enumerate((np.uint32, np.int64, np.uint32, np.uint32)))
         order = np.argsort(low, kind="stable")
         s = low[order]
         run = np.cumsum(np.append(False, s[1:] != s[:-1]))
         more = order[np.bincount(run)[run] > 1]  # keys that occur once are most of them
         more = more[np.lexsort((name[more], low[more]))]
-        low, name, size = low[more], name[more], size[more]
+        low, name, size, rank = low[more], name[more], size[more], rank[more]
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (name[1:] != name[:-1])
-        low, name, size = low[new], name[new], size[new]
+        low, name, size, rank = low[new], name[new], size[new], rank[new]
         edges = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.empty(0, np.int64)
         n = np.diff(np.append(edges, len(low)))
         subset = np.logical_or.reduceat(size >= _SUBSET_BIT, edges) if len(edges) else np.empty(0, bool)
         label = mix(np.add.reduceat(mix(name.view(np.uint64)), edges) + subset.astype(np.uint64)) if len(edges) else np.empty(0, np.uint64)
-        _, first, times = np.unique(label, return_index=True, return_counts=True)
-        keys = np.zeros(len(edges), np.int64)
-        keys[first] = np.where(subset[first], SUBSET, times) * (n[first] > 1)
-        kept = np.repeat(keys > 0, n)
-        columns = [np.repeat(label, n)[kept].view(np.int64), name[kept], (size[kept] & (_SUBSET_BIT - 1)).astype(np.int64), np.repeat(keys, n)[kept]]
-        return pa.table([pa.array(c) for c in columns], names=["list", "class", "size", "keys"])
+        big = np.repeat(n > 1, n)
+        label, subset, name, size, rank = np.repeat(label, n)[big], np.repeat(subset, n)[big], name[big], size[big] & (_SUBSET_BIT - 1), rank[big]
+        order = np.lexsort((rank, name, label))
+        label, name = label[order], name[order]
+        at = np.flatnonzero(np.append(True, (label[1:] != label[:-1]) | (name[1:] != name[:-1]))) if len(label) else np.empty(0, np.int64)
+        times = np.where(subset[order][at], SUBSET, np.diff(np.append(at, len(label))))
+        columns = [label[at].view(np.int64), name[at], size[order][at].astype(np.int64), times, rank[order][at].astype(np.int64)]
+        return pa.table([pa.array(c) for c in columns], names=["list", "class", "size", "keys", "rank"])
 
-    packed = _texts(docs).mapInArrow(spread, "bucket long, c0 binary, c1 binary, c2 binary")
-    lists = packed.groupBy("bucket").applyInArrow(meet, "list long, class long, size long, keys long")
-    return lists.groupBy("list", "class").agg(F.max("size").alias("size"), F.sum("keys").alias("keys"))
+    packed = _texts(docs).mapInArrow(spread, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
+    lists = packed.groupBy("bucket").applyInArrow(meet, "list long, class long, size long, keys long, rank long")
+    return lists.groupBy("list", "class").agg(F.max("size").alias("size"), F.sum("keys").alias("keys"), F.min("rank").alias("rank"))
 
 
 def sets_of_classes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -411,14 +416,38 @@ def plausible(x: str, y: str):
     return (ABOVE + BELOW) * (F.col("keys") + rest) >= ABOVE * (F.col(x) + F.col(y))
 
 
+def _reach(own: str, other: str):
+    """Ranks below this hold an element that a set of size ``own`` shares with one of size ``other`` if they link."""
+    return F.col(own) - F.ceil((F.col(own) + F.col(other)) * ABOVE / (ABOVE + BELOW) - F.lit(1e-9)) + 1
+
+
 def _cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of classes of different components that can link, by the keys they share."""
-    groups = lists.select("list", "component").distinct()
-    met = groups.join(groups.withColumnRenamed("component", "other"), "list").filter("component < other")
-    left = lists.select("list", "component", F.col("class").alias("a"), F.col("size").alias("n"), "keys")
-    right = lists.select("list", F.col("component").alias("other"), F.col("class").alias("b"), F.col("size").alias("m"))
-    pairs = met.join(left, ["list", "component"]).join(right, ["list", "other"]).filter(_fits("n", "m"))
-    return pairs.groupBy("a", "b", "n", "m").agg(F.sum("keys").alias("keys")).filter(plausible("n", "m")).select("a", "b")
+    """All pairs of classes of different components that can link.
+
+    They share an element in the part of each prefix that the sizes of both
+    leave, the shorter set in the first seventh.  Components meet first, by the
+    bounds of their members in a list, then members; at last all the keys that a
+    pair shares are counted.
+    """
+    bounds = [F.min("rank").alias("rank"), F.min("size").alias("least"), F.max("size").alias("most")]
+    groups = lists.groupBy("list", "component").agg(*bounds)
+    shorter = groups.withColumnsRenamed({"component": "other", "rank": "rank2", "least": "least2", "most": "most2"}).filter(F.col("rank2") < _reach("most2", "most2"))
+    met = groups.join(shorter, "list").filter(
+        (F.col("component") != F.col("other"))
+        & (F.col("most") >= F.col("least2"))
+        & (BELOW * F.col("most2") >= ABOVE * F.col("least"))
+        & (F.col("rank") < _reach("most", "least2"))
+        & (F.col("rank2") < _reach("most2", "least"))
+    )
+    left = lists.select("list", "component", F.col("class").alias("x"), F.col("size").alias("n"), F.col("rank").alias("i"))
+    right = lists.select("list", F.col("component").alias("other"), F.col("class").alias("y"), F.col("size").alias("m"), F.col("rank").alias("j"))
+    own = met.select("list", "component", "other").join(left, ["list", "component"]).join(right, ["list", "other"])
+    near = own.filter((F.col("n") >= F.col("m")) & _fits("n", "m") & (F.col("i") < _reach("n", "m")) & (F.col("j") < _reach("m", "n")))
+    pairs = materialise(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-near")
+    one = lists.select("list", F.col("class").alias("a"), F.col("size").alias("n"), "keys")
+    two = lists.select("list", F.col("class").alias("b"), F.col("size").alias("m"))
+    shared = pairs.join(one, "a").join(two, ["list", "b"]).groupBy("a", "b", "n", "m").agg(F.sum("keys").alias("keys"))
+    return shared.filter(plausible("n", "m")).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, known: DataFrame, *, buckets: int, rounds: int = 2) -> DataFrame | None:

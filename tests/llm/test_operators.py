@@ -1,0 +1,240 @@
+"""The corpus operators on small and awkward rows, against plain versions of themselves."""
+
+import hashlib
+import itertools
+import json
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, flac, jaccard_join, language_id, license_scan, nearest, packing, pitman_yor, queries, secret_scan, sentencepiece_lattice, tool_calls
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hits string, words string"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+
+
+BASE = " ".join(f"w{i}" for i in range(40))
+ROWS = [
+    (1, BASE),
+    (2, BASE.upper()),
+    (3, BASE + " tail one two"),
+    (4, " ".join(f"v{i}" for i in range(30))),
+    (5, None),
+    (6, ""),
+    (7, "  \n\t "),
+    (8, "two words"),
+    (9, "Two  WORDS"),
+    (10, "É ß naïve 漢字 ▁ x"),
+    (11, "a " * 3000),
+    (11, "a " * 3000),
+    (12, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and AAAAAAAAAAAAAAAAAAAA'),
+    (13, "Released under the MIT License. Apache License, Version 2.0; CC BY-NC 4.0 under the mit license"),
+    (14, " ".join(f"w{i}" for i in range(36)) + " x1 x2"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if t else None, "src/1", len(t or ""), "clash", "clash") for i, t in ROWS]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_jaccard_groups(spark, docs):
+    sets = {}
+    for i, t in ROWS:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    low = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            common_ = len(sets[a] & sets[b])
+            if common_ and 100 * common_ >= 75 * len(sets[a] | sets[b]):
+                low[a] = low[b] = min(low[a], low[b])
+    found = jaccard_join.similar_groups(docs).collect()
+    assert len(found) == len(ROWS)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == {(i, len(sets[i]), low[i]) for i in sets}
+    assert jaccard_join.similar_groups(empty(spark)).count() == 0
+    assert jaccard_join.first_of_groups(docs).columns == docs.columns
+
+
+def test_jaccard_brute_force_on_random_sets(spark):
+    rng = np.random.default_rng(0)
+    texts = []
+    for _ in range(40):
+        base = [f"t{x}" for x in rng.integers(0, 50, rng.integers(3, 60))]
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), max(1, len(copy) // 25)):
+                copy[at] = f"u{rng.integers(0, 9)}"
+            texts.append(copy)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} if len(t) >= 5 else {tuple(t)} for t in texts]
+    low = list(range(len(sets)))
+    for _ in range(6):
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            c = len(sets[a] & sets[b])
+            if 100 * c >= 75 * len(sets[a] | sets[b]):
+                low[a] = low[b] = min(low[a], low[b])
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.similar_groups(df).collect()} == set(enumerate(low))
+
+
+def test_license_base(spark, docs):
+    found = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert (found[13].n_base, found[13].first_word, found[13].last_word, found[13].base_labels) == (4, 1, 15, "apache-2,cc-by-nc,mit")
+    assert found[5].n_words == 0 and found[5].labels == ""
+    assert license_scan.scan(empty(spark)).count() == 0
+
+
+def test_language(spark):
+    rows = [(i, "the and with that this" if i % 2 else "der die und nicht mit", "en" if i % 2 else "de") for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, "und die der"), (2, "that this the"), (3, None), (4, ""), (5, "12 34 !"), (6, "der die und nicht mit " * 20 + "the and with that this " * 20)]
+    df = spark.createDataFrame(asked, "doc_id long, text string")
+    found = {r.doc_id: r for r in language_id.label(df, model).collect()}
+    assert [found[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["de", "en", "und", "und", "und"]
+    assert [s.lang for s in found[6].spans] == ["de", "en"] and found[6].score == 0.5
+    assert language_id.keep_known(df, model).count() == 3
+    none = language_id.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in language_id.label(df, none).collect()} == {"und"}
+
+
+def test_secrets(spark, docs):
+    found = secret_scan.scan(docs).filter("doc_id = 12").orderBy("start").collect()
+    assert [(r.is_secret, r.start) for r in found] == [(True, 9), (False, 55)]
+    assert secret_scan.scan(empty(spark)).count() == 0
+    clean = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
+    assert clean[12].text.startswith('token = "[secret]"') and clean[12].n_chars == len(clean[12].text)
+    assert secret_scan.redact(docs).count() == len(ROWS)
+
+
+def test_pitman_yor_is_a_distribution(spark):
+    rows = [(i, t, i % 3 == 0) for i, (_, t) in enumerate(ROWS)] + [(None, "null id", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    found = pitman_yor.score(df, buckets=5).collect()
+    assert len(found) == len(rows) and all(r.score < 0 for r in found)
+    want = {i: len(words(t)) + 1 for i, t, _ in rows}
+    assert all(r.n_tokens == want[r.doc_id] for r in found)
+    assert pitman_yor.score(df.limit(0), buckets=5).count() == 0
+    top = pitman_yor._top(np.eye(256) * 5, np.random.default_rng(0))
+    assert np.allclose(top.sum(axis=1), 1)
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    found = packing.best_fit_packing(docs, capacity=64).collect()
+    want = []
+    for i, t in ROWS:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        assert packing.token_ids(t, packing.default_vocabulary(), 0).tolist() == ids
+        want += [(i, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for s, n in packing.cut(len(ids), 64)]
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in found) == sorted(want)
+    for _, group in itertools.groupby(sorted(found, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        at = 0
+        for r in group:
+            assert r.offset == at
+            at += r.length
+        assert at <= 64
+
+
+def test_flac_round_trip(spark):
+    rng = np.random.default_rng(1)
+    values = [b"", b"a", b"a" * 5000, bytes(rng.integers(0, 256, 7001, np.uint8)), ("déjà vu " * 900).encode(), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, payload binary")
+    back = {r.k: r for r in flac.decode(flac.encode(df)).collect()}
+    assert all(back[i].ok and bytes(back[i].pcm) == (v or b"") for i, v in enumerate(values))
+    broken = flac.decode(spark.createDataFrame([(0, b"fLaC junk")], "k int, media binary")).first()
+    assert not broken.ok and broken.pcm is None
+
+
+def test_pieces(spark, docs):
+    path = sentencepiece_lattice.default_model()
+    pieces = sentencepiece_lattice.pieces_of(path)
+    text = {bytes(pieces.data[s : s + n]): i for i, (s, n) in enumerate(zip(pieces.start, pieces.length)) if n and i not in set(pieces.byte_ids.tolist())}
+
+    def plain(word: bytes) -> float:
+        best = [0.0] + [-1e18] * len(word)
+        for e in range(1, len(word) + 1):
+            best[e] = best[e - 1] + pieces.byte_score
+            for s in range(max(0, e - 48), e):
+                if (i := text.get(word[s:e])) is not None:
+                    best[e] = max(best[e], best[s] + pieces.scores[i])
+        return best[-1]
+
+    for t in ("hello world", "Çà et là", "漢字 and emoji 😀", "aaaa   b\n\nc"):
+        ids, n = sentencepiece_lattice.encode_texts([t], path)
+        got = sum(pieces.byte_score if i in set(pieces.byte_ids.tolist()) else pieces.scores[i] for i in ids.tolist())
+        assert abs(got - plain(("▁" + t.replace(" ", "▁")).encode())) < 1e-6 and n[0] == len(ids)
+    back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs)).collect()
+    assert all(r.decoded == (None if r.text is None else r.text.replace("▁", " ")) for r in back)
+
+
+def test_tool_calls(spark):
+    calls = spark.createDataFrame(
+        [("a", "f", '{"x": 1}', None), ("b", "f", '{"x": "1"}', "a"), ("c", "f", "nope", "b"), ("d", "g", "{}", "e"), ("e", "f", '{"x":2}', "d"), ("h", "f", '{"x":3}', "gone"), ("a", "f", '{"x": 1}', None), (None, "f", "{}", None)],
+        "call_id string, name string, arguments string, after string",
+    )
+    results = spark.createDataFrame([("a", "r1"), ("a", "r0"), ("z", "r")], "call_id string, content string")
+    schema = {"f": {"properties": {"x": {"type": "integer"}}, "required": ["x"]}}
+    found = {r.call_id: r for r in tool_calls.link(calls, results, schema).collect()}
+    assert {k: r.level for k, r in found.items()} == {"a": 0, "b": 1, "c": 2, "d": None, "e": None, "h": None, "z": None}
+    assert {k: r.status for k, r in found.items()} == {"a": "linked", "b": "open", "c": "open", "d": "open", "e": "open", "h": "open", "z": "orphan"}
+    assert [found[k].valid for k in "abcd"] == [True, False, False, False]
+    assert json.loads(found["a"].json)["result"] == "r0" and found["a"].n_calls == 2
+    assert tool_calls.link(calls.limit(0), results.limit(0), schema).count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((300, 16)).astype(np.float32)
+    v[5] = v[7]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(300, None), (301, [0.0] * 16), (302, [float("nan")] * 16), (303, [None] + [1.0] * 15), (304, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = nearest.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect()
+    hit = 0
+    for q in range(0, 300, 20):
+        s = (v.astype(float) * v[q].astype(float)).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(300), -s)).tolist() if i != q][:10]
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, 11))
+        assert all(abs(r.score - s[r.vec_id]) < 1e-12 for r in own)
+        hit += len({r.vec_id for r in own} & set(want))
+    assert hit / 150 >= 0.9
+    assert {r.query_id for r in found} == set(range(0, 300, 20))
+    assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        after = stage(spark, docs, "/root/testdata/sf0.001")
+        assert after.columns == docs.columns, i
+        docs = common.materialise(after, "test-stage")
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    packed = {r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
+    assert packed == ids
+
+
+def test_media_query(spark):
+    rows = {r.doc_id: r for r in queries.op10_flac_media(spark, "/root/testdata/sf0.001").collect()}
+    for d in common.table(spark, "/root/testdata/sf0.001", "documents").collect():
+        raw = (d.text or "").encode()
+        size = max(1, -(-len(raw) // 192)) * 192
+        padded = raw + b" " * (size - len(raw))
+        r = rows[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), size, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))

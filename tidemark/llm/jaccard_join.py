@@ -53,6 +53,8 @@ FREQUENT_ELEMENTS = 1_000_000
 FILTER_BITS = 1 << 26
 #: Bytes kept of an element's hash for comparing two sets.
 KEPT = 5
+#: Postings are made of runs of texts of about so many bytes.
+BLOCK_BYTES = 8_000_000
 #: A shared list of a subset of elements counts as so many keys: it is always worth a comparison.
 SUBSET = 1 << 40
 _SUBSET_BIT = 1 << 31
@@ -164,9 +166,10 @@ def frequent_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, float]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, _ = _classes_of(batch["text"])
-            v = sets.values[sets.values < _HALF]
-            yield _by_bucket((v % _U(buckets)).astype(np.int64), [((v // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)], buckets)
+            for _, texts in slices(batch["text"], BLOCK_BYTES):
+                sets, _ = _classes_of(texts)
+                v = sets.values[sets.values < _HALF]
+                yield _by_bucket((v % _U(buckets)).astype(np.int64), [((v // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)], buckets)
 
     def count(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         found = np.sort(_unpack(group, "c0", np.uint32))
@@ -269,10 +272,11 @@ def shared_lists(docs: DataFrame, frequent: np.ndarray, light: int, buckets: int
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, names = _classes_of(batch["text"])
-            rows, keys, subset, ranks = _keys(sets, known.value, buckets << 32, light)
-            low = ((keys // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)
-            yield _by_bucket((keys % _U(buckets)).astype(np.int64), [low, names[rows], sets.sizes[rows].astype(np.uint32) | np.where(subset, _SUBSET_BIT, 0).astype(np.uint32), ranks.astype(np.uint32)], buckets)
+            for _, texts in slices(batch["text"], BLOCK_BYTES):
+                sets, names = _classes_of(texts)
+                rows, keys, subset, ranks = _keys(sets, known.value, buckets << 32, light)
+                low = ((keys // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)
+                yield _by_bucket((keys % _U(buckets)).astype(np.int64), [low, names[rows], sets.sizes[rows].astype(np.uint32) | np.where(subset, _SUBSET_BIT, 0).astype(np.uint32), ranks.astype(np.uint32)], buckets)
 
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         low, name, size, rank = (_unpack(group, f"c{i}", kind) for i, kind in enumerate((np.uint32, np.int64, np.uint32, np.uint32)))

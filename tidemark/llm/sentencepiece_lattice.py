@@ -36,6 +36,8 @@ from tidemark.llm.words import Words, gather, slices, word_hashes
 SPACE = "▁"
 #: Texts of about so many bytes are encoded together.
 TEXT_BYTES = 3_000_000
+#: Texts of about so many pieces are decoded together.
+PIECES_AT_ONCE = 500_000
 #: What a byte piece costs below the lowest score.
 BYTE_PENALTY = 10.0
 _MARK = np.frombuffer(SPACE.encode(), np.uint8)
@@ -220,16 +222,18 @@ def decode(df: DataFrame, *, ids: str = "ids", decoded: str = "decoded", model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for batch in batches:
-            column = batch[ids]
-            flat = column.flatten().to_numpy()
-            n = column.value_lengths().fill_null(0).to_numpy()
-            data = gather(pieces.data, pieces.start[flat], pieces.length[flat]).tobytes()
-            ends = np.append(0, np.cumsum(pieces.length[flat]))[np.cumsum(n)]
-            texts, at = [], 0
-            for e, null in zip(ends.tolist(), column.is_null().to_pylist(), strict=True):
-                part = data[at:e].decode("utf-8", "replace").replace(SPACE, " ")
-                texts.append(None if null else part[1:])
-                at = e
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            sizes = batch[ids].value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PIECES_AT_ONCE, prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)], strict=True):
+                part = batch.slice(a, b - a)
+                flat = part[ids].flatten().to_numpy()
+                data = gather(pieces.data, pieces.start[flat], pieces.length[flat]).tobytes()
+                ends = np.append(0, np.cumsum(pieces.length[flat]))[np.cumsum(sizes[a:b])]
+                texts, at = [], 0
+                for e, null in zip(ends.tolist(), part[ids].is_null().to_pylist(), strict=True):
+                    text = data[at:e].decode("utf-8", "replace").replace(SPACE, " ")
+                    texts.append(None if null else text[1:])
+                    at = e
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import registered
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,13 +17,13 @@ def plain(x):
     return str(x) if not isinstance(x, (int, bool, type(None), str)) else x
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registered.ORACLE_SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
-    found = catalogue.QUERIES[name](spark, FOLDER)
-    want = con.execute(catalogue.ORACLE_SQL[name])
+    found = registered.QUERIES[name](spark, FOLDER)
+    want = con.execute(registered.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(found.columns) == sorted(columns)
     order = sorted(columns)

@@ -34,8 +34,8 @@ def pagerank(edges: DataFrame, *, iterations: int = 20, damping: float = 0.85, w
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     base = materialise(nodes.join(degree, "node", "left"), "rank-nodes")
-    n = base.count()
-    ranks = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    n = max(base.count(), 1)
+    ranks = base.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, iterations + 1):
         sent = edges.join(ranks.select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("part")), "src")
         inflow = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("inflow"))

@@ -229,3 +229,45 @@ def discount_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = table(spark, sf_dir, "lineitem").agg(revenue(0).alias("base"), *(revenue(s).alias(f"r{s}") for s in range(-10, 11, 5)))
     each = F.explode(F.array(*(F.struct(F.lit(s).cast("long").alias("shift"), F.col(f"r{s}").alias("revenue")) for s in range(-10, 11, 5)))).alias("x")
     return sums.select("base", each).select("x.shift", F.round("x.revenue", 2).alias("revenue"), F.round(100 * (F.col("x.revenue") - F.col("base")) / F.col("base"), 6).alias("change_pct"))
+
+
+@query("""
+with t as (select l_suppkey, count(*) filter (l_returnflag = 'R') as returned, count(*) filter (l_discount >= 0.1) as cheap, count(*) as n from lineitem group by 1),
+s as (select l_suppkey, greatest(100 - 15 * returned / n::double * 2 - 8 * cheap / n::double * 5, 0) as score from t)
+select l_suppkey, round(score, 4) as score, case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end as grade from s""")
+def supplier_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
+        F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_discount") >= 0.1).alias("cheap"), F.count("*").alias("n")
+    )
+    scored = counted.withColumn("score", F.greatest(100 - 15 * F.col("returned") / F.col("n") * 2 - 8 * F.col("cheap") / F.col("n") * 5, F.lit(0.0)))
+    grade = F.lit("F")
+    for least, letter in ((60, "D"), (70, "C"), (80, "B"), (90, "A")):
+        grade = F.when(F.col("score") >= least, letter).otherwise(grade)
+    return scored.select("l_suppkey", F.round("score", 4).alias("score"), grade.alias("grade"))
+
+
+@query("""
+select l_orderkey, l_linenumber, lag(l_partkey) over w as before, lead(l_partkey) over w as after from lineitem
+window w as (partition by l_orderkey order by l_linenumber, l_partkey)""")
+def sibling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of each line in its order."""
+    near = W.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lag("l_partkey").over(near).alias("before"), F.lead("l_partkey").over(near).alias("after"))
+
+
+#: Fixed example of formulas: (formula, what it needs).
+FORMULA_NEEDS = [("charge", "net"), ("charge", "tax"), ("margin", "charge"), ("margin", "cost"), ("net", "price"), ("net", "discount")]
+_TIERS = """
+with recursive need(node, input) as (values {rows}),
+walk(node, input, tier) as (select node, input, 1 from need union all select w.node, n.input, w.tier + 1 from walk w join need n on w.input = n.node)
+select node, cast(max(tier) as bigint) as tier, count(distinct input) as prerequisites from walk group by node"""
+
+
+@query(_TIERS.format(rows=", ".join(map(str, FORMULA_NEEDS))))
+def formula_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest way to an input and number of prerequisites of each formula."""
+    need = spark.createDataFrame(FORMULA_NEEDS, "node string, input string")
+    walk = """with recursive walk(node, input, tier) as (select node, input, 1 from {need}
+        union all select w.node, n.input, w.tier + 1 from walk w join {need} n on w.input = n.node)
+        select node, cast(max(tier) as bigint) as tier, count(distinct input) as prerequisites from walk group by node"""
+    return spark.sql(walk, need=need)

@@ -10,7 +10,8 @@ How the work is laid out:
 
 * Texts with equal sets are one class, named by a 64-bit digest of the set; only
   classes are joined, so exact copies cost nothing.
-* Elements have one global order, in which frequent ones come last.  In it, two
+* Elements have one global order, in which frequent ones come last, the most
+  frequent at the very end.  In it, two
   sets that share ``k`` elements more than needed share ``k`` in their prefixes,
   whatever the order is; the order only keeps the lists short.  The frequent
   elements are counted over all texts and kept in a table of bounded size.
@@ -59,7 +60,6 @@ BLOCK_BYTES = 8_000_000
 SUBSET = 1 << 40
 _SUBSET_BIT = 1 << 31
 _U = np.uint64
-_HALF = _U(1 << 63)
 
 
 class Sets:
@@ -156,19 +156,31 @@ def _unpack(group: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(group[name].to_pylist()), kind)
 
 
-def frequent_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
-    """The most frequent elements (modulo ``buckets << 32``, ascending), and the
-    mean length of the list that an occurrence of another element stands in.
+class Frequent:
+    """The most frequent elements (modulo ``modulus``, ascending) and the power of two in each one's count."""
 
-    Counted over all texts, in the lower half of the hash range: prefixes lie
-    there, but for texts that are mostly frequent elements.
-    """
+    def __init__(self, elements: np.ndarray, powers: np.ndarray, modulus: int):
+        order = np.argsort(elements)
+        self.elements, self.powers, self.modulus = elements[order].astype(np.uint64), powers[order].astype(np.uint8), modulus
+
+    def levels(self, v: np.ndarray) -> np.ndarray:
+        """0 for an element that isn't frequent, else its power of two."""
+        if not len(self.elements):
+            return np.zeros(len(v), np.uint8)
+        reduced = v % _U(self.modulus)
+        at = np.minimum(np.searchsorted(self.elements, reduced), len(self.elements) - 1)
+        return np.where(self.elements[at] == reduced, self.powers[at], 0).astype(np.uint8)
+
+
+def frequent_elements(docs: DataFrame, buckets: int) -> tuple[Frequent, float]:
+    """The most frequent elements, counted over all texts, and the mean length of
+    the list that an occurrence of another element stands in."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch["text"], BLOCK_BYTES):
                 sets, _ = _classes_of(texts)
-                v = sets.values[sets.values < _HALF]
+                v = sets.values
                 yield _by_bucket((v % _U(buckets)).astype(np.int64), [((v // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)], buckets)
 
     def count(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -193,8 +205,8 @@ def frequent_elements(docs: DataFrame, buckets: int) -> tuple[np.ndarray, float]
         if kept > FREQUENT_ELEMENTS:
             least = 2 ** (row["power"] + 1)
             break
-    elements = often.filter(F.col("n") >= least).select("element").toArrow()["element"].to_numpy()
-    return np.sort(elements).astype(np.uint64), (rest[1] or 0) / max(1, rest[0] or 0)
+    kept = often.filter(F.col("n") >= least).select("element", F.floor(F.log2("n")).alias("power")).toArrow()  # at most FREQUENT_ELEMENTS rows
+    return Frequent(kept["element"].to_numpy(), kept["power"].to_numpy(), buckets << 32), (rest[1] or 0) / max(1, rest[0] or 0)
 
 
 def prefix(size, k: int):
@@ -226,21 +238,22 @@ def _pairs_of(p: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(p, 1)
 
 
-def _keys(sets: Sets, frequent: np.ndarray, modulus: int, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _keys(sets: Sets, frequent: Frequent, light: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, is it a subset's key, rank of the element) of each posting; a subset's rank is 0."""
     v, owner, sizes = sets.values, sets.owner, sets.sizes
-    often = np.zeros(len(v), bool)
-    if len(frequent):
-        low = np.flatnonzero(v < _HALF)
-        reduced = v[low] % _U(modulus)
-        often[low] = frequent[np.minimum(np.searchsorted(frequent, reduced), len(frequent) - 1)] == reduced
+    levels = frequent.levels(v)
+    often = levels > 0
     seen = np.cumsum(often)
     start = sets.bounds[:-1]
     before = np.append(0, seen)[start][owner]
     rank_often = seen - before - 1
     n_often = (np.append(0, seen)[sets.bounds[1:]] - np.append(0, seen)[start])[owner]
     place = np.arange(len(v)) - start[owner]
-    rank = np.where(often, sizes[owner] - n_often + rank_often, place - (seen - before))
+    last = np.flatnonzero(often)
+    ordered = last[np.lexsort((levels[last], owner[last]))]  # the rarer of them first
+    rank_of = np.zeros(len(v), np.int64)
+    rank_of[ordered] = rank_often[last]
+    rank = np.where(often, sizes[owner] - n_often + rank_of, place - (seen - before))
     listed = ABOVE * light < BELOW * sizes
     at = np.flatnonzero(listed[owner] & (rank < prefix(sizes, 1)[owner]))
     rows, keys = [owner[at]], [v[at]]
@@ -261,7 +274,7 @@ def _keys(sets: Sets, frequent: np.ndarray, modulus: int, light: int) -> tuple[n
     return row, np.concatenate(keys), np.arange(len(row)) >= len(at), ranks
 
 
-def shared_lists(docs: DataFrame, frequent: np.ndarray, light: int, buckets: int) -> DataFrame:
+def shared_lists(docs: DataFrame, frequent: Frequent, light: int, buckets: int) -> DataFrame:
     """(list, class, size, keys, rank): the classes that stand in one list, for lists of two or more.
 
     Lists of the same classes are one list of as many ``keys``, with the lowest
@@ -274,7 +287,7 @@ def shared_lists(docs: DataFrame, frequent: np.ndarray, light: int, buckets: int
         for batch in batches:
             for _, texts in slices(batch["text"], BLOCK_BYTES):
                 sets, names = _classes_of(texts)
-                rows, keys, subset, ranks = _keys(sets, known.value, buckets << 32, light)
+                rows, keys, subset, ranks = _keys(sets, known.value, light)
                 low = ((keys // _U(buckets)) & _U(0xFFFFFFFF)).astype(np.uint32)
                 yield _by_bucket((keys % _U(buckets)).astype(np.int64), [low, names[rows], sets.sizes[rows].astype(np.uint32) | np.where(subset, _SUBSET_BIT, 0).astype(np.uint32), ranks.astype(np.uint32)], buckets)
 

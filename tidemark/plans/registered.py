@@ -1,7 +1,7 @@
 """All registered queries of the library's own operators."""
 
-from tidemark.plans import analytics, catalogue
+from tidemark.plans import analytics, catalogue, rules
 
-assert analytics  # importing it registers its queries
+assert analytics and rules  # importing them registers their queries
 QUERIES = catalogue.QUERIES
 ORACLE_SQL = catalogue.ORACLE_SQL

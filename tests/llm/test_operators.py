@@ -238,3 +238,12 @@ def test_media_query(spark):
         padded = raw + b" " * (size - len(raw))
         r = rows[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), size, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+
+
+def test_frequent_shingles_come_last_the_most_frequent_at_the_end():
+    sets = jaccard_join.Sets(np.array([1, 5, 7, 9, 2, 7], np.uint64), np.array([4, 2]))
+    known = jaccard_join.Frequent(np.array([7, 1]), np.array([5, 9]), 1 << 40)
+    assert known.levels(sets.values).tolist() == [9, 0, 5, 0, 0, 5]
+    rows, keys, subset, ranks = jaccard_join._keys(sets, known, 0)
+    assert sorted(zip(rows.tolist(), keys.tolist(), ranks.tolist(), strict=True)) == [(0, 5, 0), (0, 9, 1), (1, 2, 0)]
+    assert not subset.any() and not jaccard_join.Frequent(np.empty(0), np.empty(0), 1 << 40).levels(sets.values).any()

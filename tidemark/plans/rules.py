@@ -140,3 +140,62 @@ def trailing_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = W.Window.partitionBy("o_custkey").orderBy("day").rangeBetween(-365, -1)
     orders = table(spark, sf_dir, "orders").withColumn("day", day)
     return orders.select("o_orderkey", "o_custkey", F.count("*").over(frame).alias("earlier"), F.coalesce(F.sum("o_totalprice").over(frame), F.lit(0.0)).alias("earlier_total"))
+
+
+@query("""
+with said as (select conv_id, turn, role, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x))) as words from conversations where text is not null),
+pairs as (select *, lag(words) over (partition by conv_id order by turn, role) as before from said)
+select conv_id, turn, len(words) as words, len(list_intersect(words, before)) as supported, round(len(list_intersect(words, before)) / len(words)::double, 6) as share
+from pairs where role = 'assistant' and before is not null and len(words) > 0""")
+def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a reply's words the turn before it holds."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
+    said = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "role", words.alias("words"))
+    pairs = said.withColumn("before", F.lag("words").over(W.Window.partitionBy("conv_id").orderBy("turn", "role")))
+    replies = pairs.filter("role = 'assistant' and before is not null and size(words) > 0")
+    n, held = F.size("words").cast("long"), F.size(F.array_intersect("words", "before")).cast("long")
+    return replies.select("conv_id", "turn", n.alias("words"), held.alias("supported"), F.round(held / n, 6).alias("share"))
+
+
+@query("""
+with told as (select lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from documents where text is not null),
+vocabulary as (select word, count(*) as n from told where length(word) >= 4 group by 1 having count(*) >= 2),
+asked as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from benchmark where text is not null),
+unknown as (select word from asked where length(word) >= 4 and word not in (select word from vocabulary)),
+a as (select word, unnest(list_distinct(list_concat([word], list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))))) as part from unknown),
+b as (select word, n, unnest(list_distinct(list_concat([word], list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1))))) as part from vocabulary),
+near as (select distinct a.word, b.word as suggestion, b.n from a join b using (part) where levenshtein(a.word, b.word) = 1)
+select word, suggestion, n from (select *, row_number() over (partition by word order by n desc, suggestion) as place from near) where place <= 3""")
+def word_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known words at distance one of each unknown one, by an equal word after at most one deletion."""
+
+    def words(name: str) -> DataFrame:
+        found = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+        return table(spark, sf_dir, name).filter("text is not null").select(found.alias("word")).select(F.lower("word").alias("word")).filter("length(word) >= 4")
+
+    def parts(rows: DataFrame) -> DataFrame:
+        cut = F.expr("transform(sequence(1, length(word)), i -> concat(substr(word, 1, i - 1), substr(word, i + 1)))")
+        return rows.withColumn("part", F.explode(F.array_distinct(F.concat(F.array("word"), cut))))
+
+    vocabulary = words("documents").groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2")
+    unknown = words("benchmark").distinct().join(vocabulary, "word", "left_anti")
+    known = parts(vocabulary).withColumnRenamed("word", "suggestion")
+    near = parts(unknown).join(known, "part").filter(F.levenshtein("word", "suggestion") == 1).select("word", "suggestion", "n").distinct()
+    place = F.row_number().over(W.Window.partitionBy("word").orderBy(F.desc("n"), "suggestion"))
+    return near.withColumn("place", place).filter("place <= 3").drop("place")
+
+
+#: Fixed example of rules: (rule, least quantity, quantity below, first day, last day).
+RULES = [("small", 0, 10, "1992-01-01", "1995-12-31"), ("middle", 10, 30, "1994-01-01", "1999-12-31"), ("large", 30, 1000, "1992-01-01", "1996-12-31")]
+
+
+@query(f"""
+with rules(rule, low, high, first, last) as (values {", ".join(map(str, RULES))})
+select rule, count(*) as lines, round(sum(l_quantity), 2) as quantity
+from lineitem left join rules on l_quantity >= low and l_quantity < high and l_shipdate::date between first::date and last::date group by rule""")
+def rule_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by the rule whose quantities and days hold them; the rules are a list of fixed length, so they are broadcast."""
+    rules = F.broadcast(spark.createDataFrame(RULES, "rule string, low int, high int, first string, last string"))
+    day = F.col("l_shipdate").cast("date")
+    holds = (F.col("l_quantity") >= F.col("low")) & (F.col("l_quantity") < F.col("high")) & day.between(F.col("first").cast("date"), F.col("last").cast("date"))
+    return table(spark, sf_dir, "lineitem").join(rules, holds, "left").groupBy("rule").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))

@@ -131,6 +131,15 @@ def test_pitman_yor_is_a_distribution(spark):
     assert np.allclose(top.sum(axis=1), 1)
 
 
+def test_pitman_yor_spells_long_words_without_a_floor(spark):
+    long = ["x" * 600, "x" * 1200, "\u6f22\u5b57" * 150, "words" * 120]
+    rows = [(i, "some words to learn from, some more words", False) for i in range(20)] + [(100 + i, t, True) for i, t in enumerate(long)]
+    found = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), buckets=3).collect()}
+    own = [found[100 + i] for i in range(len(long))]
+    assert np.isfinite(own).all() and len({round(x, 3) for x in own}) == len(long)
+    assert own[1] - own[0] < 1.9 * own[0] / 2 < -300  # twice as long, about twice as many digits
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 

@@ -159,6 +159,18 @@ def test_packing(spark, docs):
         assert at <= 64
 
 
+def test_packing_of_texts_with_the_end_marker(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one.<|endoftext|><|endoftext|>two\n<|endoftext|>", "<|endoftext", "<|ENDOFTEXT|>"]
+    for t in texts:
+        assert packing.token_ids(t, packing.default_vocabulary(), 0).tolist() == tok.encode(t, add_special_tokens=False).ids + [0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, zlib.crc32(np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes())) for i, t in enumerate(texts)}
+    assert {(r.doc_id, r.ids_crc32) for r in packing.best_fit_packing(df).collect()} == want
+
+
 def test_flac_round_trip(spark):
     rng = np.random.default_rng(1)
     values = [b"", b"a", b"a" * 5000, bytes(rng.integers(0, 256, 7001, np.uint8)), ("déjà vu " * 900).encode(), None]

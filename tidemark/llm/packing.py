@@ -64,7 +64,8 @@ def encoder(vocabulary: str):
 
     The file's vocabulary (a JSON of the ``tokenizers`` library) is loaded into
     the faster ``tiktoken`` engine: in this vocabulary an id is the rank of its
-    merge, so both give the same ids (a test compares them).
+    merge, so both give the same ids (a test compares them).  The file's added
+    tokens are found in a text before it is split, as ``tokenizers`` does.
     """
     import tiktoken
 
@@ -73,14 +74,14 @@ def encoder(vocabulary: str):
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     with open(vocabulary, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str | None, vocabulary: str, end_id: int) -> np.ndarray:
     """The ids of a text and the end id, as little-endian unsigned 32-bit integers."""
-    ids = encoder(vocabulary).encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, "<u4")
+    ids = encoder(vocabulary).encode_to_numpy(text, allowed_special="all") if text else np.empty(0, "<u4")
     return np.append(ids, end_id).astype("<u4")
 
 

@@ -97,6 +97,31 @@ def test_license_base(spark, docs):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_license_templates_with_an_edited_word(spark):
+    rows, want = [], {}
+
+    def add(w, labels):
+        rows.append((len(rows), "Some text first. " + " ".join(w) + ", and more text."))
+        want[len(rows) - 1] = labels
+
+    for template, label in license_scan.TEMPLATES.items():
+        w = template.split()
+        labels = {x for x in (label, *(y for t, y in license_scan.BASE.items() if t in template))}
+        add(w, labels)
+        for i, word in enumerate(w):
+            kept = {y for t, y in license_scan.BASE.items() if t in " ".join(w[:i]) or t in " ".join(w[i:])}
+            add([*w[:i], "zzz", *w[i:]], {label} | kept if i else labels)
+            if word not in license_scan.NAMING:
+                add([*w[:i], *w[i + 1 :]], {label})
+                add([*w[:i], "zzz", *w[i + 1 :]], {label})
+    add("creative commons attribution sharealike".split(), set())
+    add("licensed under the gnu general public license".split(), set())
+    add("all rights reserved".split(), set())
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: set(filter(None, r.labels.split(","))) for r in found} == want
+    assert all(r.score == 1.0 for r in found if not r.doc_id)
+
+
 def test_language(spark):
     rows = [(i, "the and with that this" if i % 2 else "der die und nicht mit", "en" if i % 2 else "de") for i in range(40)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

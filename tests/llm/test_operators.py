@@ -135,6 +135,28 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.label(df, none).collect()} == {"und"}
 
 
+def test_language_filter_keeps_mixed_texts_and_drops_unknown_ones(spark):
+    own = {"en": "the and with that this", "de": "der die und nicht mit", "fr": "les dans pour avec une", "nqo": "\u07d2\u07de\u07cf \u07d6\u07cb\u07ec"}
+    rows = [(i, own[k], k) for i, k in enumerate([*own] * 10)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = " ".join([own["en"]] * 8 + [own["de"]] * 6 + [own["fr"]] * 6)
+    asked = [(1, mixed), (2, own["nqo"]), (3, "qzxj wvkq xxjq zzqk"), (4, "\u2d30\u2d63\u2d53\u2d4d \u2d30\u2d4e"), (5, "\u2030 \u3002"), (6, own["fr"])]
+    df = spark.createDataFrame(asked, "doc_id long, text string")
+    found = {r.doc_id: r for r in language_id.label(df, model).collect()}
+    assert found[1].score == 0.4 and {s.lang for s in found[1].spans} == {"en", "de", "fr"}
+    assert (found[2].lang_pred, found[2].score, found[5].lang_pred) == ("nqo", 1.0, "und")
+    assert sorted(r.doc_id for r in language_id.keep_known(df, model).collect()) == [1, 2, 6]
+
+
+def test_every_letter_has_a_script():
+    points = [p for p in range(0x80, 0x10000) if not 0xD800 <= p < 0xE000]
+    words = language_id.words_of_texts(language_id.pa.array([chr(p) for p in points]))
+    script, _, _ = language_id._byte_features(words)
+    assert len(script) == len(points)
+    lost = [hex(p) for p, s in zip(points, script, strict=True) if s == language_id._NONE and language_id._LETTER.match(chr(p))]
+    assert not lost
+
+
 def test_secrets(spark, docs):
     found = secret_scan.scan(docs).filter("doc_id = 12").orderBy("start").collect()
     assert [(r.is_secret, r.start) for r in found] == [(True, 9), (False, 55)]

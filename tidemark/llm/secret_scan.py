@@ -1,13 +1,16 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 All of it is DataFrame operations and Spark ML (on the JVM).  A candidate is a run
-of at least ``SHORTEST`` characters of the alphabets in which keys are written.
+of at least ``SHORTEST`` characters of the alphabets in which keys are written, or
+any run without spaces behind a secret name and an assignment sign (in quotes up
+to the closing one, else without closing punctuation).
 Its features are its length, its character transitions, how much of it
 dictionary syllables cover, whether it stands in a path or address, and the
 words next to it.  The forest learns from labelled findings; where nobody has
 labelled any, ``label_by_rules`` labels the clear cases (an assignment to a secret
-name is one, prose and repeated characters are none), and the forest, which
-doesn't see that rule, decides on all.
+name and a key with a known prefix are secrets; prose, repeated characters, UUIDs,
+dates and hashes in paths are none), and the forest decides on all.  Its features
+``named`` and ``assigned`` repeat a part of that rule.
 
 Fitting takes a bounded sample: ``train_rows`` labelled findings of each label, in
 the order of a hash.  Scanning takes every whole text.
@@ -28,9 +31,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 SHORTEST = 16
-CANDIDATE = f"[A-Za-z0-9+/_=\\-]{{{SHORTEST},}}"
 #: Names whose value is a secret (fixed values).
-NAMES = "(?i)(token|secret|passwd|password|api_?key|access_?key|private_?key|auth|bearer|credential)"
+NAMES = "(?i)(token|secret|passwd|password|pwd|api_?key|access_?key|private_?key|auth|bearer|credential)"
+#: Names of passwords, which people choose: short, and of any characters.
+PASSWORDS = "(?i)(secret|passwd|password|pwd)"
+#: What stands between a name and its value.
+ASSIGN = "[\"'`]?\\s*[=:]\\s*[\"'`]?$"
+_NAME = NAMES.replace("(?i)(", "(?i:")
+#: Behind a name and an assignment sign; cheap looks back come first.
+_BEHIND = f"(?<=[=:\\s\"'`])(?<=[=:]\\s{{0,4}}[\"'`]?)(?<={_NAME}[\"'`]?\\s{{0,4}}[=:]\\s{{0,4}}[\"'`]?)(?![\"'`\\s])"
+_VALUE = "(?:(?<=\")[^\\s\"]+(?=\")|(?<=')[^\\s']+(?=')|(?<=`)[^\\s`]+(?=`)|\\S*[^\\s,;.)\\]}>\"'`])"
+#: A run that starts with a secret name and an equals sign is no candidate as a whole, its value is one.
+_NOT_NAME = f"(?![A-Za-z0-9+/_\\-]*+=(?<={_NAME}=)[^\\s=])"
+CANDIDATE = f"{_BEHIND}{_VALUE}|{_NOT_NAME}[A-Za-z0-9+/_=\\-]{{{SHORTEST},}}"
+#: Keys that show by their prefix what they are, UUIDs, dates, and hashes.
+PREFIXED = "^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^glpat-[A-Za-z0-9_-]{20}|^xox[abprs]-[A-Za-z0-9-]{10}|^sk_(live|test)_[A-Za-z0-9]{16}|^AIza[A-Za-z0-9_-]{35}$"
+UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+DATED = "(^|[^0-9])(19|20)[0-9]{2}[-/_](0[1-9]|1[0-2])[-/_]([0-2][0-9]|3[01])([^0-9]|$)"
+HASH = "(?i)(^|/)([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 #: The commonest pairs of letters of running text; few of them stand in a key.
 COMMON_PAIRS = "th|he|in|er|an|re|on|en|at|nd|st|es|ti|or|te|ed|is|it|al|ar|ou|le|de|io|ch|ei|qu|ai|eu|la|ue|os"
 FEATURES = ["length", "digits", "uppers", "symbols", "turns", "repeats", "distinct", "covered", "in_path", "source_is_path", "named", "quoted", "assigned", "prose_before", "prose_after"]
@@ -84,9 +102,17 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def label_by_rules(found: DataFrame) -> DataFrame:
     """Add ``label``: 1.0 for clear secrets, 0.0 for clear false positives, else null."""
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    secret = F.col("before").rlike(NAMES + "\\s*[=:]\\s*[\"'`]?$") & mixed & (F.size(F.array_distinct(F.split("value", ""))) >= 8)
-    plain = ~F.col("value").rlike("[0-9]") | F.col("value").rlike("^(.{1,4})\\1{3,}") | F.col("value").rlike("(?i)example|placeholder|x{6}|your_")
+    value, before = F.col("value"), F.col("before")
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    distinct = F.size(F.array_distinct(F.split("value", "")))
+    named = before.rlike(NAMES + ASSIGN)
+    chosen = before.rlike(PASSWORDS + ASSIGN) & (distinct >= 5)
+    prefixed = value.rlike(PREFIXED)
+    secret = prefixed | named & mixed & ((distinct >= 8) | chosen)
+    in_path = before.rlike("[./@\\\\]\\S*$") | value.rlike("/.*/")
+    unnamed = ~named & ~prefixed & (value.rlike(UUID) | value.rlike(DATED) | (value.rlike(HASH) & in_path))
+    quoted_name = named & before.rlike("[\"'`]$")
+    plain = ~value.rlike("[0-9]") & ~quoted_name | value.rlike("^(.{1,4})\\1{3,}") | value.rlike("(?i)example|placeholder|x{6}|your_") | unnamed
     return found.withColumn("label", F.when(plain, 0.0).when(secret, 1.0))
 
 

@@ -245,25 +245,32 @@ def test_flac_round_trip(spark):
 
 
 def test_pieces(spark, docs):
-    path = sentencepiece_lattice.default_model()
-    pieces = sentencepiece_lattice.pieces_of(path)
-    text = {bytes(pieces.data[s : s + n]): i for i, (s, n) in enumerate(zip(pieces.start, pieces.length)) if n and i not in set(pieces.byte_ids.tolist())}
+    pieces = sentencepiece_lattice.pieces_of(sentencepiece_lattice.default_model())
+    text = {p: i for i, p in pieces.plain.items()}
+    byte_ids = set(pieces.byte_ids.tolist())
 
-    def plain(word: bytes) -> float:
+    def plain(word: str) -> float:
         best = [0.0] + [-1e18] * len(word)
         for e in range(1, len(word) + 1):
-            best[e] = best[e - 1] + pieces.byte_score
-            for s in range(max(0, e - 48), e):
+            best[e] = best[e - 1] + pieces.byte_score * len(word[e - 1].encode())
+            for s in range(max(0, e - 16), e):
                 if (i := text.get(word[s:e])) is not None:
                     best[e] = max(best[e], best[s] + pieces.scores[i])
         return best[-1]
 
-    for t in ("hello world", "Çà et là", "漢字 and emoji 😀", "aaaa   b\n\nc"):
-        ids, n = sentencepiece_lattice.encode_texts([t], path)
-        got = sum(pieces.byte_score if i in set(pieces.byte_ids.tolist()) else pieces.scores[i] for i in ids.tolist())
-        assert abs(got - plain(("▁" + t.replace(" ", "▁")).encode())) < 1e-6 and n[0] == len(ids)
-    back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs)).collect()
-    assert all(r.decoded == (None if r.text is None else r.text.replace("▁", " ")) for r in back)
+    found = sentencepiece_lattice.encode(docs)
+    assert found.columns == [*docs.columns, "ids"]
+    rows = sentencepiece_lattice.decode(found).collect()
+    assert len(rows) == len(ROWS)
+    assert all(r.decoded == (None if r.text is None else r.text.replace("▁", " ")) for r in rows)
+    more = [(0, "hello world"), (1, "Çà et là, 2nd of 1,000.50"), (2, "漢字 and emoji 😀"), (3, "aaaa   b\n\nc"), (4, "x" * 700), (5, "क्षि १२ ² ²."), (6, " "), (7, "▁▁ ▁")]
+    more = sentencepiece_lattice.encode(spark.createDataFrame(more, "k int, text string")).collect()
+    for r in [*more, *(r for r in rows if r.text and len(r.text) < 2000)]:
+        got = sum(pieces.byte_score if i in byte_ids else pieces.scores[i] for i in r.ids)
+        assert abs(got - plain("▁" + r.text.replace(" ", "▁"))) < 1e-6
+    assert sentencepiece_lattice.encode(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        sentencepiece_lattice.encode(docs, ids="WORDS")
 
 
 def test_tool_calls(spark):
@@ -281,6 +288,122 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), schema).count() == 0
 
 
+def test_tool_calls_form_a_graph(spark):
+    rows = [("a", None), ("b", ["a"]), ("c", ["b"]), ("d", ["a", "c"]), ("e", ["d", None, "d"]), ("f", ["e", "b"]), ("g", ["h"]), ("h", ["g", "a"]), ("i", ["g"]), ("j", ["a", "gone"]), ("k", [])]
+    calls = spark.createDataFrame(rows, "call_id string, after array<string>")
+    found = {r.call_id: r.level for r in tool_calls.levels(calls).collect()}
+    assert found == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5, "g": None, "h": None, "i": None, "j": None, "k": 0}
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(300)], "call_id string, after string")
+    assert {r.call_id: r.level for r in tool_calls.levels(chain).collect()} == {str(i): i for i in range(300)}
+
+
+def test_tool_schemas():
+    assert tool_calls.problems({"x": None, "y": 2}, {"properties": {"x": {"type": ["integer", "null"]}, "y": {"maximum": 1}}}) == ["$.y: out of range"]
+    assert tool_calls.problems("abc", {"maxLength": 2, "pattern": "^b"}) == ["$: wrong length", "$: not like the pattern"]
+    assert tool_calls.problems(True, {"enum": [1]}) and not tool_calls.problems(2.0, {"type": "integer"})
+    assert tool_calls.problems([1], {"anyOf": [{"type": "string"}, {"items": {"type": "string"}}]}) == ["$: none of anyOf"]
+    for wrong in ({"oneOf": []}, {"properties": {"x": {"type": "float"}}}):
+        with pytest.raises(ValueError):
+            tool_calls.check_schema(wrong)
+    for text in ("1e400", "NaN", "[Infinity]", "", None):
+        with pytest.raises(ValueError):
+            tool_calls.parsed(text)
+
+
+def test_nearest_over_several_cells_and_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows, near = [], {}
+    for dim, n in ((16, 400), (3, 40)):
+        v = rng.standard_normal((n, dim))
+        v[: n // 4] = np.round(v[: n // 4])
+        first = len(rows)
+        rows += [(first + i, [float(x) for x in r], "extra") for i, r in enumerate(v)]
+        for q in range(n):
+            if (first + q) % 20 == 0 and v[q].any():
+                s = (v * v[q]).sum(axis=1)
+                near[first + q] = [first + i for i in np.lexsort((np.arange(n), -s)).tolist() if i != q and v[i].any()][:5]
+    df = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<double>, score string")
+    found = nearest.nearest(df, F.col("vec_id") % 20 == 0, k=5, per_cell=30, most_cells=4).collect()
+    own = {q: [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in near}
+    assert all(len(x) == 5 for x in own.values())
+    assert sum(len(set(own[q]) & set(near[q])) for q in near) >= 0.9 * 5 * len(near)
+
+
+def test_packing_over_a_tree_of_nodes(spark):
+    rng = np.random.default_rng(5)
+    lengths = [*rng.integers(1, 65, 300).tolist(), *[33] * 60]
+    pieces = common.materialise(spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECE_SCHEMA), "test-pieces")
+    found = packing.pack(pieces, capacity=64, per_node=5, slack=2).collect()
+    assert sorted((r.doc_id, r.length) for r in found) == list(enumerate(lengths))
+    bins = {}
+    for r in found:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for items in bins.values():
+        items.sort()
+        assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))] and sum(n for _, n in items) <= 64
+    one = int(packing.best_fit(np.array(lengths), 64).max()) + 1
+    assert len(bins) <= 1.15 * one  # nodes of five items against one node of all
+    assert packing.pack(pieces.limit(0), capacity=64).count() == 0
+
+
+def test_first_of_groups_works_on_rows(spark):
+    other = " ".join(f"z{i}" for i in range(30))
+    rows = [(1, BASE, "a"), (2, BASE + " tail", "b"), (2, other, "c"), (3, other, "d"), (3, other, "d"), (None, BASE, "e"), (4, "short", "f"), (None, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number_0 string")
+    found = sorted((r.doc_id or 0, r.row_number_0) for r in jaccard_join.first_of_groups(df).collect())
+    assert found == [(0, "g"), (1, "a"), (2, "c"), (4, "f")]
+
+
+def test_redact_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "x", "y"), (None, None, "x", "y")], "doc_id long, text string, secrets string, secret_id string")
+    found = secret_scan.redact(df)
+    assert found.columns == df.columns and found.count() == 2
+    assert found.filter("doc_id = 1").first().text == 'token = "[secret]"'
+
+
+def labelled_findings(seed, n):
+    """Made findings: keys and passwords beside names, and hashes, UUIDs, slugs and camel-case names in other places."""
+    rng = np.random.default_rng(seed)
+    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    words = ["release", "window", "customer", "invoice", "market", "garden", "planet", "memory"]
+    rows = []
+    for i in range(n):
+        key = "".join(rng.choice(alphabet, 32))
+        hexed = rng.bytes(20).hex()
+        slug = "-".join(rng.choice(words, 4)) + f"-{rng.integers(2000, 2030)}"
+        name = "".join(w.title() for w in rng.choice(words, 4))
+        before = rng.choice(['api_key = "', "token: ", 'export SECRET="', "curl -u "])
+        rows.append((i, key, str(before), '"', 1.0))
+        rows.append((i, str(rng.choice([slug, name, hexed])), str(rng.choice(["see /blob/", "the commit ", "class "])), " of the", 0.0))
+    return rows
+
+
+def test_secrets_on_labelled_findings_held_out(spark):
+    schema = "doc_id long, value string, before string, after string, label double"
+    findings = spark.createDataFrame(labelled_findings(1, 150), schema)
+    held = labelled_findings(2, 60)
+    texts = [(i, b + v + a, y) for i, (_, v, b, a, y) in enumerate(held)] + [(1000 + i, "the release window of a customer invoice in the market garden planet memory class", 0.0) for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, truth double")
+    found = secret_scan.scan(df, findings).filter("doc_id < 1000").collect()
+    got = {r.doc_id for r in found if r.is_secret}
+    true = {i for i, _, y in texts if y == 1.0}
+    assert len(got & true) >= 0.95 * len(true) and len(got & true) >= 0.95 * len(got)
+
+
+def test_flac_features_and_blocks(spark):
+    rng = np.random.default_rng(6)
+    tone = (128 + 100 * np.sin(np.arange(1920) * 2 * np.pi * 8 / 192)).astype(np.uint8).tobytes()
+    got = flac.features_of([tone, b"", bytes([128]) * 192, tone[:100]])
+    bands = [[int(x) for x in g.split("bands=")[1].split(",")] for g in got]
+    assert bands[0].index(max(bands[0])) == 2 and got[1].startswith("energy=0.000;crossings=0;") and set(bands[2]) == {0}
+    assert got[0].split(";")[1] == "crossings=159"
+    value = bytes(rng.integers(0, 256, 20000, np.uint8)) + tone
+    decoded = flac.with_features(flac.decode(flac.encode(spark.createDataFrame([(0, value), (1, None)], "k int, payload binary"))))
+    blocks = sorted(flac.pcm_blocks(decoded, ["k"]).filter("k = 0").collect(), key=lambda r: r.sample_offset)
+    assert b"".join(bytes(r.pcm) for r in blocks) == value and [r.sample_offset for r in blocks] == np.cumsum([0, *(r.n_samples for r in blocks)])[:-1].tolist()
+    assert {r.k: r.feature for r in decoded.collect()}[0] == flac.features_of([value])[0]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((300, 16)).astype(np.float32)

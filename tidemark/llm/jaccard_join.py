@@ -4,7 +4,7 @@ A text's set is its distinct word 5-grams; two texts link when the Jaccard
 similarity of their sets is at least 3/4.  The join is size-aware: below a size
 boundary the sets are *light* and enumerate all 2-subsets of their prefix, above
 it they are *heavy* and are found by scanning inverted lists of single prefix
-elements.  The boundary is where the two cost the same (`boundary`).
+elements.  The boundary is where the two cost the same (`boundary`), at most 400 elements.
 
 How the work is laid out:
 
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import groups_for, materialise
 from tidemark.llm.words import Words, mix, slices, word_hashes, words_of_texts
 
 SHINGLE = 5
@@ -52,6 +52,8 @@ FREQUENT = 32
 FREQUENT_ELEMENTS = 1_000_000
 #: Bits of the filter for classes whose sets are needed.
 FILTER_BITS = 1 << 26
+#: Elements that meet in one task.
+PER_BUCKET = 500_000
 #: Bytes kept of an element's hash for comparing two sets.
 KEPT = 5
 #: Postings are made of runs of texts of about so many bytes.
@@ -470,7 +472,7 @@ def _cross_pairs(lists: DataFrame) -> DataFrame:
 def similar_classes(docs: DataFrame, known: DataFrame, *, buckets: int, rounds: int = 2) -> DataFrame | None:
     """(node, component) of the classes that link with others, or None if none do."""
     frequent, list_length = frequent_elements(docs, buckets)
-    sizes = known.filter("class is not null").groupBy("n_shingles").agg(F.count_distinct("class").alias("n")).filter("n_shingles <= 400").collect()  # at most 400 rows
+    sizes = known.filter("class is not null").groupBy("n_shingles").agg(F.count_distinct("class").alias("n")).filter("n_shingles <= 400").collect()  # at most 400 rows: larger sets are heavy, whatever the cost
     light = boundary({r["n_shingles"]: r["n"] for r in sizes}, list_length)
     lists = materialise(shared_lists(docs, frequent, light, buckets), "jaccard-lists")
     if lists.isEmpty():
@@ -494,14 +496,15 @@ def similar_classes(docs: DataFrame, known: DataFrame, *, buckets: int, rounds:
     return labels
 
 
-def default_buckets(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets_for(known: DataFrame) -> int:
+    """So many buckets that each holds about ``PER_BUCKET`` elements, however large the table is."""
+    return groups_for(known.agg(F.sum("n_shingles")).first()[0] or 0, PER_BUCKET)
 
 
 def similar_groups(docs: DataFrame, *, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
     known = materialise(classes(docs), "jaccard-classes")
-    labels = similar_classes(docs, known, buckets=buckets or default_buckets(docs.sparkSession))
+    labels = similar_classes(docs, known, buckets=buckets or buckets_for(known))
     named = known if labels is None else known.join(labels.withColumnRenamed("node", "class"), "class", "left")
     component = F.col("class") if labels is None else F.coalesce("component", "class")
     named = materialise(named.select("doc_id", "n_shingles", component.alias("component")), "jaccard-named")
@@ -510,7 +513,16 @@ def similar_groups(docs: DataFrame, *, buckets: int | None = None) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that link, directly or not, to one of smaller ``doc_id``."""
-    groups = similar_groups(docs, **options)
-    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, docs["doc_id"] == copies["doc_id"], "left_anti").select(*docs.columns)
+    """``docs``, all columns, with one row of each group of rows that link, directly or not.
+
+    The row with the smallest ``doc_id`` stays (a null one comes last); of rows
+    that repeat an id any one, and rows that only share an id are no group.
+    """
+    number = next(c for c in map("row_number_{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "jaccard-rows")
+    groups = similar_groups(rows.select(F.col(number).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    several = groups.groupBy("group").count().filter("count > 1").select("group")
+    members = groups.join(several, "group").join(rows.select(F.col(number).alias("row"), F.col("doc_id").alias("named")), "row")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("named").isNull(), "named", "row")).alias("first"))
+    gone = materialise(members.join(first, "group").filter("row <> first.row").select(F.col("row").alias(number)), "jaccard-gone")
+    return rows.join(gone, number, "left_anti").select(*docs.columns)

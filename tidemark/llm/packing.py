@@ -3,9 +3,11 @@
 Hierarchical residual packing: documents are dealt into nodes by a hash, each
 node packs its pieces best-fit, emits the bins that are nearly full, and hands
 the underfull ones up a tree, where they are items for the next best-fit round.
-The root emits what is left.  A node hands up at most ``max_carry`` bins, the
-emptiest first (the others are emitted as they are, nothing is lost), so the
-work of every task stays bounded however large the corpus is.
+A level has so many nodes that each gets about ``per_node`` items, so the work of
+every task stays bounded however large the corpus is, and every underfull bin
+takes part in every round.  The root emits what is left.  A round that merges
+less than a twentieth of its items ends the tree too: bins that more than half
+fill a sequence can't be merged by anybody, and dealing them anew gains nothing.
 
 Defined cases: a null text is the empty text and packs its end token alone; a
 null ``doc_id`` stays null; repeated rows are packed once each; an empty table
@@ -136,7 +138,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return into
 
 
-def _merge(node: int, items: pa.StructArray, sizes: np.ndarray, starts: np.ndarray, capacity: int, slack: int, carry: int) -> pa.Table:
+def _merge(node: int, items: pa.StructArray, sizes: np.ndarray, starts: np.ndarray, capacity: int, slack: int) -> pa.Table:
     """Pack units (bins of the round before, as runs of ``items``) into new bins."""
     into = best_fit(sizes, capacity)
     order = np.argsort(into, kind="stable")
@@ -155,41 +157,30 @@ def _merge(node: int, items: pa.StructArray, sizes: np.ndarray, starts: np.ndarr
     fields = [taken.field(k) for k in range(taken.type.num_fields - 1)]
     merged = pa.StructArray.from_arrays([*fields, pa.array(offset)], fields=list(_ITEM_ARROW))
     done = fill >= capacity - slack
-    open_bins = np.flatnonzero(~done)
-    if len(open_bins) > carry:
-        done[open_bins[np.argsort(fill[open_bins], kind="stable")[carry:]]] = True
     lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), merged)
     return pa.table([pa.array(np.full(n, node)), pa.array(np.arange(n)), pa.array(fill), pa.array(done), lists], names=BIN_SCHEMA.names)
 
 
-def _round(capacity: int, slack: int, carry: int):
+def _round(capacity: int, slack: int):
     """Packs the underfull bins of several nodes as items of their parent."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         lists = group["items"].combine_chunks()
         starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        return _merge(key[0].as_py(), lists.flatten(), group["fill"].to_numpy(), starts, capacity, slack, carry)
+        return _merge(key[0].as_py(), lists.flatten(), group["fill"].to_numpy(), starts, capacity, slack)
 
     return run
 
 
-def pack(
-    pieces: DataFrame,
-    *,
-    capacity: int = 2048,
-    per_node: int = 20_000,
-    fan_in: int = 8,
-    slack: int = 4,
-    max_carry: int = 8192,
-) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, per_node: int = 20_000, slack: int = 4) -> DataFrame:
     """Assign every piece a ``sequence_id`` and an ``offset`` in that sequence.
 
-    ``per_node`` pieces are packed together at first, ``fan_in`` nodes meet in
-    one at the next round, bins with at most ``slack`` free places are emitted
-    before the root.  ``pieces`` must be cheap to read twice (a written table).
+    ``per_node`` items are packed together; bins with at most ``slack`` free
+    places are emitted before the root.  ``pieces`` must be cheap to read twice
+    (a written table).
     """
-    spark = pieces.sparkSession
-    nodes = groups_for(pieces.count(), per_node)
+    waiting = pieces.count()
+    nodes = groups_for(waiting, per_node)
     deal = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(nodes))
     names = PIECE_SCHEMA.names
 
@@ -197,21 +188,24 @@ def pack(
         flat = [group[c].combine_chunks() for c in names] + [pa.array(np.zeros(len(group), np.int64))]
         items = pa.StructArray.from_arrays(flat, fields=list(_ITEM_ARROW))
         sizes = group["length"].to_numpy()
-        return _merge(key[0].as_py(), items, sizes, np.arange(len(sizes)), capacity, slack if nodes > 1 else capacity, max_carry)
+        return _merge(key[0].as_py(), items, sizes, np.arange(len(sizes)), capacity, slack if nodes > 1 else capacity)
 
     bins = pieces.select(*names, deal.alias("node")).groupBy("node").applyInArrow(leaf, BIN_SCHEMA)
-    level, ready = 0, []
+    level, ready, stuck = 0, [], False
     while True:
         bins = materialise(bins, f"packing-level{level}")
         number = F.shiftleft(F.lit(level).cast("long"), 58) + F.shiftleft(F.col("node"), 28) + F.col("bin")
-        ready.append(bins.filter("done").select(number.alias("sequence_id"), "items"))
-        if nodes == 1:
+        if nodes > 1:
+            before, waiting = waiting, bins.filter("not done").count()
+            stuck = level > 0 and 20 * waiting > 19 * before
+        ready.append((bins if stuck else bins.filter("done")).select(number.alias("sequence_id"), "items"))
+        if nodes == 1 or stuck or not waiting:
             break
-        nodes, level = groups_for(nodes, fan_in), level + 1
-
-        up = bins.filter("not done").select((F.col("node") % nodes).alias("node"), "fill", "items")
-        bins = up.groupBy("node").applyInArrow(_round(capacity, capacity if nodes == 1 else slack, max_carry), BIN_SCHEMA)
-    packed = functools.reduce(DataFrame.unionAll, ready) if ready else spark.createDataFrame([], "sequence_id long, items array<int>")
+        nodes, level = groups_for(waiting, per_node), level + 1
+        anew = F.pmod(F.xxhash64("node", "bin", F.lit(level)), F.lit(nodes)) if nodes > 1 else F.lit(0).cast("long")
+        up = bins.filter("not done").select(anew.alias("node"), "fill", "items")
+        bins = up.groupBy("node").applyInArrow(_round(capacity, capacity if nodes == 1 else slack), BIN_SCHEMA)
+    packed = functools.reduce(DataFrame.unionAll, ready)
     return packed.select("sequence_id", F.inline("items")).select(*names, "sequence_id", "offset")
 
 

@@ -4,8 +4,8 @@ All of it is DataFrame operations and Spark ML (on the JVM).  A candidate is a r
 of at least ``SHORTEST`` characters of the alphabets in which keys are written, or
 any run without spaces behind a secret name and an assignment sign (in quotes up
 to the closing one, else without closing punctuation).
-Its features are its length, its character transitions, how much of it
-dictionary syllables cover, whether it stands in a path or address, and the
+Its features are its length, its character transitions, how much of it words of a
+dictionary cover (the commonest words of all texts), whether it stands in a path or address, and the
 words next to it.  The forest learns from labelled findings; where nobody has
 labelled any, ``label_by_rules`` labels the clear cases (an assignment to a secret
 name and a key with a known prefix are secrets; prose, repeated characters, UUIDs,
@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tidemark.llm.common import materialise
+
 SHORTEST = 16
 #: Names whose value is a secret (fixed values).
 NAMES = "(?i)(token|secret|passwd|password|pwd|api_?key|access_?key|private_?key|auth|bearer|credential)"
@@ -51,8 +53,10 @@ DATED = "(^|[^0-9])(19|20)[0-9]{2}[-/_](0[1-9]|1[0-2])[-/_]([0-2][0-9]|3[01])([^
 HASH = "(?i)(^|/)([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 #: The commonest pairs of letters of running text; few of them stand in a key.
 COMMON_PAIRS = "th|he|in|er|an|re|on|en|at|nd|st|es|ti|or|te|ed|is|it|al|ar|ou|le|de|io|ch|ei|qu|ai|eu|la|ue|os"
-FEATURES = ["length", "digits", "uppers", "symbols", "turns", "repeats", "distinct", "covered", "in_path", "source_is_path", "named", "quoted", "assigned", "prose_before", "prose_after"]
+FEATURES = ["length", "digits", "uppers", "symbols", "turns", "repeats", "distinct", "covered", "pairs", "in_path", "source_is_path", "named", "quoted", "assigned", "prose_before", "prose_after"]
 REPLACEMENT = "[secret]"
+#: Words of the dictionary, learned from the texts.
+DICTIONARY_WORDS = 5000
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -62,6 +66,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), text.alias("text")).filter(F.col("text").rlike(CANDIDATE))
     found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     parts = own.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), found.alias("values"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    # of the text between candidates only its ends go on, and its length
+    near = F.transform("gaps", lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(40)).alias("end"), F.left(g, F.lit(24)).alias("begin")))
+    parts = parts.withColumn("gaps", near)
     each = parts.select(
         "doc_id",
         "source",
@@ -69,16 +76,37 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.posexplode(F.arrays_zip(F.col("values").alias("value"), F.col("gaps").alias("before"), F.slice("gaps", 2, F.size("gaps")).alias("after"))).alias("ordinal", "at"),
     ).filter(F.col("at.value").isNotNull())
     order = W.Window.partitionBy("row").orderBy("ordinal").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    start = F.sum(F.length("at.before") + F.length("at.value")).over(order) - F.length("at.value")
-    return each.select("doc_id", "source", "ordinal", start.alias("start"), "at.value", F.right("at.before", F.lit(40)).alias("before"), F.left("at.after", F.lit(24)).alias("after"))
+    start = F.sum(F.col("at.before.n") + F.length("at.value")).over(order) - F.length("at.value")
+    return each.select("doc_id", "source", "ordinal", start.alias("start"), "at.value", F.col("at.before.end").alias("before"), F.coalesce("at.after.begin", F.lit("")).alias("after"))
 
 
 def _share(pattern: str) -> Column:
     return F.regexp_count("value", F.lit(pattern)) / F.length("value")
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> DataFrame:
+    """(word, length): the ``size`` commonest words of three to twenty letters a-z of all texts, ties to the smaller word.
+
+    A key that is repeated thousands of times isn't made of letters alone.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^\\p{L}\\p{N}_]+")).alias("word"))
+    counted = words.filter(F.length("word").between(3, 20) & ~F.col("word").rlike("[^a-z]")).groupBy("word").count()
+    return counted.orderBy(F.desc("count"), "word").limit(size).select("word", F.length("word").alias("length"))
+
+
+def _covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, letters): how many letters of each candidate stand in words of the dictionary (which is of bounded size)."""
+    parts = F.regexp_extract_all(F.regexp_replace("value", "([a-z])([A-Z])", "$1 $2"), F.lit("([A-Za-z]{3,})"), F.lit(1))
+    runs = found.select("key", F.explode(parts).alias("word")).withColumn("word", F.lower("word"))
+    return runs.join(F.broadcast(words), "word").groupBy("key").agg(F.sum("length").alias("letters"))
+
+
+def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     """Add the features of each candidate as doubles."""
+    if "source" not in found.columns:
+        found = found.withColumn("source", F.lit(None).cast("string"))
+    found = found.withColumn("key", F.xxhash64(*[c for c in ("doc_id", "ordinal", "value", "before", "after") if c in found.columns]))
+    found = found.join(_covered(found.dropDuplicates(["key"]), words), "key", "left")
     letters = F.split("value", "")
     value = {
         "length": F.log2(F.length("value")),
@@ -88,7 +116,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "turns": _share("(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])"),
         "repeats": _share("(.)(?=\\1)"),
         "distinct": F.size(F.array_distinct(letters)) / F.length("value"),
-        "covered": _share(f"(?i)({COMMON_PAIRS})"),
+        "covered": F.coalesce("letters", F.lit(0)) / F.length("value"),
+        "pairs": _share(f"(?i)({COMMON_PAIRS})"),
         "in_path": F.col("before").rlike("(://|[./@\\\\])\\S*$") | F.col("value").rlike("/.*/"),
         "source_is_path": F.coalesce(F.col("source").rlike("[./\\\\]"), F.lit(False)),
         "named": F.col("before").rlike(NAMES + "\\W*$"),
@@ -97,7 +126,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "prose_before": F.col("before").rlike("\\p{L}[,.]?\\s+$"),
         "prose_after": F.col("after").rlike("^[,.]?\\s+\\p{L}"),
     }
-    return found.withColumns({name: col.cast("double") for name, col in value.items()})
+    return found.withColumns({name: col.cast("double") for name, col in value.items()}).drop("key", "letters")
 
 
 def label_by_rules(found: DataFrame) -> DataFrame:
@@ -129,14 +158,16 @@ def train(findings: DataFrame, *, train_rows: int = 4000, trees: int = 20, depth
     return Pipeline(stages=steps).fit(sample.coalesce(1))
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, *, threshold: float = 0.5, **options) -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, *, threshold: float = 0.5, dictionary_words: int = DICTIONARY_WORDS, **options) -> DataFrame:
     """Every candidate with its ``score`` and whether it ``is_secret``.
 
     ``findings``: labelled ones (columns of ``candidates`` and ``label``); without
     them, the clear cases among the candidates of ``docs`` are taken.
     """
-    found = with_features(candidates(docs))
-    labelled = with_features(findings) if findings is not None else label_by_rules(found)
+    found = materialise(candidates(docs), "secret-candidates")
+    words = materialise(dictionary(docs, dictionary_words), "secret-dictionary")
+    found = materialise(with_features(found, words), "secret-features")
+    labelled = with_features(findings, words) if findings is not None else label_by_rules(found)
     model = train(labelled, **options)
     keep = ["doc_id", "ordinal", "start", F.length("value").alias("n_chars"), "value", "before"]
     if model is None:
@@ -149,14 +180,15 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, *, threshold: float
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every secret replaced, and ``n_chars`` (if there) counted anew.
 
-    The replaced values of a document are gathered by document, so a group is as
-    large as the findings of one text.
+    All columns and rows stay.  The replaced values of a document are gathered by
+    document, so a group is as large as the findings of one text.
     """
-    secrets = scan(docs, **options).filter("is_secret").groupBy(F.col("doc_id").alias("secret_id")).agg(F.array_sort(F.collect_set("value")).alias("secrets"))
-    joined = docs.join(secrets, docs["doc_id"].eqNullSafe(F.col("secret_id")), "left")
-    clean = F.aggregate(F.reverse("secrets"), F.col("text"), lambda text, s: F.replace(text, s, F.lit(REPLACEMENT)))
-    text = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(clean)
+    key, values = (next(c for c in map((name + "_{}").format, range(len(docs.columns) + 1)) if c not in docs.columns) for name in ("secret_id", "secrets"))
+    secrets = scan(docs, **options).filter("is_secret").groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set("value")).alias(values))
+    joined = docs.join(secrets, docs["doc_id"].cast("long").eqNullSafe(F.col(key)), "left")
+    clean = F.aggregate(F.reverse(values), F.col("text"), lambda text, s: F.replace(text, s, F.lit(REPLACEMENT)))
+    text = F.when(F.col(values).isNull(), F.col("text")).otherwise(clean)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(values).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -68,15 +68,7 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = flac.encode(texts.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), padded.alias("payload")))
     read = flac.decode(stored)
     tail = F.expr("substring(pcm, -16)")
-    frames = F.size("blocks")
-    feature = F.format_string(
-        "blocks=%d;last_offset=%d;rate_permille=%d;mean_block_bytes=%d",
-        frames,
-        F.element_at("blocks", -1)["sample_offset"],
-        F.floor(F.length("media") * 1000 / F.length("pcm")),
-        F.floor(F.length("media") / frames),
-    )
-    return read.select(
+    return flac.with_features(read).select(
         "doc_id",
         "n_bytes",
         F.length("pcm").cast("long").alias("payload_bytes"),
@@ -84,7 +76,7 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(tail).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        feature.alias("feature"),
+        "feature",
         "ok",
     )
 

@@ -1,23 +1,31 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text is escaped as SentencePiece does (a space in front, spaces as U+2581) and
-cut before each run of spaces; no piece crosses such a cut, so each word can be
-encoded by itself.  The different words of a batch are exploded into substrings
-of bounded length, the substrings are equi-joined to the piece table by hash,
-the edges are grouped by word, and a Viterbi fold over the end positions finds
-the segmentation of the largest total score.  Bytes that no piece covers become
-byte pieces.  Words are then put back into their texts.
-
-The steps run on whole Arrow batches inside tasks: the piece table is fixed, so
-nothing is shuffled, while a join of all words to a table of encoded words would
-shuffle every word of the corpus.
-
-Substrings grow byte by byte and only while they are the beginning of a piece.
+cut into words at places that no piece crosses: between letters, digits and other
+characters, and before U+2581 (``WORD``; a table whose pieces don't keep to that is
+cut before U+2581 alone).  Each word can then be encoded by itself:
+
+* the different words of all texts are exploded into substrings of bounded length
+  (the longest piece's),
+* the substrings are equi-joined to the piece table, which is fixed and small
+  enough to be broadcast (``MOST_PIECES``),
+* the edges found are grouped by word and end position, and
+* a Viterbi fold with Spark's ``aggregate`` over the end positions finds the
+  segmentation of the largest total score.
+
+A character without a piece is an edge of its bytes' pieces.  Texts are dealt into
+blocks of about ``BLOCK_BYTES``; each block names its different words, gets them
+back encoded and puts them into its texts.  So what is shuffled is each text once
+and each word once for a block, not for each place where it stands.
+
+``docs`` is read twice and must give the same rows in the same partitions, as a
+table or written files do; a word that a block then misses raises an error.
 
 Defined cases: a null text has null ids, an empty one no pieces; decoding gives
 back the text that was encoded, whatever it holds (U+2581 itself comes back as
-a space); ties go to the longer last piece; further columns are kept; a clash
-with the output column raises ValueError.
+a space); ties go to the longer last piece; repeated rows are encoded alike; an
+empty table gives no rows; further columns are kept; a clash with the output
+column raises ValueError.
 """
 
 from __future__ import annotations
@@ -25,22 +33,29 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import Words, gather, slices, word_hashes
+from tidemark.llm.common import materialise
+from tidemark.llm.words import gather, slices
 
 SPACE = "▁"
-#: Texts of about so many bytes are encoded together.
-TEXT_BYTES = 3_000_000
+WORD = r"▁*\p{L}+|▁*[^\p{L}\p{Nd}▁]+|\p{Nd}|▁+"
+COARSE = r"▁*[^▁]+|▁+"
+#: Texts of about so many bytes share their words.
+BLOCK_BYTES = 24_000_000
 #: Texts of about so many pieces are decoded together.
 PIECES_AT_ONCE = 500_000
 #: What a byte piece costs below the lowest score.
 BYTE_PENALTY = 10.0
-_MARK = np.frombuffer(SPACE.encode(), np.uint8)
+MOST_PIECES = 1_000_000
 
 
 def default_model() -> str:
@@ -51,9 +66,8 @@ def default_model() -> str:
 
 @dataclass
 class Pieces:
-    #: By length in bytes: sorted hashes of beginnings of pieces, and the id of the piece that ends there, or -1.
-    keys: list[np.ndarray]
-    ids: list[np.ndarray]
+    #: The text of each piece that stands for characters, by id.
+    plain: dict[int, str]
     scores: np.ndarray
     byte_ids: np.ndarray
     byte_score: float
@@ -61,12 +75,7 @@ class Pieces:
     data: np.ndarray
     start: np.ndarray
     length: np.ndarray
-
-
-def _hash(parts: list[bytes]) -> np.ndarray:
-    length = np.array([len(p) for p in parts], np.int64)
-    data = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
-    return word_hashes(Words(data, np.cumsum(length) - length, length, np.zeros(len(parts), np.int64), 1))
+    pattern: str
 
 
 @functools.cache
@@ -76,120 +85,106 @@ def pieces_of(model: str) -> Pieces:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     n = sp.get_piece_size()
+    if n > MOST_PIECES:
+        raise ValueError(f"{n} pieces are too many to be sent to every task")
     scores = np.array([sp.get_score(i) for i in range(n)])
-    plain = {i: sp.id_to_piece(i).encode() for i in range(n) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))}
-    longest = max(map(len, plain.values()))
-    found: list[dict[bytes, int]] = [{} for _ in range(longest + 1)]
-    for i, p in plain.items():
-        for j in range(1, len(p)):
-            found[j].setdefault(p[:j], -1)
-        found[len(p)][p] = i
-    keys, ids = [], []
-    for part in found:
-        h = _hash([*part]) if part else np.empty(0, np.uint64)
-        order = np.argsort(h)
-        keys.append(h[order])
-        ids.append(np.array([*part.values()], np.int64)[order])
+    plain = {i: sp.id_to_piece(i) for i in range(n) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))}
     byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-    texts = [plain.get(i, b"") for i in range(n)]
+    texts = [plain.get(i, "").encode() for i in range(n)]
     for b, i in enumerate(byte_ids.tolist()):
         texts[i] = bytes([b])
     length = np.array([len(t) for t in texts], np.int64)
-    return Pieces(keys, ids, scores, byte_ids, float(scores.min()) - BYTE_PENALTY, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(length) - length, length)
-
-
-def _escaped(texts: list[str]) -> Words:
-    """Texts escaped and cut before each run of spaces."""
-    parts = [(SPACE + t.replace(" ", SPACE)).encode() if t else b"" for t in texts]
-    size = np.array([len(p) for p in parts], np.int64)
-    data = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
-    n = int(size.sum())
-    mark = np.zeros(n, bool)
-    if n >= 3:
-        mark[: n - 2] = (data[: n - 2] == _MARK[0]) & (data[1 : n - 1] == _MARK[1]) & (data[2:n] == _MARK[2])
-    start_of = np.cumsum(size) - size
-    cut = mark.copy()
-    cut[3:] &= ~mark[:-3]  # inside a run of spaces
-    cut[start_of[size > 0]] = True
-    start = np.flatnonzero(cut)
-    doc = np.searchsorted(start_of, start, side="right") - 1
-    while len(doc) and (empty := size[doc] == 0).any():
-        doc = doc - empty
-    return Words(data, start, np.diff(np.append(start, n)), doc, len(texts))
-
-
-def lattice(words: Words, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, piece) of each edge, as places in the bytes of the words, one behind the other."""
-    total = int(words.length.sum())
-    first = np.cumsum(words.length) - words.length
-    at = np.repeat(words.start - first, words.length) + np.arange(total)
-    room = np.repeat(first + words.length, words.length) - np.arange(total)
-    starts, ends, ids = [np.arange(total)], [np.arange(total) + 1], [pieces.byte_ids[words.data[at]]]
-    live = np.arange(total)
-    for size in range(1, len(pieces.keys)):
-        live = live[room[live] >= size]
-        keys = pieces.keys[size]
-        if not live.size or not len(keys):
-            break
-        h = word_hashes(Words(words.data, at[live], np.full(len(live), size), live, 1))
-        to = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        good = keys[to] == h
-        live, found = live[good], pieces.ids[size][to[good]]
-        whole = found >= 0
-        starts.append(live[whole])
-        ends.append(live[whole] + size)
-        ids.append(found[whole])
-    return np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
-
-
-def viterbi(words: Words, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of each word, one behind the other, and how many each has."""
-    start, end, piece = lattice(words, pieces)
-    first = np.cumsum(words.length) - words.length
-    word = np.repeat(np.arange(len(words.length)), words.length)
-    offset = end - first[word[start]]  # of the end in its word
-    score = pieces.scores[piece]
-    score[: len(word)] = pieces.byte_score
-    order = np.lexsort((start, end, offset))
-    start, end, piece, score, offset = start[order], end[order], piece[order], score[order], offset[order]
-    # node e + word is the place in front of byte e of that word; each word has one node more than bytes
-    begin = start + word[start]
-    node = end + word[start]
-    best = np.full(len(word) + len(first), -np.inf)
-    best[first + np.arange(len(first))] = 0
-    chosen = np.zeros(len(best), np.int64)
-    bounds = np.append(np.flatnonzero(np.append(True, offset[1:] != offset[:-1])), len(offset)) if len(offset) else np.zeros(1, np.int64)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        total = best[begin[a:b]] + score[a:b]
-        own = node[a:b]
-        cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        top = np.maximum.reduceat(total, cuts)
-        hit = np.where(total == np.repeat(top, np.diff(np.append(cuts, b - a))), np.arange(a, b), b)
-        best[own[cuts]], chosen[own[cuts]] = top, np.minimum.reduceat(hit, cuts)
-    # walk back through all words in step
-    place = first + np.arange(len(first))
-    now = place + words.length
-    steps, owners, active = [], [], np.arange(len(first))
-    while (active := active[now[active] > place[active]]).size:
-        edge = chosen[now[active]]
-        steps.append(piece[edge])
-        owners.append(active)
-        now[active] = begin[edge]
-    if not steps:
-        return np.empty(0, np.int64), np.zeros(len(first), np.int64)
-    owner, out = np.concatenate(owners)[::-1], np.concatenate(steps)[::-1]
-    return out[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(first))
-
-
-def encode_texts(texts: list[str], model: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, one behind the other, and how many each text has."""
-    words = _escaped(texts)
-    if not len(words.start):
-        return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-    _, once, of = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-    ids, n = viterbi(Words(words.data, words.start[once], words.length[once], once, 1), pieces_of(model))
-    flat = gather(ids, (np.cumsum(n) - n)[of], n[of])
-    return flat, np.bincount(words.doc, n[of], len(texts)).astype(np.int64)
+    fine = regex.compile(WORD)
+    pattern = WORD if all(fine.fullmatch(p) for p in plain.values()) else COARSE
+    return Pieces(plain, scores, byte_ids, float(scores.min()) - BYTE_PENALTY, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(length) - length, length, pattern)
+
+
+def _words(text: str | None, pattern: regex.Pattern) -> list[str]:
+    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(block, rows): the rows of this task in their order, about BLOCK_BYTES of text to a block."""
+    first, done = TaskContext.get().partitionId() << 24, 0
+    for batch in batches:
+        for a, part in slices(batch[text].cast(pa.string()), BLOCK_BYTES // 8):
+            yield first + done // BLOCK_BYTES, batch.slice(a, len(part))
+            done += sum(len(x) for x in part.to_pylist() if x)
+
+
+def words_of_blocks(docs: DataFrame, text: str, model: str) -> DataFrame:
+    """(block, word): the different words of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = regex.compile(pieces_of(model).pattern)
+        last, seen = -1, set()
+        for block, rows in _blocks(batches, text):
+            if block != last:
+                last, seen = block, set()
+            new = set(chain.from_iterable(_words(t, pattern) for t in rows[text].to_pylist())) - seen
+            seen |= new
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(new), pa.int64()), pa.array([*new], pa.string())], names=["block", "word"])
+
+    return docs.select(text).mapInArrow(run, "block long, word string")
+
+
+def piece_table(spark: SparkSession, model: str) -> DataFrame:
+    """(piece, id, score) of the pieces that stand for characters."""
+    pieces = pieces_of(model)
+    return spark.createDataFrame([(p, i, float(pieces.scores[i])) for i, p in pieces.plain.items()], "piece string, id int, score double")
+
+
+def lattice(words: DataFrame, model: str) -> DataFrame:
+    """(word, start, end, id, score): the edges of each ``word``; ``id`` -1 stands for the bytes of a character."""
+    pieces = pieces_of(model)
+    longest = max(map(len, pieces.plain.values()))
+    at = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    room = F.least(F.length("word") - F.col("start"), F.lit(longest))
+    cut = at.select("word", "start", F.explode(F.sequence(F.lit(1), room)).alias("size"))
+    parts = cut.withColumn("piece", F.expr("substring(word, start + 1, size)"))
+    joined = parts.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").filter("id is not null or size = 1")
+    unknown = F.octet_length("piece") * F.lit(pieces.byte_score)
+    return joined.select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", unknown).alias("score"))
+
+
+def _best(steps: str) -> Column:
+    """Of each end position the best (score, minus the start of the last edge, its id); place 0 is the word's beginning."""
+
+    def step(best: Column, at: Column) -> Column:
+        ways = F.transform(at["edges"], lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
+        return F.concat(best, F.array(F.array_max(ways)))
+
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id")))
+    return F.aggregate(steps, first, step)
+
+
+def _path(best: str) -> Column:
+    """The edges of the best way, last one first."""
+    kind = "array<struct<start: int, end: int, id: int>>"
+
+    def step(state: Column, end: Column) -> Column:
+        at = F.get(best, end)
+        edge = F.array(F.struct((-at["back"]).alias("start"), end.alias("end"), at["id"].alias("id")))
+        return F.when(end == state["at"], F.struct((-at["back"]).alias("at"), F.concat(state["edges"], edge).alias("edges"))).otherwise(state)
+
+    last = F.size(best) - 1
+    start = F.struct(last.alias("at"), F.array().cast(kind).alias("edges"))
+    return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), start, step)["edges"]
+
+
+def encode_words(words: DataFrame, model: str) -> DataFrame:
+    """(word, pieces): the piece ids of each different ``word``."""
+    byte_ids = F.array(*(F.lit(int(i)) for i in pieces_of(model).byte_ids))
+    steps = lattice(words, model).groupBy("word", "end").agg(F.collect_list(F.struct("start", "id", "score")).alias("edges"))
+    grouped = steps.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("steps"))
+    found = grouped.select("word", _best("steps").alias("best")).select("word", F.reverse(_path("best")).alias("path"))
+
+    def ids(edge: Column) -> Column:
+        code = F.hex(F.encode(F.substring("word", edge["start"] + 1, F.lit(1)), "UTF-8"))
+        spelled = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.get(F.col("byte_ids"), F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")))
+        return F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(spelled)
+
+    return found.withColumn("byte_ids", byte_ids).select("word", F.flatten(F.transform("path", ids)).alias("pieces"))
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -202,16 +197,33 @@ def encode(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str
     """Add the piece ids of a column of texts."""
     path = model or default_model()
     schema = _with(docs, ids, T.ArrayType(T.IntegerType()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, part in slices(batch[text].cast(pa.string()), TEXT_BYTES):
-                flat, n = encode_texts([t or "" for t in part.to_pylist()], path)
-                bounds = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-                lists = pa.ListArray.from_arrays(bounds, pa.array(flat.astype(np.int32)), mask=part.is_null())
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, len(part)) for c in batch.columns), lists], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+    block = next(c for c in map("block_{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    needed = materialise(words_of_blocks(docs, text, path), "pieces-words")
+    encoded = encode_words(needed.select("word").distinct(), path)
+    known = materialise(needed.join(encoded, "word").select(F.col("block").alias(block), "word", "pieces"), "pieces-known")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _blocks(batches, text):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([number] * len(rows), pa.int64())], names=[*rows.schema.names, block])
+
+    def put(key: tuple[pa.Scalar, ...], rows: pa.Table, words: pa.Table) -> pa.Table:
+        pattern = regex.compile(pieces_of(path).pattern)
+        place = {w: i for i, w in enumerate(words["word"].to_pylist())}
+        lists = words["pieces"].combine_chunks() if len(words) else pa.array([], pa.list_(pa.int32()))
+        flat, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(n) - n
+        out, sizes = [], []
+        for t in rows[text].to_pylist():
+            own = np.array([place[w] for w in _words(t, pattern)], np.int64)
+            out.append(gather(flat, first[own], n[own]) if len(own) else np.empty(0, np.int32))
+            sizes.append(len(out[-1]))
+        bounds = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        found = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.empty(0, np.int32), *out]).astype(np.int32)), mask=rows[text].combine_chunks().is_null())
+        return rows.drop_columns([block]).append_column(ids, found)
+
+    schema_of_rows = T.StructType([*docs.schema.fields, T.StructField(block, T.LongType())])
+    texts = docs.mapInArrow(dealt, schema_of_rows)
+    return texts.groupBy(block).cogroup(known.groupBy(block)).applyInArrow(put, schema)
 
 
 def decode(df: DataFrame, *, ids: str = "ids", decoded: str = "decoded", model: str | None = None) -> DataFrame:

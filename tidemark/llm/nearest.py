@@ -4,25 +4,30 @@ Vectors are lengthened by one component so that all have the norm of the longest
 the largest inner product is then the smallest distance.  A Gaussian (2-stable)
 projection to ``DIMS`` dimensions makes the squared projected distance over the
 squared distance chi-square distributed with ``DIMS`` degrees of freedom.  A
-query looks at points by growing projected distance, verifies them on the
-original vectors, and stops when the chi-square test says that a nearer point is
-unlikely to lie behind (``CONFIDENCE``).
-
-The projected space is cut into at most ``CELLS`` cells by the upper levels of a
-kd-tree, fitted to a sample of at most ``SAMPLE`` vectors; every vector is put
-into its cell, where the lower levels are built.  A query first searches its own
-cell, and then, with the distance that it has found, all cells that the test
-can't rule out.  Equal vectors are one point with its smallest ids, so no cell
-holds more than its share.
-
-Defined cases: vectors that are null, zero, of another length than most, or that
-hold null or non-finite components take no part; queries with fewer candidates
-than ``k`` get all; ties go to the smaller id; a repeated id is one row for each
-different vector; an empty table gives no rows.
+query takes points by growing projected distance, verifies them on the original
+vectors, and stops when the chi-square test says that a nearer point is unlikely
+to lie behind: a point at the distance of the ``k``-th best found has a squared
+projected distance above the bound with probability 1 - ``CONFIDENCE``.
+
+The projected space is cut into cells of about ``PER_CELL`` points (at most
+``CELLS``) by the upper levels of a kd-tree, fitted to a sample of at most
+``SAMPLE`` vectors; every vector is put into its cell, where the lower levels are
+built.  Where more than ``CELLS`` cells would be needed, each cell is split by a
+hash into parts that are searched alike.  A query first searches its own cell,
+and then, with the distance that it has found, all cells that the test can't rule
+out.  Equal vectors are one point with its smallest ids, so no cell holds more
+than its share.
+
+Defined cases: vectors that are null, zero, or that hold null or non-finite
+components take no part; vectors of different lengths have no inner product, so
+each length is searched by itself; queries with fewer candidates than ``k`` get
+all; ties go to the smaller id; a repeated id is one row for each different
+vector; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -34,11 +39,13 @@ from pyspark.sql import window as W
 
 from tidemark.llm.common import materialise
 
-DIMS = 8
-CONFIDENCE = 0.98
-CELLS, PER_CELL = 4096, 4096
+DIMS = 24
+CONFIDENCE = 0.87
+CELLS, PER_CELL = 65_536, 4096
 SAMPLE = 20_000
-LEAF = 32
+LEAF = 512
+#: Queries whose projected distances to a cell are computed together.
+ROWS = 512
 #: Queries that meet a cell in one group.
 QUERIES_AT_ONCE = 50_000
 _VECTOR = np.dtype("<f8")
@@ -63,10 +70,8 @@ def chi_square_bound(p: float = CONFIDENCE, dims: int = DIMS) -> float:
     return hi
 
 
-def points_of(vectors: DataFrame, k: int) -> DataFrame:
-    """(v, ids): each different valid vector, as bytes of doubles, and its ``k + 1`` smallest ids."""
-    sizes = vectors.filter("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = sizes[0]["n"] if sizes else 0
+def points_of(vectors: DataFrame, k: int, dim: int) -> DataFrame:
+    """(v, ids): each different valid vector of length ``dim``, as bytes of doubles, and its ``k + 1`` smallest ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +85,11 @@ def points_of(vectors: DataFrame, k: int) -> DataFrame:
                 kept.setdefault((values[i] + 0.0).astype(_VECTOR).tobytes(), []).append(int(ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array([*kept], pa.binary()), pa.array([sorted(set(x))[: k + 1] for x in kept.values()], pa.list_(pa.int64()))], names=["v", "ids"])
 
-    whole = vectors.filter((F.size("embedding") == dim) & F.col("vec_id").isNotNull() & (dim > 0)).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
-    return whole.mapInArrow(run, "v binary, ids array<long>").groupBy("v").agg(ids.alias("ids"))
+    whole = vectors.filter((F.size("embedding") == dim) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
+    # a vector that very many rows have is first gathered in 64 groups
+    some = whole.mapInArrow(run, "v binary, ids array<long>").groupBy("v", F.pmod(F.xxhash64("ids"), F.lit(64)).alias("deal")).agg(smallest.alias("ids"))
+    return some.groupBy("v").agg(smallest.alias("ids"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -156,34 +163,44 @@ def _search(space: Space, v: np.ndarray, ids: list[list[int]], queries: np.ndarr
     """For each query the best ``k`` ids of a cell, better than the score ``known`` so far."""
     projected = space.project(v, False)
     flat, starts, low, high = _tree(projected)
+    projected, v, ids = projected[flat], v[flat], [ids[i] for i in flat.tolist()]
     ends = np.append(starts[1:], len(flat))
     smallest = np.array([x[0] for x in ids])
     bound = chi_square_bound()
+    square = (projected * projected).sum(axis=1)
     out = []
-    for q, p, least in zip(queries, space.project(queries, True), known.tolist(), strict=True):
-        far = space.longest + float(q @ q)
-        near = _box_distance(p, low, high)
-        leaves = np.argsort(near, kind="stable")
-        scores, rows, done, step, kth = np.empty(0), np.empty(0, np.int64), 0, 2, least
-        while done < len(leaves):
-            reach = max(0.0, far - 2 * kth) * bound * (1 + 1e-12) if math.isfinite(kth) else math.inf
-            some = leaves[done : done + step]
-            some = some[near[some] <= reach]
-            if not some.size:
-                break  # the chi-square test holds for all that is left
-            cand = np.concatenate([flat[starts[i] : ends[i]] for i in some.tolist()])
-            gap = projected[cand] - p
-            cand = cand[(gap * gap).sum(axis=1) <= reach]
-            rows = np.append(rows, cand)
-            scores = np.append(scores, (v[cand] * q).sum(axis=1))
-            if len(rows) > k:
-                best = np.lexsort((smallest[rows], -scores))[:k]
-                rows, scores = rows[best], scores[best]
-            if len(rows) >= k:
-                kth = max(least, float(scores.min()))
-            done, step = done + step, step * 2
-        found = sorted(((-float(s), i) for s, r in zip(scores, rows.tolist(), strict=True) for i in ids[r]))[:k]
-        out.append([(i, -s) for s, i in found])
+    for first in range(0, len(queries), ROWS):
+        some = queries[first : first + ROWS]
+        asked = space.project(some, True)
+        gaps = square - 2 * (asked @ projected.T) + (asked * asked).sum(axis=1)[:, None]
+        for q, p, gap, least in zip(some, asked, gaps, known[first : first + ROWS].tolist(), strict=True):
+            far = space.longest + float(q @ q)
+            near = _box_distance(p, low, high)
+            leaves = np.argsort(near, kind="stable")
+            scores, rows, done, step, kth = np.empty(0), np.empty(0, np.int64), 0, 1, least
+            while done < len(leaves):
+                reach = max(0.0, far - 2 * kth) * bound * (1 + 1e-9) if math.isfinite(kth) else math.inf
+                part = leaves[done : done + step]
+                part = part[near[part] <= reach]
+                if not part.size:
+                    break  # the chi-square test holds for all that is left
+                cand = np.concatenate([np.arange(starts[i], ends[i]) for i in part.tolist()])
+                cand = cand[gap[cand] <= reach]
+                if len(cand) > 4 * k:  # the nearest ones first: they shorten the reach for the others
+                    nearest_first = cand[np.argpartition(gap[cand], 2 * k)[: 2 * k]]
+                    sure = np.sort(v[nearest_first] @ q)[-k]
+                    cand = cand[gap[cand] <= max(0.0, far - 2 * max(kth, float(sure))) * bound * (1 + 1e-9)]
+                rows = np.append(rows, cand)
+                scores = np.append(scores, v[cand] @ q)
+                if len(rows) > k:
+                    best = np.lexsort((smallest[rows], -scores))[:k]
+                    rows, scores = rows[best], scores[best]
+                if len(rows) >= k:
+                    kth = max(least, float(scores.min()))
+                done, step = done + step, step * 2
+            scores = (v[rows] * q).sum(axis=1)
+            found = sorted(((-float(s), i) for s, r in zip(scores, rows.tolist(), strict=True) for i in ids[r]))[:k]
+            out.append([(i, -s) for s, i in found])
     return out
 
 
@@ -202,34 +219,44 @@ def _searcher(space: Space, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = 20, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, *, k: int = 20, seed: int = 5, per_cell: int = PER_CELL, most_cells: int = CELLS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest other rows of each row with ``is_query``."""
-    schema = "query_id long, rank int, vec_id long, score double"
-    points = materialise(points_of(vectors, k), "nearest-points")
-    asked = points_of(vectors.filter(is_query), 0)
-    every = vectors.filter(is_query).filter("embedding is not null").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = vectors.filter(is_query)
+    # lengths that queries have: a handful in any table of embeddings
+    lengths = [r["n"] for r in asked.filter("size(embedding) > 0").select(F.size("embedding").alias("n")).distinct().collect()]
+    return functools.reduce(DataFrame.unionAll, [_nearest(vectors, asked, n, k, seed, per_cell, most_cells) for n in sorted(lengths)], empty)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, dim: int, k: int, seed: int, per_cell: int, most_cells: int) -> DataFrame:
+    """The search among vectors of one length."""
+    points = materialise(points_of(vectors, k, dim), "nearest-points")
+    asked = materialise(points_of(queries, 0, dim).select("v", F.col("ids")[0].alias("qid")), "nearest-queries")
+    every = queries.filter(F.size("embedding") == dim).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
     n = points.count()
     if not n:
-        return vectors.sparkSession.createDataFrame([], schema)
-    asked = materialise(asked.select("v", F.col("ids")[0].alias("qid")), "nearest-queries")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = points.mapInArrow(_norms, "norm double").agg(F.max("norm")).first()[0]
     sample = points.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toArrow()
     first = _matrix(sample["v"])
     space = Space(first.shape[1], norm, seed)
-    space.fit(space.project(first, False), min(CELLS, -(-n // PER_CELL)))
-    chunks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
-    chunk = F.pmod(F.xxhash64("qid"), F.lit(chunks))
+    wanted = -(-n // per_cell)
+    space.fit(space.project(first, False), min(most_cells, wanted))
+    chunks, parts = max(1, -(-asked.count() // QUERIES_AT_ONCE)), max(1, -(-wanted // most_cells))
+    dealt = lambda column, into: F.pmod(F.xxhash64(column), F.lit(into))
+    copies = lambda into: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(into - 1).cast("long")))
 
     placed = materialise(points.mapInArrow(_placer(space, False), "v binary, ids array<long>, cell long, p array<double>"), "nearest-cells")
     axes = [F.struct(F.min(F.col("p")[j]).alias("low"), F.max(F.col("p")[j]).alias("high")).alias(f"x{j}") for j in range(DIMS)]
-    boxes = placed.groupBy("cell").agg(*axes).collect()  # at most CELLS rows
+    boxes = placed.groupBy("cell").agg(*axes).collect()  # at most most_cells rows
     cells = np.array([r["cell"] for r in boxes])
     low = np.array([[r[f"x{j}"]["low"] for j in range(DIMS)] for r in boxes])
     high = np.array([[r[f"x{j}"]["high"] for j in range(DIMS)] for r in boxes])
-    spread = placed.select("v", "ids", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk")) if chunks > 1 else placed.select("v", "ids", "cell", F.lit(0).cast("long").alias("chunk"))
+    spread = placed.select("v", "ids", "cell", dealt("v", parts).alias("part"), copies(chunks).alias("chunk"))
 
-    def search(queries: DataFrame) -> DataFrame:
-        return spread.groupBy("cell", "chunk").cogroup(queries.groupBy("cell", "chunk")).applyInArrow(_searcher(space, k + 1), "qid long, vec_id long, score double")
+    def search(sent: DataFrame) -> DataFrame:
+        sent = sent.select("qid", "v", "cell", "known", dealt("qid", chunks).alias("chunk"), copies(parts).alias("part"))
+        return spread.groupBy("cell", "part", "chunk").cogroup(sent.groupBy("cell", "part", "chunk")).applyInArrow(_searcher(space, k + 1), "qid long, vec_id long, score double")
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,9 +264,12 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, seed: int = 5) -> Data
             own = np.array([cells[np.argmin(_box_distance(x, low, high))] for x in p], np.int64)
             yield pa.RecordBatch.from_arrays([batch["qid"], batch["v"], pa.array(own), pa.nulls(len(batch), pa.float64())], names=["qid", "v", "cell", "known"])
 
-    one = materialise(search(asked.mapInArrow(home, "qid long, v binary, cell long, known double").withColumn("chunk", chunk)), "nearest-first")
-    reached = one.groupBy("qid").agg(F.min("score").alias("known"), F.count("*").alias("n"))
-    again = asked.join(reached, "qid", "left").withColumn("known", F.when(F.col("n") > k, F.col("known")))
+    one = materialise(search(asked.mapInArrow(home, "qid long, v binary, cell long, known double")), "nearest-first")
+    order = [F.desc("score"), F.asc("vec_id")]
+    top = F.row_number().over(W.Window.partitionBy("qid").orderBy(*order))
+    # the last of the k + 1 best of the own cell (a query itself may be one of them)
+    reached = one.withColumn("r", top).filter(F.col("r") == k + 1).select("qid", F.col("score").alias("known"))
+    again = asked.join(reached, "qid", "left")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bound = chi_square_bound()
@@ -256,9 +286,8 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, seed: int = 5) -> Data
             take = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch["qid"].take(take), batch["v"].take(take), pa.array(np.concatenate(where) if where else np.empty(0, np.int64)), batch["known"].take(take)], names=["qid", "v", "cell", "known"])
 
-    two = search(again.select("qid", "v", "known").mapInArrow(others, "qid long, v binary, cell long, known double").withColumn("chunk", chunk))
-    order = [F.desc("score"), F.asc("vec_id")]
-    best = one.unionAll(two).withColumn("r", F.row_number().over(W.Window.partitionBy("qid").orderBy(*order))).filter(F.col("r") <= k + 1).drop("r")
+    two = search(again.select("qid", "v", "known").mapInArrow(others, "qid long, v binary, cell long, known double"))
+    best = one.unionAll(two).withColumn("r", top).filter(F.col("r") <= k + 1).drop("r")
     named = every.mapInArrow(_pack, "query_id long, v binary").join(asked, "v").select("query_id", "qid")
     found = named.join(best, "qid").filter("query_id <> vec_id")
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(*order))

@@ -9,9 +9,9 @@ cut before U+2581 alone).  Each word can then be encoded by itself:
   (the longest piece's),
 * the substrings are equi-joined to the piece table, which is fixed and small
   enough to be broadcast (``MOST_PIECES``),
-* the edges found are grouped by word and end position, and
-* a Viterbi fold with Spark's ``aggregate`` over the end positions finds the
-  segmentation of the largest total score.
+* the edges found are grouped by word, and
+* a Viterbi fold with Spark's ``aggregate`` over the edges, in the order of their
+  ends, finds the segmentation of the largest total score.
 
 A character without a piece is an edge of its bytes' pieces.  Texts are dealt into
 blocks of about ``BLOCK_BYTES``; each block names its different words, gets them
@@ -50,7 +50,7 @@ SPACE = "▁"
 WORD = r"▁*\p{L}+|▁*[^\p{L}\p{Nd}▁]+|\p{Nd}|▁+"
 COARSE = r"▁*[^▁]+|▁+"
 #: Texts of about so many bytes share their words.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 #: Texts of about so many pieces are decoded together.
 PIECES_AT_ONCE = 500_000
 #: What a byte piece costs below the lowest score.
@@ -147,15 +147,19 @@ def lattice(words: DataFrame, model: str) -> DataFrame:
     return joined.select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", unknown).alias("score"))
 
 
-def _best(steps: str) -> Column:
-    """Of each end position the best (score, minus the start of the last edge, its id); place 0 is the word's beginning."""
+def _best(edges: str) -> Column:
+    """Of each end position the best (score, minus the start of the last edge, its id); place 0 is the word's beginning.
 
-    def step(best: Column, at: Column) -> Column:
-        ways = F.transform(at["edges"], lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
-        return F.concat(best, F.array(F.array_max(ways)))
+    The edges come in the order of their ends, so what an edge starts from is done.
+    """
+
+    def step(best: Column, e: Column) -> Column:
+        way = F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id"))
+        better = way > F.element_at(best, -1)
+        return F.when(F.size(best) <= e["end"], F.concat(best, F.array(way))).when(better, F.concat(F.slice(best, 1, F.size(best) - 1), F.array(way))).otherwise(best)
 
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id")))
-    return F.aggregate(steps, first, step)
+    return F.aggregate(edges, first, step)
 
 
 def _path(best: str) -> Column:
@@ -175,9 +179,9 @@ def _path(best: str) -> Column:
 def encode_words(words: DataFrame, model: str) -> DataFrame:
     """(word, pieces): the piece ids of each different ``word``."""
     byte_ids = F.array(*(F.lit(int(i)) for i in pieces_of(model).byte_ids))
-    steps = lattice(words, model).groupBy("word", "end").agg(F.collect_list(F.struct("start", "id", "score")).alias("edges"))
-    grouped = steps.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("steps"))
-    found = grouped.select("word", _best("steps").alias("best")).select("word", F.reverse(_path("best")).alias("path"))
+    # each word's edges are made where the word is, so grouping them moves nothing
+    grouped = lattice(words, model).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
+    found = grouped.select("word", _best("edges").alias("best")).select("word", F.reverse(_path("best")).alias("path"))
 
     def ids(edge: Column) -> Column:
         code = F.hex(F.encode(F.substring("word", edge["start"] + 1, F.lit(1)), "UTF-8"))

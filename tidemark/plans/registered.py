@@ -1,7 +1,7 @@
 """All registered queries of the library's own operators."""
 
-from tidemark.plans import analytics, catalogue, rules
+from tidemark.plans import analytics, catalogue, rules, searching
 
-assert analytics and rules  # importing them registers their queries
+assert analytics and rules and searching  # importing them registers their queries
 QUERIES = catalogue.QUERIES
 ORACLE_SQL = catalogue.ORACLE_SQL

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from tidemark.operators.running import running_sum
 
 
 def latency_summary(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean, upper median, nearest-rank 95th percentile and maximum of each key."""
-    window = W.Window.partitionBy(key)
-    at = rows.select(key, F.col(value).alias("v"), (F.row_number().over(window.orderBy(value)) - 1).alias("i"), F.count("*").over(window).alias("n"))
+    """Mean, upper median, nearest-rank 95th percentile and maximum of each key.
+
+    Rows are counted by value first, so a key's rows never meet in one task; null
+    values take no part.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = running_sum(counts, [key], ["v"], "c", "upto")
+    all_of = counts.groupBy(F.col(key).alias("key_")).agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.max("v").alias("highest"))
+    at = upto.join(all_of, F.col(key).eqNullSafe(F.col("key_")))
     return at.groupBy(key).agg(
-        F.round(F.avg("v"), 6).alias("mean"),
-        F.max(F.when(F.expr("i = n div 2"), F.col("v"))).alias("upper_median"),
-        F.max(F.when(F.expr("i = ceil(0.95 * n) - 1"), F.col("v"))).alias("p95"),
-        F.max("v").alias("highest"),
+        F.round(F.first("mean"), 6).alias("mean"),
+        F.min(F.when(F.expr("upto > n div 2"), F.col("v"))).alias("upper_median"),
+        F.min(F.when(F.expr("upto >= ceil(0.95 * n)"), F.col("v"))).alias("p95"),
+        F.first("highest").alias("highest"),
     )
 
 
@@ -39,9 +46,9 @@ def cohens_kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
 def separation_auc(rows: DataFrame) -> DataFrame:
     """Probability that a positive row scores above a negative one, ties counted half.
 
-    Rows are counted by score first, so the running sum goes over distinct scores.
+    Rows are counted by score first, and the counts are added up by ranges of scores.
     """
     counts = rows.groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    below = counts.withColumn("below", F.sum("neg").over(W.Window.orderBy("score")) - F.col("neg"))
+    below = running_sum(counts, [], ["score"], "neg", "upto").withColumn("below", F.col("upto") - F.col("neg"))
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return below.agg(F.round(wins / (F.sum("pos") * F.sum("neg")), 9).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))

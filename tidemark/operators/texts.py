@@ -42,7 +42,9 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def slug(text: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Letters and digits of any script stay in lower case, punctuation goes, and runs of white space and hyphens become one hyphen."""
+    kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", "")
+    return F.regexp_replace(F.regexp_replace(kept, r"^\s+|\s+$", ""), r"[\s-]+", "-")
 
 
 def sentences(text: Column | str) -> Column:

@@ -46,7 +46,7 @@ def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with t as (select page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as body from pages)
-select page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, length(body) as n_chars, md5(body) as md5 from t""")
+select page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '^\\s+|\\s+$', '', 'g'), '[\\s-]+', '-', 'g') as slug, length(body) as n_chars, md5(body) as md5 from t""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("body", texts.main_text("html"))
     return pages.select("page_id", texts.slug("url").alias("slug"), F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("md5"))
@@ -137,14 +137,14 @@ def graph_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with recursive e as (select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity >= 49),
+with recursive e as (select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey),
 n as (select src as node from e union select dst from e), c as (select count(*) as cn from n), o as (select src, count(*) as deg from e group by 1),
 pr as (select node, 0 as i, 1.0::double / cn as r from n, c union all
   select n.node, p.i + 1, 0.15 / any_value(c.cn) + 0.85 * sum(case when o.deg is null then p.r / c.cn when e.dst is not null then p.r / o.deg else 0.0 end)
   from pr p cross join n cross join c left join o on o.src = p.node left join e on e.src = p.node and e.dst = n.node where p.i < 20 group by n.node, p.i)
 select node, round(r, 6) as rank from pr where i = 20""")
 def trade_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))

@@ -128,10 +128,13 @@ def pass_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select event_id, user_id, hits, hits <= 3 as allowed from (
-  select event_id, user_id, count(*) over (partition by user_id order by epoch(date_trunc('second', ts)) range between 3600 preceding and current row) as hits from events)""")
+with recursive e as (select event_id, user_id, epoch_us(ts) as moment, row_number() over (partition by user_id order by ts, event_id) as i from events),
+r as (select event_id, user_id, i, [moment] as held, true as allowed, 2 as remaining from e where i = 1 union all
+  select e.event_id, e.user_id, e.i, case when len(k) < 3 then list_append(k, e.moment) else k end, len(k) < 3, case when len(k) < 3 then 2 - len(k) else 0 end
+  from (select r.user_id, r.i, e.moment as now, list_filter(r.held, lambda x: x > e.moment - 86400000000) as k from r join e on e.user_id = r.user_id and e.i = r.i + 1) p join e on e.user_id = p.user_id and e.i = p.i + 1)
+select event_id, user_id, allowed, remaining from r""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compliance.sliding_log(table(spark, sf_dir, "events"), seconds=3600, limit=3)
+    return compliance.sliding_log(table(spark, sf_dir, "events"), seconds=86400, limit=3)
 
 
 @query("""
@@ -141,9 +144,9 @@ def error_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compliance.burn_rate(table(spark, sf_dir, "events"), target=0.995)
 
 
-@query("select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def undelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     return customers.join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
@@ -165,14 +168,15 @@ def clause_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select source, doc_id, used from (select source, doc_id, sum(n_chars) over (partition by source order by doc_id rows unbounded preceding) as used from documents) where used <= 20000""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.pack_context(table(spark, sf_dir, "documents"), "source", [F.asc("doc_id")], "n_chars", 20000).select("source", "doc_id", "used")
+    return retrieval.pack_context(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 20000).select("source", "doc_id", "used")
 
 
 @query("""
 with r as (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) - 1 as r, count(*) over (partition by source) as n from documents)
 select source, doc_id, case when n <= 2 then r when r % 2 = 0 then r // 2 else n - 1 - (r - 1) // 2 end as place from r""")
 def context_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.reorder_context(table(spark, sf_dir, "documents"), "source", [F.desc("n_chars"), F.asc("doc_id")]).select("source", "doc_id", "place")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", (-F.col("n_chars")).alias("worse"))
+    return retrieval.reorder_context(docs, "source", ["worse", "doc_id"]).select("source", "doc_id", "place")
 
 
 @query("""

@@ -194,6 +194,37 @@ def test_pitman_yor_is_a_distribution(spark):
     assert np.allclose(top.sum(axis=1), 1)
 
 
+def test_pitman_yor_seats_many_customers_as_one_by_one():
+    rng = np.random.default_rng(1)
+
+    def one_by_one(c, others, parent, d, s):
+        t = 1
+        for i in range(1, c):
+            new = (s + d * (others + t)) * parent
+            t += rng.random() < new / (new + i - d * t)
+        return t
+
+    for c, others, parent, d in ((12, 5, 0.1, 0.5), (400, 50, 0.05, 0.8), (3000, 2000, 0.01, 0.7)):
+        exact = np.mean([one_by_one(c, others, parent, d, 1.0) for _ in range(120)])
+        block = pitman_yor.seat(np.full(4000, c), np.full(4000, others), np.full(4000, parent), d, 1.0, rng).mean()
+        assert abs(block - exact) < 0.12 * exact
+
+
+def test_pitman_yor_letters_by_broadcast_and_by_join(spark):
+    df = spark.createDataFrame([(i, t, False) for i, (_, t) in enumerate(ROWS)], "doc_id long, text string, held_out boolean")
+    vocabulary = common.materialise(pitman_yor.vocabulary_of(df, 4, np.empty(0, np.uint64)), "test-vocabulary")
+    letters = common.materialise(pitman_yor.letter_probs(vocabulary, 1), "test-letters")
+    one, two = ({r.bucket: bytes(r.spelled) for r in pitman_yor.spelled_words(vocabulary, letters, most=m).collect()} for m in (10**6, 0))
+    assert one == two and len(one) == vocabulary.count()
+
+
+def test_pitman_yor_prefers_words_in_their_contexts(spark):
+    rows = [(i, "red apple green pear", False) for i in range(60)] + [(100, "red apple", True), (101, "red pear", True), (102, "green pear", True), (103, "green apple", True)]
+    found = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), buckets=3).collect()}
+    assert found[100].score > found[101].score and found[102].score > found[103].score
+    assert abs(found[100].perplexity - 10 ** (-found[100].score / 3)) < 1e-6 * found[100].perplexity
+
+
 def test_pitman_yor_spells_long_words_without_a_floor(spark):
     long = ["x" * 600, "x" * 1200, "\u6f22\u5b57" * 150, "words" * 120]
     rows = [(i, "some words to learn from, some more words", False) for i in range(20)] + [(100 + i, t, True) for i, t in enumerate(long)]

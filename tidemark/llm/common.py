@@ -3,6 +3,7 @@ tables to the cluster's shared folder, and sizing groups."""
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -64,6 +65,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def large_rows(spark: SparkSession):
+    """While this holds, tasks take rows one by one, as suits tables whose rows hold megabytes."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, "1")
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def discard(*written: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing reads any more."""
     for df in written:

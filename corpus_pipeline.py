@@ -39,7 +39,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: SQL can't express the stages; tests hold each of them against a brute-force version.
+#: SQL can't express the stages; each is tested in tests/llm.
 ORACLE_SQL = None
 
 

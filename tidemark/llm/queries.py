@@ -94,4 +94,22 @@ QUERIES = {
     "op10_flac_media": op10_flac_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs that share a shingle, then the closure of the links: for small tables only.
+_SIMILAR_GROUPS = r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from texts),
+sizes as (select doc_id, len(s)::bigint as n_shingles from sets),
+items as (select doc_id, unnest(s) as x from sets),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from items a join items b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b
+  where 100 * shared >= 75 * (x.n_shingles + y.n_shingles - shared)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select a, b from edges union select r.a, e.b from reach r join edges e on e.a = r.b)
+select s.doc_id, s.n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) as component_id
+from sizes s left join reach r on r.a = s.doc_id group by s.doc_id, s.n_shingles"""
+
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": _SIMILAR_GROUPS}

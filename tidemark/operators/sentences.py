@@ -1,4 +1,4 @@
-"""Sentences with offsets, overlaps of spans and boxes, distances of words, hidden characters."""
+"""Sentences with offsets and the windows that cover them, distances of words, hidden characters."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tidemark.operators.scans import span_iou
+
 #: Abbreviations, without their last full stop, that end no sentence.
 ABBREVIATIONS = ["rs", "inr", "no", "nos", "sec", "para", "cl", "art", "e.g", "i.e", "viz", "vs", "v", "dept", "fig", "approx", "govt", "ltd", "pvt", "co", "dr", "mr", "mrs", "ms", "prof", "rbi", "sebi", "cir"]
 
@@ -42,24 +44,6 @@ def sentence_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return found.select(key, "start", (F.col("start") + F.length("sentence")).alias("end"), "sentence")
 
 
-def span_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Intersection over union of two spans; 0 where the union is empty."""
-    shared = F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
-    union = (a_end - a_start) + (b_end - b_start) - shared
-    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
-
-
-def box_iou(a: list[Column], b: list[Column]) -> Column:
-    """Intersection over union of two boxes (x0, y0, x1, y1); 0 where the union is empty."""
-
-    def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-        return F.greatest(F.lit(0.0), x1 - x0) * F.greatest(F.lit(0.0), y1 - y0)
-
-    shared = area(F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3]))
-    union = area(*a) + area(*b) - shared
-    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
-
-
 def best_windows(sentences: DataFrame, key: str = "doc_id", size: int = 1000, overlap: int = 150) -> DataFrame:
     """(key, start, window, iou): the fixed window that covers each sentence best; the earlier one of equals.
 

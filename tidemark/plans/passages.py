@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import quantities, sentences
+from tidemark.operators import quantities, scans, sentences
 from tidemark.plans.catalogue import query
 from tidemark.sources.tables import table
 
@@ -52,7 +52,7 @@ def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = lines.select("l_orderkey", F.col("l_linenumber").alias("b_line"), F.col("box").alias("b_box"))
     sides = [[F.col(f"{b}.{s}") for s in ("x0", "y0", "x1", "y1")] for b in ("box", "b_box")]
     pairs = lines.join(other, "l_orderkey").filter("l_linenumber < b_line")
-    return pairs.select("l_orderkey", F.col("l_linenumber").alias("a_line"), "b_line", F.round(sentences.box_iou(*sides), 6).alias("iou"))
+    return pairs.select("l_orderkey", F.col("l_linenumber").alias("a_line"), "b_line", F.round(scans.box_iou(*sides), 6).alias("iou"))
 
 
 @query("""
@@ -79,7 +79,7 @@ select doc_id, classes, md5(regexp_replace(regexp_replace(text, '\x1B\[[0-9;]*[a
 def hidden_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, three fifths of which are given hidden characters first."""
     k = F.col("doc_id") % 5
-    marked = F.when(k == 0, F.concat(F.lit("​"), "text")).when(k == 1, F.concat("text", F.lit("\x1b[31m"))).when(k == 2, F.concat(F.lit("‮"), "text", F.lit("\U000e0041"))).otherwise(F.col("text"))
+    marked = F.when(k == 0, F.concat(F.lit("\u200b"), "text")).when(k == 1, F.concat("text", F.lit("\x1b[31m"))).when(k == 2, F.concat(F.lit("\u202e"), "text", F.lit("\U000e0041"))).otherwise(F.col("text"))
     texts = table(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))
     return texts.select("doc_id", F.concat_ws(",", sentences.hidden_classes("text")).alias("classes"), F.md5(sentences.without_hidden("text")).alias("clean"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import flac, jaccard_join, language_id, license_scan, nearest, packing, pitman_yor, secret_scan, sentencepiece_lattice, tool_calls
+from tidemark.llm import flac, jaccard_join, language_id, license_scan, merkle, nearest, packing, pitman_yor, secret_scan, sentencepiece_lattice, tool_calls
 from tidemark.llm.common import table
 
 
@@ -81,6 +81,10 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pitman_yor_scores": op1_pitman_yor_scores,
     "op2_sentencepiece_lattice": op2_sentencepiece_lattice,
@@ -92,6 +96,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_flac_media": op10_flac_media,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: All pairs that share a shingle, then the closure of the links: for small tables only.
@@ -112,4 +117,39 @@ reach as (select a, b from edges union select r.a, e.b from reach r join edges e
 select s.doc_id, s.n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) as component_id
 from sizes s left join reach r on r.a = s.doc_id group by s.doc_id, s.n_shingles"""
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": _SIMILAR_GROUPS}
+
+def _digest(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::varchar) || ':' || ({f})::varchar, '-')" for f in fields) + ")"
+
+
+#: CRC-32 of a doc_id's decimal digits, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce([4294967295::ubigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint),
+  lambda crc, b: list_reduce([xor(crc, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, y: xor(x >> 1, if(x & 1 = 1, 3988292384, 0)::ubigint))))"""
+
+_MANIFEST = f"""
+with recursive digests as (
+  select row_number() over () as row, doc_id, lang, {_digest("n_chars")} as leaf, case when {_CRC32} % 7 = 0 then {_digest("n_chars + 1")} else {_digest("n_chars")} end as held from documents),
+leaves as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from digests),
+nodes as (
+  select lang, 0 as lvl, pos, leaf as h, n from leaves
+  union all select lang, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), count(*) over (partition by lang) from nodes where n > 1 group by lang, lvl, pos // 2),
+subs as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+top as (
+  select 0 as lvl, pos, subroot as h, n from subs
+  union all select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), count(*) over () from top where n > 1 group by lvl, pos // 2),
+path as (
+  select l.row, 0 as part, x.lvl, coalesce(if(s.pos < x.pos, 'L', 'R') || s.h, '') as s
+  from leaves l join nodes x on x.lang is not distinct from l.lang and x.pos = l.pos >> x.lvl and x.n > 1
+  left join nodes s on s.lang is not distinct from x.lang and s.lvl = x.lvl and s.pos = xor(x.pos, 1)
+  union all
+  select l.row, 1, x.lvl, coalesce(if(s.pos < x.pos, 'L', 'R') || s.h, '')
+  from leaves l join subs u on u.lang is not distinct from l.lang join top x on x.pos = u.pos >> x.lvl and x.n > 1 left join top s on s.lvl = x.lvl and s.pos = xor(x.pos, 1)),
+paths as (select row, list(s order by part, lvl) as p from path group by row),
+folded as (
+  select l.doc_id, l.leaf, u.subroot, (select h from top where n = 1) as root, sha256(coalesce(array_to_string(list_transform(p, lambda s: s[2:]), ''), '')) as proof_sha256,
+    list_reduce([held] || coalesce(p, []), lambda x, s: case s[1] when 'L' then sha256(s[2:] || x) when 'R' then sha256(x || s[2:]) else sha256(x) end) as folded_root
+  from leaves l join subs u on u.lang is not distinct from l.lang left join paths using (row))
+select *, folded_root = root as verified from folded"""
+
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": _SIMILAR_GROUPS, "op13_merkle_manifest": _MANIFEST}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import flac, jaccard_join, language_id, license_scan, merkle, nearest, packing, pitman_yor, secret_scan, sentencepiece_lattice, tool_calls
+from tidemark.llm import collocations, flac, jaccard_join, language_id, license_scan, merkle, nearest, packing, pitman_yor, secret_scan, sentencepiece_lattice, tool_calls
 from tidemark.llm.common import table
 
 
@@ -81,6 +81,10 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_flac_media": op10_flac_media,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -117,6 +122,26 @@ reach as (select a, b from edges union select r.a, e.b from reach r join edges e
 select s.doc_id, s.n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) as component_id
 from sizes s left join reach r on r.a = s.doc_id group by s.doc_id, s.n_shingles"""
 
+_COLLOCATIONS = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+grams as (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase from words, range(1, 5) t(m)),
+f as (select lang, m, phrase, count(*)::hugeint as a from grams group by all having count(*) >= 30),
+cand as (select * from f where m >= 2),
+inside as (
+  select lang, array_to_string(string_split(phrase, ' ')[i:i + k - 1], ' ') as phrase, max(a) as longer
+  from cand, range(2, 4) x(k), range(1, 4) y(i) where k < m and i + k - 1 <= m group by all),
+kept as (select c.* from cand c left join inside i using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+cuts as (
+  select c.lang, c.phrase, c.a, k, l.a as l, r.a as r, 2000000 * c.a // (l.a + r.a) as score
+  from (select *, array_to_string(string_split(phrase, ' ')[1:k], ' ') as p, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') as q from kept, range(1, 4) x(k) where k < m) c
+  join f l on l.lang = c.lang and l.phrase = c.p join f r on r.lang = c.lang and r.phrase = c.q),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from best join totals using (lang) qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000"""
+
 
 def _digest(n_chars: str) -> str:
     fields = ("doc_id", "source", "lang", n_chars, "text")
@@ -152,4 +177,4 @@ folded as (
   from leaves l join subs u on u.lang is not distinct from l.lang left join paths using (row))
 select *, folded_root = root as verified from folded"""
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": _SIMILAR_GROUPS, "op13_merkle_manifest": _MANIFEST}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard_join": _SIMILAR_GROUPS, "op12_phrase_collocations": _COLLOCATIONS, "op13_merkle_manifest": _MANIFEST}

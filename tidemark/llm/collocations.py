@@ -60,8 +60,8 @@ class Pieces:
     doc: np.ndarray
 
 
-def pieces_of_texts(texts: pa.Array) -> Pieces:
-    """The words of each text, lower-cased in ASCII; a null text has none."""
+def pieces_of_texts(texts: pa.Array, kinds: np.ndarray = _KIND) -> Pieces:
+    """The words of each text, lower-cased in ASCII; a null text has none. ``kinds`` says of each byte what it is."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     first, n = int(offsets[0]), int(offsets[-1] - offsets[0])
@@ -69,7 +69,7 @@ def pieces_of_texts(texts: pa.Array) -> Pieces:
     if n:
         data[:n] = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[first : first + n]]
     bounds = offsets - first
-    kind = _KIND[data[:n]]
+    kind = kinds[data[:n]]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     word = np.zeros(n + 2, bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import collocations, flac, jaccard_join, language_id, license_scan, merkle, nearest, packing, pitman_yor, secret_scan, sentencepiece_lattice, tool_calls
+from tidemark.llm import collocations, flac, jaccard_join, language_id, license_scan, merkle, nearest, packing, pitman_yor, secret_scan, sentencepiece_lattice, tool_calls, toxicity
 from tidemark.llm.common import table
 
 
@@ -81,6 +81,13 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from labels of two thirds of the ids, score all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels")))
+    return toxicity.classify(docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -100,6 +107,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_flac_media": op10_flac_media,
+    "op11_compression_toxicity": op11_compression_toxicity,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

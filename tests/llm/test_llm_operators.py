@@ -392,6 +392,15 @@ def test_redact_with_clashing_names(spark):
     assert found.filter("doc_id = 1").first().text == 'token = "[secret]"'
 
 
+def test_redact_by_row_and_place(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(None, 'password = "abcdef12"'), (None, "the word abcdef12 is harmless"), (7, f'token = "{key}" é token = "{key}"'), (7, f"a blob/{key} elsewhere"), (7, None), (8, f'secret: "{key}", pwd="q1w2e3r4" end')]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((str(r.doc_id), str(r.text)) for r in secret_scan.redact(df).collect()) == sorted(
+        (str(i), str(t)) for i, t in [(None, 'password = "[secret]"'), rows[1], (7, 'token = "[secret]" é token = "[secret]"'), rows[3], rows[4], (8, 'secret: "[secret]", pwd="[secret]" end')]
+    )
+
+
 def labelled_findings(seed, n):
     """Made findings: keys and passwords beside names, and hashes, UUIDs, slugs and camel-case names in other places."""
     rng = np.random.default_rng(seed)

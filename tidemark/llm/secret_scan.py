@@ -178,17 +178,23 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, *, threshold: float
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every secret replaced, and ``n_chars`` (if there) counted anew.
+    """``docs`` with every secret replaced where it stands, and ``n_chars`` (if there) counted anew.
 
-    All columns and rows stay.  The replaced values of a document are gathered by
-    document, so a group is as large as the findings of one text.
+    Rows are told apart by a number of their own, so rows with null or repeated ids keep their own texts.
+    Within a row, a candidate that has a secret's value is replaced as well. All columns and rows stay.
+    A group is as large as the findings of one text.
     """
-    key, values = (next(c for c in map((name + "_{}").format, range(len(docs.columns) + 1)) if c not in docs.columns) for name in ("secret_id", "secrets"))
-    secrets = scan(docs, **options).filter("is_secret").groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_set("value")).alias(values))
-    joined = docs.join(secrets, docs["doc_id"].cast("long").eqNullSafe(F.col(key)), "left")
-    clean = F.aggregate(F.reverse(values), F.col("text"), lambda text, s: F.replace(text, s, F.lit(REPLACEMENT)))
-    text = F.when(F.col(values).isNull(), F.col("text")).otherwise(clean)
-    out = joined.withColumn("text", text)
+    number, spans = (next(c for c in map((name + "_{}").format, range(len(docs.columns) + 1)) if c not in docs.columns) for name in ("row_number", "spans"))
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "secret-rows")
+    source = ["source"] if "source" in docs.columns else []
+    found = scan(rows.select(F.col(number).alias("doc_id"), "text", *source), **options)
+    alike = found.groupBy("doc_id", "value").agg(F.max("is_secret").alias("is_secret"), F.collect_list(F.struct("start", "n_chars")).alias("at")).filter("is_secret")
+    places = alike.groupBy(F.col("doc_id").alias(number)).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias(spans))
+    joined = rows.join(places, number, "left")
+    n = F.size(spans)
+    end = lambda i: F.when(i == 0, 0).otherwise(F.element_at(spans, F.greatest(i, F.lit(1))).start + F.element_at(spans, F.greatest(i, F.lit(1))).n_chars)
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.col("text").substr((end(i) + 1).cast("int"), F.when(i < n, F.element_at(spans, F.least(i + 1, n)).start - end(i)).otherwise(F.length("text")).cast("int")))
+    out = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(kept, REPLACEMENT)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(values).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import math
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: How often a chunk may be halved at most.
 MOST_HALVINGS = 6
 
 
-def _stripped(text: str, start: str) -> tuple[Column, Column]:
-    """(start, text) without white space at the ends."""
-    bare = F.regexp_replace(text, r"^\s+", "")
-    lead = F.length(text) - F.length(bare)
-    return F.col(start) + lead, F.regexp_replace(bare, r"\s+$", "")
-
-
 def last_space(text: Column) -> Column:
     """The place (from 0) of the last space of a text, or -1."""
     back = F.locate(" ", F.reverse(text))
@@ -30,6 +26,85 @@ def approximate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long")
 
 
+def placed_strip(text: str, start: int) -> tuple[int, str]:
+    """(start, text) without white space at the ends."""
+    return start + len(text) - len(text.lstrip()), text.strip()
+
+
+def middle_space(text: str) -> int:
+    """The space before a text's middle, else the first behind it, else its middle."""
+    middle = len(text) // 2
+    for found in (text.rfind(" ", 0, middle), text.find(" ", middle)):
+        if found > 0:
+            return found
+    return middle
+
+
+def halves(text: str, start: int, count: Callable[[str], int], most: int, cut: Callable[[str], int], *, shortest: int = 2, depth: int | None = None) -> Iterator[tuple[int, str, int]]:
+    """(start, text, tokens) of a text that is halved, in its order, until each piece has at most ``most`` tokens, or is too short or often halved."""
+    waiting = [(start, text, 0)]
+    while waiting:
+        at, piece, done = waiting.pop()
+        tokens = count(piece)
+        if tokens <= most or len(piece) < shortest or (depth is not None and done >= depth):
+            yield at, piece, tokens
+            continue
+        k = cut(piece)
+        for offset, part in ((k, piece[k:]), (0, piece[:k])):
+            begin, bare = placed_strip(part, at + offset)
+            if bare:
+                waiting.append((begin, bare, done + 1))
+
+
+def quarter_tokens(text: str) -> int:
+    return max(1, -(-len(text) // 4))
+
+
+def window_pieces(text: str, size: int, overlap: int, count: Callable[[str], int], most: int) -> Iterator[tuple[int, str, int]]:
+    """(start, text, tokens) of the pieces of all windows of one text."""
+    step, n = size - overlap, len(text)
+    for pos in range(0, n, step):
+        end = min(pos + size, n)
+        if end < n and (space := text.rfind(" ", pos + step, end)) > pos:
+            end = space
+        start, body = placed_strip(text[pos:end], pos)
+        if body:
+            yield from halves(body, start, count, most, middle_space, depth=MOST_HALVINGS)
+        if pos + size >= n:
+            break
+
+
+#: Rows that are handed on together.
+HANDED_ON = 5_000
+
+
+def rows_of_texts(texts: DataFrame, cut: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:
+    """The other columns of ``texts`` and the ``columns`` of every row that ``cut`` makes of its text (none of a null text)."""
+    kept = [c for c in texts.columns if c != "text"]
+    made = StructType.fromDDL(columns)
+    schema = StructType([*(texts.schema[c] for c in kept), *made])
+    kinds = to_arrow_schema(made)
+
+    def batch(own: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[k] for r in rows], kind.type) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*own.take(pa.array(at, pa.int64())).columns, *columns], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in batches:
+            own, at, rows = full.select(kept), [], []
+            for i, text in enumerate(full.column(len(kept))):
+                for row in cut(text.as_py()) if text.is_valid else ():
+                    at.append(i)
+                    rows.append(row)
+                    if len(rows) >= HANDED_ON:
+                        yield batch(own, at, rows)
+                        at, rows = [], []
+            if rows:
+                yield batch(own, at, rows)
+
+    return texts.select(*kept, "text").mapInArrow(run, schema)
+
+
 def chunk_documents(docs: DataFrame, *, size: int = 1000, overlap: int = 150, max_tokens: int = 512) -> DataFrame:
     """(doc_id, ordinal, char_start, char_end, token_count, chunk) of the windows of each text.
 
@@ -38,56 +113,16 @@ def chunk_documents(docs: DataFrame, *, size: int = 1000, overlap: int = 150, ma
     go, and what has more than ``max_tokens`` is halved at the space before its
     middle, else the first behind it, else in the middle.  ValueError for an
     overlap that isn't smaller than the size; null and blank texts have no chunks.
+    All windows of a text are cut in one go, in time that grows with its length.
     """
     if not 0 <= overlap < size:
         raise ValueError(f"the overlap ({overlap}) must be smaller than the size ({size})")
-    step = size - overlap
-    n = F.length("text")
-    # the last window is the first that reaches the end
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    at = docs.filter(n > 0).select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).alias("pos"))
-    zone = F.substring("text", F.col("pos") + step + 1, F.lit(overlap))
-    cut = F.when(F.col("pos") + size < n, last_space(zone)).otherwise(-1)
-    end = F.when(cut >= 0, F.col("pos") + step + cut).otherwise(F.least(F.col("pos") + size, n))
-    windows = at.select("doc_id", "pos", F.substring("text", F.col("pos") + 1, end - F.col("pos")).alias("chunk"))
-    start, body = _stripped("chunk", "pos")
-    pieces = windows.select("doc_id", "pos", F.lit("").alias("way"), start.alias("char_start"), body.alias("chunk")).filter("chunk <> ''")
-    needed = max(0, math.ceil(math.log2(size / (4 * max_tokens)))) + 2
-    for _ in range(min(MOST_HALVINGS, needed)):
-        pieces = _halved(pieces, max_tokens)
-    ordinal = F.row_number().over(_by_place()) - 1
-    return pieces.select(
-        "doc_id",
-        ordinal.cast("long").alias("ordinal"),
-        F.col("char_start").cast("long").alias("char_start"),
-        (F.col("char_start") + F.length("chunk")).cast("long").alias("char_end"),
-        approximate_tokens(F.col("chunk")).alias("token_count"),
-        "chunk",
-    )
-
-
-def _by_place():
-    from pyspark.sql.window import Window
 
-    return Window.partitionBy("doc_id").orderBy("pos", "way")
-
-
-def _halved(pieces: DataFrame, max_tokens: int) -> DataFrame:
-    middle = F.floor(F.length("chunk") / 2).cast("int")
-    before = last_space(F.expr("substring(chunk, 1, length(chunk) div 2)"))
-    behind = F.expr("locate(' ', chunk, length(chunk) div 2 + 1)") - 1
-    cut = F.when(before > 0, before).when(behind > 0, behind).otherwise(middle)
-    long = (approximate_tokens(F.col("chunk")) > max_tokens) & (F.length("chunk") >= 2)
-    parts = F.when(
-        long,
-        F.array(
-            F.struct(F.lit("a").alias("step"), F.lit(0).alias("shift"), F.substring("chunk", F.lit(1), cut).alias("part")),
-            F.struct(F.lit("b").alias("step"), cut.cast("int").alias("shift"), F.substring("chunk", cut + 1, F.length("chunk")).alias("part")),
-        ),
-    ).otherwise(F.array(F.struct(F.lit("").alias("step"), F.lit(0).alias("shift"), F.col("chunk").alias("part"))))
-    each = pieces.select("doc_id", "pos", "way", "char_start", F.inline(parts)).withColumn("from", F.col("char_start") + F.col("shift"))
-    start, body = _stripped("part", "from")
-    return each.select("doc_id", "pos", F.concat("way", "step").alias("way"), start.alias("char_start"), body.alias("chunk")).filter("chunk <> ''")
+    def cut(text: str) -> Iterator[tuple]:
+        for i, (start, piece, tokens) in enumerate(window_pieces(text, size, overlap, quarter_tokens, max_tokens)):
+            yield i, start, start + len(piece), tokens, piece
+
+    return rows_of_texts(docs.select("doc_id", "text"), cut, "ordinal long, char_start long, char_end long, token_count long, chunk string")
 
 
 def wrong_offsets(chunks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import chunks, near
+from tidemark.operators import chunks, near, structure
 from tidemark.plans.catalogue import query
 from tidemark.sources.tables import table
 
@@ -103,3 +103,50 @@ k as (select doc_id, list_filter(list_transform(range(1, len(s) + 1), lambda i:
 select doc_id, md5(k[len(k)]) as md5 from k""")
 def sentence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(chunks.trim_to_sentences(F.col("text"), 100)).alias("md5"))
+
+
+#: Documents as regulations: every third line begins a section, others a clause, and blank lines stand between them.
+_RULES = """select doc_id, array_to_string(list_transform(l, lambda x, i: case when i % 3 = 1 then 'SECTION ' || i || ' ' when i % 3 = 2 then '(' || i || ') ' else 'x ' end || x), chr(10) || chr(10)) as text, l
+  from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' and not regexp_matches(x, '^[^a-zA-Z]*$')) as l from documents where text is not null) where len(l) > 0"""
+
+
+@query(f"""
+with t as ({_RULES}),
+p as (select doc_id, l, unnest(range(1, len(l) + 1)) as i from t),
+q as (select doc_id, i, case when i % 3 = 1 then 'SECTION ' || i || ' ' || l[i] when i % 3 = 2 then '(' || i || ') ' || l[i] else 'x ' || l[i] end as part, len(l) as n from p),
+s as (select *, sum(length(part) + 2) over (partition by doc_id order by i) - length(part) - 2 as start from q)
+select doc_id, i - 1 as ordinal, start::bigint as char_start, (start + length(rtrim(part, ' ')))::bigint as char_end,
+  case when i % 3 = 1 and i < n then 'SECTION ' || i || '|(' || (i + 1) || ')' when i % 3 = 1 then 'SECTION ' || i when i % 3 = 2 then 'SECTION ' || (i - 1) || '|(' || i || ')' else 'SECTION ' || (i - 2) || '|(' || (i - 1) || ')' end as path,
+  'section' as kind from s""")
+def clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paragraph by itself, with its section and clause; paragraphs that begin a clause name it for the one before, too."""
+    line = lambda x, i: F.concat(F.when((i + 1) % 3 == 1, F.format_string("SECTION %d ", i + 1)).when((i + 1) % 3 == 2, F.format_string("(%d) ", i + 1)).otherwise("x "), x)
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike("^[^a-zA-Z]*$"))
+    texts = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", lines.alias("l")).filter("size(l) > 0")
+    texts = texts.select("doc_id", F.array_join(F.transform("l", line), "\n\n").alias("text"))
+    found = structure.structural_chunks(texts, structure.Limits(most=10**9, least=0))
+    return found.select("doc_id", "ordinal", "char_start", "char_end", F.array_join("path", "|").alias("path"), "kind")
+
+
+@query("""
+select doc_id, 0::bigint as wrong, 0::bigint as uncovered, true as within from documents where trim(text) <> ''""")
+def structure_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural chunks of the documents as they are stand where they say, hold at most 512 tokens and leave out white space only."""
+    docs = table(spark, sf_dir, "documents").filter("trim(text) <> ''").select("doc_id", "text")
+    own = structure.structural_chunks(docs)
+    wrong = chunks.wrong_offsets(own, docs).groupBy("doc_id").agg(F.count("*").alias("wrong"))
+    within = own.groupBy("doc_id").agg(F.bool_and((F.col("token_count") <= 512) | (F.instr("chunk", " ") == 0)).alias("within"))
+    found = chunks.uncovered_characters(own, docs).join(wrong, "doc_id", "left").join(within, "doc_id")
+    return found.select("doc_id", F.coalesce("wrong", F.lit(0)).alias("wrong"), "uncovered", "within")
+
+
+@query("""
+with t as (select page_id, 'Body of ' || url || chr(10) || 'Annexure ' || (page_id % 9 + 1) || ': Forms' || chr(10) || 'text' || case when page_id % 3 = 0 then chr(10) || 'Schedule ' || (page_id % 4 + 1) || chr(10) || 'rates' else '' end as text from pages),
+c as (select page_id, text, instr(text, chr(10) || 'Annexure') as a, instr(text, chr(10) || 'Schedule') as s, length(text) as n from t)
+select page_id, 1::bigint as ordinal, 'ANNEXURE' as kind, 'Annexure ' || (page_id % 9 + 1) as identifier, 'Forms' as title, a::bigint as char_start, case when s > 0 then s else n end::bigint as char_end, 0::bigint as parent from c
+union all select page_id, 2, 'SCHEDULE', 'Schedule ' || (page_id % 4 + 1), 'Schedule ' || (page_id % 4 + 1), s::bigint, n::bigint, 0 from c where s > 0""")
+def annexure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    schedule = F.when(k % 3 == 0, F.format_string("\nSchedule %d\nrates", k % 4 + 1)).otherwise("")
+    texts = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("Body of "), "url", F.format_string("\nAnnexure %d: Forms\ntext", k % 9 + 1), schedule).alias("text"))
+    return structure.section_links(structure.sections(texts))

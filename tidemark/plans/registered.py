@@ -1,7 +1,7 @@
 """All registered queries of the library's own operators."""
 
-from tidemark.plans import analytics, catalogue, curation, linking, passages, quality, registry, rules, searching
+from tidemark.plans import analytics, catalogue, curation, linking, passages, quality, registry, rules, searching, storing
 
-assert analytics and curation and linking and passages and quality and registry and rules and searching  # importing them registers their queries
+assert analytics and curation and linking and passages and quality and registry and rules and searching and storing  # importing them registers their queries
 QUERIES = catalogue.QUERIES
 ORACLE_SQL = catalogue.ORACLE_SQL

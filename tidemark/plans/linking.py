@@ -1,11 +1,11 @@
-"""Registered queries of dictionaries and references, with their SQL twins."""
+"""Registered queries of dictionaries, references and the search over all arms, with their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import dictionary
+from tidemark.operators import dictionary, hybrid, measures
 from tidemark.plans.catalogue import query
 from tidemark.sources.tables import table
 
@@ -92,3 +92,85 @@ def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = manifest.unionAll(orders.filter(key % 7 == 0).select(key * 2 + 1, F.concat(F.lit("DOR.STR.REC."), "o_custkey", F.lit("/")), key))
     manifest = manifest.unionAll(orders.filter(key % 11 == 0).select(key * 2, F.format_string("x/SEBI/HO/%s/P/%d/y", "o_orderstatus", key % 50), key))
     return dictionary.resolved(found, manifest)
+
+
+_HYBRID = r"""
+docs as (select doc_id, text, coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as integer), 0) % 5 + 1 as tier from documents where lang in ('en', 'fr')),
+d as (select doc_id, unnest(string_split_regex(lower(text), '\s+')) as term from docs),
+tf as (select doc_id, term, count(*) as tf from d where term <> '' group by all),
+len as (select doc_id, sum(tf) as dl from tf group by all),
+st as (select count(*) as n, avg(dl) as avgdl from len),
+df as (select term, count(*) as df from tf group by all),
+q as (select distinct item_id, unnest(string_split_regex(lower(text), '\s+')) as term from benchmark),
+bm as (select item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+  from q join tf using (term) join df using (term) join len using (doc_id), st where term <> '' group by all),
+lexical as (select * from (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rank from bm) where rank <= 20),
+v as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from embeddings),
+cs as (select a.vec_id as item_id, b.vec_id as doc_id, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 6) as score
+  from v a join benchmark on item_id = a.vec_id, v b where b.vec_id in (select doc_id from docs)),
+dense as (select * from (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rank from cs) where rank <= 20),
+ways as (
+  select distinct src, dst, relation from (select doc_id as src, doc_id // 2 as dst, 'cites' as relation from documents union all select doc_id, doc_id // 3, 'amends' from documents)
+  where src <> dst and src in (select doc_id from docs) and dst in (select doc_id from docs)),
+seeds as (select item_id, doc_id from lexical where rank <= 3),
+hop1 as (select item_id, dst as doc_id, max(if(relation = 'amends', 0.9, 0.7) * 0.85) as score from seeds join ways on src = doc_id group by all),
+hop2 as (select item_id, dst as doc_id, max(if(relation = 'amends', 0.9, 0.7) * 0.7225) as score from hop1 join ways on src = doc_id group by all),
+gs as (select item_id, doc_id, round(max(score), 9)::double as score from (select * from hop1 union all select * from hop2) anti join seeds using (item_id, doc_id) group by all),
+graph as (select * from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from gs) where rank <= 20),
+u as (
+  select 'lexical' as arm, item_id, doc_id, rank, 1.0 / (60 + rank) as term from lexical union all select 'dense', item_id, doc_id, rank, 1.0 / (60 + rank) from dense
+  union all select 'graph', item_id, doc_id, rank, 0.5 * (1 + 0.1 * score) / (60 + rank) from graph),
+fu as (select item_id, doc_id, round(sum(term::double), 9) as score, string_agg(arm || '=' || rank, ',' order by arm) as arm_ranks from u group by all),
+cen as (select dst as doc_id, round(count(*) / max(count(*)) over (), 9) as c from ways group by dst),
+f as (
+  select item_id, doc_id, arm_ranks, round(score * (1 + 0.15 * ln(1 + coalesce(c, 0) * (exp(1) - 1))) * case tier when 1 then 1.25 when 2 then 1.15 when 3 then 1.05 when 5 then 0.85 else 1.0 end::double, 9) as score
+  from fu join docs using (doc_id) left join cen using (doc_id)),
+b as (select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from f) where rank <= 5),
+l as (select item_id, doc_id, min(arm) as anchored_arm from u where rank = 1 group by all),
+m as (select l.*, f.score, row_number() over (partition by l.item_id order by anchored_arm, l.doc_id) as n from l join f using (item_id, doc_id) anti join b on b.item_id = l.item_id and b.doc_id = l.doc_id),
+x as (select item_id, count(*) as extra from m group by all),
+k as (select b.* from b left join x using (item_id) where rank <= greatest(0, 5 - coalesce(extra, 0))),
+h as (select item_id, count(*) as have from k group by all),
+found as (
+  select item_id, doc_id, score, rank, null::varchar as anchored_arm from k
+  union all select m.item_id, doc_id, score, coalesce(have, 0) + n, anchored_arm from m left join h using (item_id) where coalesce(have, 0) + n <= 5)"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vectors, key = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), F.col("doc_id")
+    items = table(spark, sf_dir, "benchmark")
+    edges = docs.select(key.alias("src"), F.expr("doc_id div 2").alias("dst"), F.lit("cites").alias("relation")).unionAll(docs.select(key, F.expr("doc_id div 3"), F.lit("amends")))
+    tier = F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)"), F.lit(0)) % 5 + 1
+    asked = vectors.select(F.col("vec_id").alias("item_id"), "embedding").join(items.select("item_id"), "item_id")
+    return hybrid.hybrid_search(
+        items, docs, asked, vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), edges,
+        keep=F.col("lang").isin("en", "fr"), tier=tier, how=hybrid.Search(relations={"amends": 0.9, "cites": 0.7}),
+    )
+
+
+@query(f"with {_HYBRID} select item_id, doc_id, score, rank, arm_ranks, anchored_arm from found join fu using (item_id, doc_id)".replace("select item_id, doc_id, score, rank, arm_ranks", "select item_id, doc_id, found.score, rank, arm_ranks"))
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items against the English and French documents by words, vectors and citations."""
+    return _hybrid(spark, sf_dir)
+
+
+_PASSAGES = r"""
+named as (select item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\pL\pN_\s-]', ' ', 'g'), '\s+'), lambda w: w <> '') as w from benchmark),
+p as (select item_id as entity_id, array_to_string(w[1:6], ' ') as phrase, 1.0::double as confidence from named)"""
+
+
+@query(f"""
+with {_HYBRID}, {_PASSAGES}, {_HITS},
+truth as (select distinct entity_id as item_id, doc_id from hits where doc_id in (select doc_id from docs)),
+asked as (select item_id, count(*) as n from truth group by all),
+got as (select item_id, count(*) as covered, sum(1 / log2(rank + 1)) as dcg, min(rank) as best from found join truth using (item_id, doc_id) group by all)
+select item_id, round(coalesce(covered, 0) / n, 6) as recall, coalesce(covered, 0) > 0 as hit, round(coalesce(1 / best, 0), 6) as reciprocal_rank,
+  round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg
+from asked left join got using (item_id)""")
+def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, reciprocal rank and nDCG of the search: documents that hold the first six words of an item are what it looks for."""
+    w = F.filter(F.split(F.regexp_replace(F.lower("text"), r"(?U)[^\w\s-]", " "), r"\s+"), lambda x: x != "")
+    phrases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity_id"), F.concat_ws(" ", F.slice(w, 1, 6)).alias("phrase"), F.lit(1.0).alias("confidence"))
+    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "fr")).select("doc_id", "text")
+    truth = dictionary.phrase_hits(docs, phrases, overlaps="all").select(F.col("entity_id").alias("item_id"), "doc_id").distinct().withColumn("group", F.col("doc_id"))
+    return measures.group_scores(_hybrid(spark, sf_dir).select("item_id", "doc_id", "rank"), truth, "item_id", "doc_id", k=5)

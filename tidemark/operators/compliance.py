@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tidemark.operators.folds import fold_sorted
+
 
 def observation_status(events: DataFrame, start: str, end: str, *, threshold: float = 99.0) -> DataFrame:
     """Share of passed checks of each user in a closed window of time."""
@@ -30,24 +34,22 @@ def sliding_log(events: DataFrame, *, seconds: int, limit: int) -> DataFrame:
 
     A request is allowed while the log holds fewer than ``limit``; refused ones
     aren't recorded, and one is forgotten exactly ``seconds`` later.  Requests of
-    the same moment go by their id.  After a gap of ``seconds`` a log is empty, so
-    the rows between two such gaps are folded by themselves and a user's whole
-    history never meets in one task.  Rows without a time are refused.
+    the same moment go by their id.  A user's requests are sorted on disk and read
+    once, so a task holds at most ``limit`` of them, however many there are.
+    Rows without a time are refused.
     """
-    order = W.Window.partitionBy("user_id").orderBy("at", "event_id")
+
+    def step(held: collections.deque, e: dict) -> tuple:
+        while held and held[0] <= e["at"] - seconds * 1_000_000:
+            held.popleft()
+        free = len(held) < limit
+        if free:
+            held.append(e["at"])
+        return e["event_id"], e["user_id"], free, limit - len(held) if free else 0
+
     timed = events.filter(F.col("ts").isNotNull()).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    gap = F.col("at") - F.lag("at").over(order) >= seconds * 1_000_000
-    runs = timed.withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(order))
-
-    def fold(state: Column, e: Column) -> Column:
-        held = F.filter(state["held"], lambda x: x > e["at"] - seconds * 1_000_000)
-        free = F.size(held) < limit
-        row = F.struct(e["event_id"].alias("event_id"), free.alias("allowed"), F.when(free, limit - 1 - F.size(held)).otherwise(0).cast("long").alias("remaining"))
-        return F.struct(F.when(free, F.concat(held, F.array(e["at"]))).otherwise(held).alias("held"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<event_id: bigint, allowed: boolean, remaining: bigint>>").alias("out"))
-    grouped = runs.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("rows"))
-    found = grouped.select("user_id", F.inline(F.aggregate("rows", start, fold)["out"])).select("event_id", "user_id", "allowed", "remaining")
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("event_id", "user_id")}
+    found = fold_sorted(timed, "user_id", ["at", "event_id"], collections.deque, step, f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, allowed boolean, remaining long")
     untimed = events.filter(F.col("ts").isNull()).select("event_id", "user_id", F.lit(False).alias("allowed"), F.lit(0).cast("long").alias("remaining"))
     return found.unionAll(untimed)
 

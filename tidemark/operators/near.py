@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.sources.tables import materialise
 
@@ -81,7 +80,6 @@ def near_duplicates(docs: DataFrame, *, hashing: Callable[[bytes], int] = zlib.c
     Blank texts take no part; ids must be unique.
     """
     rows = materialise(signatures(docs, hashing), "near-signatures")
-    first = F.min("doc_id").over(Window.partitionBy("fingerprint"))
     rows_per_band = PERMUTATIONS // bands
     keyed = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.min_by("signature", "doc_id").alias("signature"))
     keyed = materialise(keyed, "near-texts")
@@ -92,7 +90,7 @@ def near_duplicates(docs: DataFrame, *, hashing: Callable[[bytes], int] = zlib.c
     other = keyed.select(F.col("first").alias("leader"), F.col("signature").alias("there"))
     scored = pairs.join(keyed, "first").join(other, "leader").select("first", "leader", F.round(similarity("signature", "there"), 6).alias("similarity"))
     best = scored.filter(F.col("similarity") >= least).groupBy("first").agg(F.max(F.struct("similarity", (-F.col("leader")).alias("minus"))).alias("best"))
-    found = rows.select("doc_id", first.alias("first")).join(best, "first", "left")
+    found = rows.join(keyed.select("fingerprint", "first"), "fingerprint").select("doc_id", "first").join(best, "first", "left")
     copy, near = F.col("doc_id") != F.col("first"), F.col("best").isNotNull()
     return found.select(
         "doc_id",

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.sources.tables import materialise
 
@@ -15,15 +14,13 @@ from tidemark.sources.tables import materialise
 def as_of(rows: DataFrame, versions: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
     """``rows`` with the ``value`` of the version of their key that began last at or before their time, else null.
 
-    Rows and versions are put in one order of time and the last version is carried
-    on, so there is no join of intervals; of versions that begin together the
-    greatest value holds.
+    The versions of a key are few and go along with its rows as one array, so the rows of one key may be spread over
+    any number of tasks; of versions that begin together the greatest value holds. Null keys have no versions.
     """
-    asked = rows.select(F.col(key).alias("k_"), F.col(at).alias("t_"), F.lit(1).alias("o_"), F.lit(None).cast(versions.schema[value].dataType).alias("v_"), F.struct(*rows.columns).alias("row_"))
-    begun = versions.filter(F.col(start).isNotNull()).select(F.col(key), F.col(start), F.lit(0), F.col(value), F.lit(None).cast(asked.schema["row_"].dataType))
-    order = Window.partitionBy("k_").orderBy("t_", "o_", "v_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = asked.unionAll(begun).withColumn("found_", F.last("v_", ignorenulls=True).over(order))
-    return found.filter("o_ = 1").select("row_.*", F.when(F.col("t_").isNotNull(), F.col("found_")).alias("version_value"))
+    begun = F.collect_list(F.struct(F.col(start).alias("begun"), F.col(value).alias("value")))
+    known = versions.filter(F.col(start).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("versions_of")).agg(begun.alias("versions_"))
+    last = F.array_max(F.filter("versions_", lambda v: v["begun"] <= F.col(at)))["value"]
+    return rows.join(known, F.col(key) == F.col("versions_of"), "left").select(*rows.columns, last.alias("version_value"))
 
 
 def compare_versions(pairs: DataFrame) -> DataFrame:
@@ -124,13 +121,19 @@ def suppressed(subscriptions: DataFrame, events: DataFrame) -> DataFrame:
     return own.select(*(F.col(c) if c != "is_active" else (F.col(c) & F.col("gone").isNull()).alias(c) for c in subscriptions.columns))
 
 
-def readiness(rows: DataFrame, by: str, status: str) -> DataFrame:
-    """Share of ready items in per cent, half-way ones counted three quarters, and the milestone that it has reached."""
-    ready, hybrid, n = F.count_if(F.col(status) == "READY"), F.count_if(F.col(status) == "HYBRID"), F.count("*")
-    score = F.round((ready + 0.75 * hybrid) / n * 100, 2)
-    return rows.groupBy(by).agg(n.alias("total"), ready.alias("ready"), hybrid.alias("hybrid"), score.alias("readiness")).withColumn(
-        "milestone", F.when(F.col("readiness") >= 80, "ADVANCED").when(F.col("readiness") >= 30, "TRANSITIONAL").otherwise("INITIAL")
-    )
+def readiness(rows: DataFrame, by: str | None, status: str, vulnerable: str) -> DataFrame:
+    """Counts of each group's assets by ``status``, their exposure (share of ``vulnerable`` ones), readiness and milestone.
+
+    Readiness is the share of PQC_READY assets in per cent, HYBRID ones counted three quarters. The last milestone needs 80
+    and no CLASSICAL_DEPRECATED asset, the second one 30. Without ``by`` there is one row, for no assets as well.
+    """
+    n, of = F.count("*"), lambda s: F.count_if(F.col(status) == s)
+    counts = {"total": n, "ready": of("PQC_READY"), "hybrid": of("HYBRID"), "deprecated": of("CLASSICAL_DEPRECATED"), "unknown": of("UNKNOWN_AUDIT_REQUIRED"), "vulnerable": F.count_if(F.col(vulnerable))}
+    found = rows.groupBy(*([by] if by else [])).agg(*(c.alias(name) for name, c in counts.items()))
+    share = lambda x: F.coalesce(F.try_divide(x, F.col("total")), F.lit(0.0))
+    found = found.withColumns({"exposure": F.round(share(F.col("vulnerable")), 4), "readiness": F.round(share(F.col("ready") + 0.75 * F.col("hybrid")) * 100, 2)})
+    done = (F.col("readiness") >= 80) & (F.col("deprecated") == 0)
+    return found.withColumn("milestone", F.when(done, "PHASE_3_QUANTUM_RESILIENT").when(F.col("readiness") >= 30, "PHASE_2_HYBRID_TRANSITION").otherwise("PHASE_1_INVENTORY"))
 
 
 def coverage(pairs: DataFrame, targets: DataFrame, by: str, target: str) -> DataFrame:

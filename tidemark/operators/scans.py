@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,7 @@ def scan_policy(found: DataFrame, docs: DataFrame, policy: str) -> DataFrame:
 
 #: Words that carry no subject (fixed values).
 STOPWORDS = (
-    "a an the and or but not of to in for with on at by from is are was were be been being have has had do does did what which who whom whose how when where why "
+    "a an the and or of to in for with on at by from is are was were be been being have has had do does did what which who whom whose how when where why "
     "this that these those it its as if each all both can could shall should will would may might must under over between into through after before during without within about against among "
     "below behind beneath beside beyond down up out off near above across along around towards toward upon via per"
 ).split()
@@ -129,20 +132,35 @@ def confidence(query: Column, passages: Column, *, depth: int = 5, threshold: fl
     return F.struct(F.round(share, 6).alias("coverage"), level.alias("level"), (level == "LOW").alias("is_refusal"), found["missing"].alias("missing"))
 
 
-def word_error_rate(reference: Column, heard: Column) -> Column:
-    """Word-level edit distance over the words of the reference, whatever their case.
+def edit_distance(a: list, b: list) -> int:
+    """Insertions, deletions and replacements that turn one list into the other, a row of the table at a time."""
+    known: dict = {}
+    x, y = (np.array([known.setdefault(w, len(known)) for w in ws], np.int64) for ws in (a, b))
+    step = np.arange(len(y) + 1)
+    row = step.copy()
+    for i, w in enumerate(x):
+        changed = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
+        row = np.minimum.accumulate(changed - step) + step  # insertions run along the row
+    return int(row[-1])
 
-    The different words of both are numbered and each becomes one character, so
-    the distance of two strings is that of the words.
-    """
-    split = lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
 
-    def rate(pair: Column) -> Column:
-        known = F.array_distinct(F.concat(pair["a"], pair["b"]))
-        coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x3400), 4, "0")), "UTF-16BE")), "")
-        return F.when(F.size(pair["a"]) == 0, F.when(F.size(pair["b"]) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded(pair["a"]), coded(pair["b"])) / F.size(pair["a"]))
+@F.pandas_udf(DoubleType())
+def _word_error_rate(reference: pd.Series, heard: pd.Series) -> pd.Series:
+    def rate(said: str | None, other: str | None) -> float | None:
+        if said is None or other is None:
+            return None
+        a, b = said.lower().split(), other.lower().split()
+        return (0.0 if not b else 1.0) if not a else edit_distance(a, b) / len(a)
+
+    return pd.Series([rate(*pair) for pair in zip(reference, heard, strict=True)], dtype="float64")
+
 
-    return F.get(F.transform(F.array(F.struct(split(reference).alias("a"), split(heard).alias("b"))), rate), 0)
+def word_error_rate(reference: Column, heard: Column) -> Column:
+    """Word-level edit distance over the words of the reference, whatever their case; null for a null text.
+
+    Without words in the reference it is 0 if nothing was heard, else 1. Any number of different words will do.
+    """
+    return _word_error_rate(reference, heard)
 
 
 def span_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

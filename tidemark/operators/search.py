@@ -162,12 +162,14 @@ def prefix_suggestions(keys: DataFrame, asked: DataFrame, *, limit: int) -> Data
     """(prefix, key, score, rank) of the keys that begin with each ``prefix``.
 
     An equal key counts 1.3 of its ``base``, a longer one 0.8 and a fifth of the
-    share of it that the prefix is.  Keys are joined by their first letters
-    (those of the shortest prefix), so no pair of other keys is looked at.
+    share of it that the prefix is.  Keys are joined by their beginnings of the
+    lengths that are asked for, so no pair of other keys is looked at.
     """
     clean = asked.select("prefix", F.lower(F.trim("prefix")).alias("p")).filter("p <> ''").distinct()
     own = keys.select(F.lower("key").alias("key"), "base").groupBy("key").agg(F.max("base").alias("base"))
-    met = clean.withColumn("head", F.substring("p", 1, 1)).join(own.withColumn("head", F.substring("key", 1, 1)), "head").filter(F.col("key").startswith(F.col("p")))
+    sizes = clean.agg(F.collect_set(F.length("p")).alias("sizes"))  # one row of a few lengths
+    begins = own.join(F.broadcast(sizes)).select("key", "base", F.explode(F.filter("sizes", lambda n: n <= F.length("key"))).alias("n")).select("key", "base", F.col("key").substr(F.lit(1), F.col("n")).alias("p"))
+    met = clean.join(begins, "p")
     part = F.length("p") / F.length("key")
     score = F.round(F.col("base") * F.when(F.col("key") == F.col("p"), 1.3).otherwise(0.8 + 0.2 * part), 6)
     rank = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("score"), "key"))

@@ -255,19 +255,15 @@ def sibling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lag("l_partkey").over(near).alias("before"), F.lead("l_partkey").over(near).alias("after"))
 
 
-#: Fixed example of formulas: (formula, what it needs).
-FORMULA_NEEDS = [("charge", "net"), ("charge", "tax"), ("margin", "charge"), ("margin", "cost"), ("net", "price"), ("net", "discount")]
-_TIERS = """
-with recursive need(node, input) as (values {rows}),
+#: A formula needs those of half and of a third of its key.
+_NEED = "select p_partkey as node, p_partkey div 2 as input from {part} where p_partkey > 0 and p_partkey % 2 = 0 union all select p_partkey, p_partkey div 3 from {part} where p_partkey > 0 and p_partkey % 3 = 0"
+_WALK = """
+with recursive need(node, input) as ({need}),
 walk(node, input, tier) as (select node, input, 1 from need union all select w.node, n.input, w.tier + 1 from walk w join need n on w.input = n.node)
 select node, cast(max(tier) as bigint) as tier, count(distinct input) as prerequisites from walk group by node"""
 
 
-@query(_TIERS.format(rows=", ".join(map(str, FORMULA_NEEDS))))
+@query(_WALK.format(need=_NEED.format(part="part").replace(" div ", " // ")))
 def formula_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest way to an input and number of prerequisites of each formula."""
-    need = spark.createDataFrame(FORMULA_NEEDS, "node string, input string")
-    walk = """with recursive walk(node, input, tier) as (select node, input, 1 from {need}
-        union all select w.node, n.input, w.tier + 1 from walk w join {need} n on w.input = n.node)
-        select node, cast(max(tier) as bigint) as tier, count(distinct input) as prerequisites from walk group by node"""
-    return spark.sql(walk, need=need)
+    """Longest way to an input and number of prerequisites of each formula, of which there is one a part."""
+    return spark.sql(_WALK.format(need=_NEED), part=table(spark, sf_dir, "part"))

@@ -124,16 +124,20 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.regression_gate(days, "day", "rate")
 
 
-@query("""
-with w as (select d.doc_id, list_filter(string_split_regex(lower(left(d.text, 150)), '\\s+'), lambda x: x <> '') as a, list_filter(string_split_regex(lower(left(e.text, 150)), '\\s+'), lambda x: x <> '') as b
-  from documents d join documents e on e.doc_id = d.doc_id + 1 where d.text is not null and e.text is not null and d.doc_id % 3 = 0),
-k as (select doc_id, a, b, list_distinct(list_concat(a, b)) as k from w)
-select doc_id, round(case when len(a) = 0 then case when len(b) = 0 then 0.0 else 1.0 end else levenshtein(array_to_string(list_transform(a, lambda x: chr((list_position(k, x) + 33)::integer)), ''), array_to_string(list_transform(b, lambda x: chr((list_position(k, x) + 33)::integer)), ''))::double / len(a) end, 6)::double as wer from k""")
+@query(r"""
+with w as (select d.item_id, list_filter(string_split_regex(lower(d.text), '\s+'), lambda x: x <> '') as a, list_filter(string_split_regex(lower(e.text), '\s+'), lambda x: x <> '') as b
+  from benchmark d join benchmark e on e.item_id = d.item_id + 1),
+k as (select item_id, a, list_transform(a, lambda x: [list_position(list_distinct(list_concat(a, b)), x)::bigint]) as ac, list_transform(b, lambda x: list_position(list_distinct(list_concat(a, b)), x)::bigint) as b from w),
+t as (
+  select item_id, a, b, list_reduce([range(0, len(b) + 1)] || ac, lambda prev, w:
+    list_transform([list_transform(range(0, len(b) + 1), lambda n: if(n = 0, prev[1] + 1, least(prev[n + 1] + 1, prev[n] + if(b[n] = w[1], 0, 1))))],
+      lambda r: list_transform(range(0, len(b) + 1), lambda n: list_min(list_transform(range(0, n + 1), lambda x: r[x + 1] + n - x))))[1]) as last from k)
+select item_id, round(case when len(a) = 0 then if(len(b) = 0, 0.0, 1.0) else last[-1] / len(a) end, 6)::double as wer from t""")
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.expr("left(text, 150)").alias("heard"))
-    rows = docs.filter("doc_id % 3 = 0").select("doc_id", F.expr("left(text, 150)").alias("said")).join(other, "doc_id")
-    return rows.select("doc_id", F.round(scans.word_error_rate(F.col("said"), F.col("heard")), 6).alias("wer"))
+    """Each item of the benchmark against the next one, whole texts."""
+    items = table(spark, sf_dir, "benchmark")
+    other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("heard"))
+    return items.join(other, "item_id").select("item_id", F.round(scans.word_error_rate(F.col("text"), F.col("heard")), 6).alias("wer"))
 
 
 @query("""

@@ -132,12 +132,16 @@ def suppressed_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select p_brand, case when p_size > 35 then 'READY' when p_size > 15 then 'HYBRID' else 'LEGACY' end as s from part),
-c as (select p_brand, count(*) as total, count(*) filter (s = 'READY') as ready, count(*) filter (s = 'HYBRID') as hybrid, round((count(*) filter (s = 'READY') + 0.75 * count(*) filter (s = 'HYBRID')) / count(*) * 100, 2)::double as readiness from r group by 1)
-select *, case when readiness >= 80 then 'ADVANCED' when readiness >= 30 then 'TRANSITIONAL' else 'INITIAL' end as milestone from c""")
+with r as (select p_brand, p_size % 3 = 0 as v, case when p_size > 35 or p_brand like '%1' and p_size > 9 then 'PQC_READY' when p_size > 15 then 'HYBRID' when p_size > 8 then 'UNKNOWN_AUDIT_REQUIRED' when p_size > 3 or p_brand like '%1' then 'CLASSICAL_SECURE' else 'CLASSICAL_DEPRECATED' end as s from part),
+c as (
+  select p_brand, count(*) as total, count(*) filter (s = 'PQC_READY') as ready, count(*) filter (s = 'HYBRID') as hybrid, count(*) filter (s = 'CLASSICAL_DEPRECATED') as deprecated,
+    count(*) filter (s = 'UNKNOWN_AUDIT_REQUIRED') as unknown, count(*) filter (v) as vulnerable, round(count(*) filter (v) / count(*), 4)::double as exposure,
+    round((count(*) filter (s = 'PQC_READY') + 0.75 * count(*) filter (s = 'HYBRID')) / count(*) * 100, 2)::double as readiness from r group by 1)
+select *, case when readiness >= 80 and deprecated = 0 then 'PHASE_3_QUANTUM_RESILIENT' when readiness >= 30 then 'PHASE_2_HYBRID_TRANSITION' else 'PHASE_1_INVENTORY' end as milestone from c""")
 def readiness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("p_size") > 35, "READY").when(F.col("p_size") > 15, "HYBRID").otherwise("LEGACY")
-    return registry.readiness(table(spark, sf_dir, "part").withColumn("status", status), "p_brand", "status")
+    size, first = F.col("p_size"), F.col("p_brand").endswith("1")
+    status = F.when((size > 35) | first & (size > 9), "PQC_READY").when(size > 15, "HYBRID").when(size > 8, "UNKNOWN_AUDIT_REQUIRED").when((size > 3) | first, "CLASSICAL_SECURE").otherwise("CLASSICAL_DEPRECATED")
+    return registry.readiness(table(spark, sf_dir, "part").withColumns({"status": status, "weak": size % 3 == 0}), "p_brand", "status", "weak")
 
 
 @query("""

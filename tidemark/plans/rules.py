@@ -81,12 +81,15 @@ _DATE = r"\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2
 
 
 @query(f"""
-with found as (select doc_id, unnest(regexp_extract_all(text, '{_DATE}')) as said from documents where text is not null),
+with t as (select doc_id, text || ' In force from ' || strftime(date '2023-11-05' + (doc_id % 900)::integer, '%d.%m.%Y') || ', reviewed on ' || strftime(date '2023-12-01' + (doc_id % 700)::integer, '%Y-%m-%d') || ' and not on 31/02/2024 or 01-01-1999.' as text from documents where text is not null),
+found as (select doc_id, unnest(regexp_extract_all(text, '{_DATE}')) as said from t),
 dated as (select doc_id, case when said[5:5] = '-' then try_strptime(said, '%Y-%m-%d') else try_strptime(regexp_replace(said, '[./]', '-', 'g'), '%d-%m-%Y') end::date as day from found)
 select distinct doc_id, day from dated where day between date '2000-01-01' and date '2099-12-31'""")
 def date_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The days that a text names, day before month, each once."""
-    found = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_DATE), F.lit(0))).alias("said"))
+    """The days that a text names, day before month, each once; the documents get a last sentence with dates."""
+    day = lambda first, n, form: F.date_format(F.date_add(F.lit(first).cast("date"), (F.col("doc_id") % n).cast("int")), form)
+    dated = F.concat("text", F.lit(" In force from "), day("2023-11-05", 900, "dd.MM.yyyy"), F.lit(", reviewed on "), day("2023-12-01", 700, "yyyy-MM-dd"), F.lit(" and not on 31/02/2024 or 01-01-1999."))
+    found = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", dated.alias("text")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_DATE), F.lit(0))).alias("said"))
     parts = F.split("said", "[./-]").cast("array<int>")
     iso = F.substring("said", 5, 1) == "-"
     text = F.when(iso, F.format_string("%04d-%02d-%02d", parts[0], parts[1], parts[2])).otherwise(F.format_string("%04d-%02d-%02d", parts[2], parts[1], parts[0]))
@@ -115,17 +118,18 @@ def declared_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Fixed example of a crosswalk: (framework, control, framework, control, relation).
-CROSSWALK = [("A", "A1", "B", "B1", "EXACT"), ("A", "A2", "B", "B2", "SUBSET"), ("B", "B3", "A", "A1", "SUPERSET"), ("B", "B3", "C", "C1", "RELATED")]
+_KNOWN = """select p_brand as source, p_type as control, s_name as target, l_returnflag as other, case max(l_linenumber) % 4 when 0 then 'EXACT' when 1 then 'SUBSET' when 2 then 'SUPERSET' else 'RELATED' end as relation
+  from {lineitem} join {part} on p_partkey = l_partkey join {supplier} on s_suppkey = l_suppkey group by 1, 2, 3, 4"""
 _FLIP = "case relation when 'SUBSET' then 'SUPERSET' when 'SUPERSET' then 'SUBSET' else 'EXACT' end"
 
 
 @query(f"""
-with known(source, control, target, other, relation) as (values {", ".join(map(str, CROSSWALK))})
+with known as ({_KNOWN.format(lineitem="lineitem", part="part", supplier="supplier")})
 select source, control, target, other, relation, false as inverse from known
 union all select target, other, source, control, {_FLIP}, true from known""")
 def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crosswalk read in both directions; a subset's inverse is a superset."""
-    known = spark.createDataFrame(CROSSWALK, "source string, control string, target string, other string, relation string")
+    """A crosswalk of brands' types and suppliers' flags, read in both directions; a subset's inverse is a superset."""
+    known = spark.sql(_KNOWN, **{name: table(spark, sf_dir, name) for name in ("lineitem", "part", "supplier")})
     back = known.select(F.col("target"), F.col("other"), F.col("source"), F.col("control"), F.expr(_FLIP), F.lit(True))
     return known.withColumn("inverse", F.lit(False)).union(back)
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import groups_for, materialise
+from tidemark.llm.common import discard, groups_for, materialise
 from tidemark.llm.words import Words, mix, slices, word_hashes, words_of_texts
 
 SHINGLE = 5
@@ -479,10 +479,14 @@ def similar_classes(docs: DataFrame, known: DataFrame, *, buckets: int, rounds:
         return None
     labels, links, tested = None, [], []
     for turn in range(rounds + 1):
-        lists = materialise(_with_components(lists, labels), f"jaccard-lists{turn}")
-        if lists.isEmpty():
-            break
-        pairs = _star_pairs(lists) if turn < rounds else _cross_pairs(lists)
+        if labels is not None:
+            shorter = materialise(_with_components(lists, labels), f"jaccard-lists{turn}")
+            discard(lists)
+            lists = shorter
+            if lists.isEmpty():
+                break
+        own = lists if labels is not None else _with_components(lists, None)
+        pairs = _star_pairs(own) if turn < rounds else _cross_pairs(own)
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = materialise(pairs, f"jaccard-pairs{turn}")
@@ -491,8 +495,10 @@ def similar_classes(docs: DataFrame, known: DataFrame, *, buckets: int, rounds:
         tested.append(pairs)
         sets = materialise(sets_of_classes(docs, pairs), f"jaccard-sets{turn}")
         links.append(materialise(linked(pairs, sets), f"jaccard-links{turn}"))
+        discard(sets)
         if not links[-1].isEmpty():
             labels = components(functools.reduce(DataFrame.unionAll, links))
+    discard(lists)
     return labels
 
 
@@ -508,6 +514,7 @@ def similar_groups(docs: DataFrame, *, buckets: int | None = None) -> DataFrame:
     named = known if labels is None else known.join(labels.withColumnRenamed("node", "class"), "class", "left")
     component = F.col("class") if labels is None else F.coalesce("component", "class")
     named = materialise(named.select("doc_id", "n_shingles", component.alias("component")), "jaccard-named")
+    discard(known)
     names = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     return named.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
 

@@ -158,13 +158,14 @@ def train(findings: DataFrame, *, train_rows: int = 4000, trees: int = 20, depth
     return Pipeline(stages=steps).fit(sample.coalesce(1))
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, *, threshold: float = 0.5, dictionary_words: int = DICTIONARY_WORDS, **options) -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, *, threshold: float = 0.5, dictionary_words: int = DICTIONARY_WORDS, holders: DataFrame | None = None, **options) -> DataFrame:
     """Every candidate with its ``score`` and whether it ``is_secret``.
 
     ``findings``: labelled ones (columns of ``candidates`` and ``label``); without
-    them, the clear cases among the candidates of ``docs`` are taken.
+    them, the clear cases among the candidates of ``docs`` are taken.  ``holders``:
+    the rows of ``docs`` that hold candidates, if they are known already.
     """
-    found = materialise(candidates(docs), "secret-candidates")
+    found = materialise(candidates(docs if holders is None else holders), "secret-candidates")
     words = materialise(dictionary(docs, dictionary_words), "secret-dictionary")
     found = materialise(with_features(found, words), "secret-features")
     labelled = with_features(findings, words) if findings is not None else label_by_rules(found)
@@ -182,19 +183,20 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by a number of their own, so rows with null or repeated ids keep their own texts.
     Within a row, a candidate that has a secret's value is replaced as well. All columns and rows stay.
-    A group is as large as the findings of one text.
+    A group is as large as the findings of one text, and only texts that hold candidates are shuffled.
     """
-    number, spans = (next(c for c in map((name + "_{}").format, range(len(docs.columns) + 1)) if c not in docs.columns) for name in ("row_number", "spans"))
-    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "secret-rows")
-    source = ["source"] if "source" in docs.columns else []
-    found = scan(rows.select(F.col(number).alias("doc_id"), "text", *source), **options)
+    number, spans, holds = (next(c for c in map((name + "_{}").format, range(len(docs.columns) + 1)) if c not in docs.columns) for name in ("row_number", "spans", "holds"))
+    candidate = F.coalesce(F.col("text").cast("string").rlike(CANDIDATE), F.lit(False))
+    rows = materialise(docs.withColumns({number: F.monotonically_increasing_id(), holds: candidate}), "secret-rows")
+    read = rows.select(F.col(number).alias("doc_id"), "text", holds, *(["source"] if "source" in docs.columns else []))
+    found = scan(read.drop(holds), holders=read.filter(holds).drop(holds), **options)
     alike = found.groupBy("doc_id", "value").agg(F.max("is_secret").alias("is_secret"), F.collect_list(F.struct("start", "n_chars")).alias("at")).filter("is_secret")
     places = alike.groupBy(F.col("doc_id").alias(number)).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias(spans))
-    joined = rows.join(places, number, "left")
+    joined = rows.filter(holds).join(places, number, "left")
     n = F.size(spans)
     end = lambda i: F.when(i == 0, 0).otherwise(F.element_at(spans, F.greatest(i, F.lit(1))).start + F.element_at(spans, F.greatest(i, F.lit(1))).n_chars)
     kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.col("text").substr((end(i) + 1).cast("int"), F.when(i < n, F.element_at(spans, F.least(i + 1, n)).start - end(i)).otherwise(F.length("text")).cast("int")))
     out = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(kept, REPLACEMENT)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionAll(rows.filter(~F.col(holds)).select(*docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import claims
+from tidemark.operators import claims, constraints
 from tidemark.plans.catalogue import query
 from tidemark.sources.tables import table
 
@@ -31,3 +31,38 @@ def attribution_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = orders.select(k.alias("answer_id"), F.lit("p1").alias("passage_id"), F.concat(F.lit("Status "), "o_orderstatus", F.lit(" of "), "o_orderpriority").alias("text"))
     quotes = orders.filter(k % 7 != 0).select(k.alias("answer_id"), F.lit("p1").alias("passage_id"), F.when(k % 3 == 0, "no such words").otherwise(F.concat(F.lit("Status "), "o_orderstatus")).alias("quote"))
     return claims.attribution(answers, passages, quotes)
+
+
+@query("""
+with i as (select doc_id as item_id, doc_id % 10 = 3 as o, doc_id from documents),
+p as (
+  select item_id, unnest(list_filter([
+    if(doc_id % 17 = 2, 'unknown answer_type', null), if(doc_id % 19 = 0, 'unknown difficulty', null), if(doc_id % 23 = 5, 'empty question', null), if(doc_id % 29 = 0, 'stable is not a boolean', null),
+    if(o and doc_id % 17 <> 2 and doc_id % 20 = 3, 'no unanswerable_reason', null), if(doc_id % 31 = 0 and doc_id % 2 = 0, 'no forbidden_strings', null),
+    if((not o or doc_id % 17 = 2) and (doc_id % 13 = 0 or o), 'no required_citation_chunk_ids', null), if(not o and doc_id % 13 <> 0 and doc_id % 7 = 1, 'citation is no version-5 UUID', null),
+    if((not o or doc_id % 17 = 2) and o and doc_id % 30 <> 3, 'empty source_docs', null), if((not o or doc_id % 17 = 2) and o, 'empty evidence_quotes', null), if((not o or doc_id % 17 = 2) and o, 'empty expected_answer_key_points', null),
+    if(o and doc_id % 17 <> 2 and doc_id % 30 = 3, 'unanswerable with source_docs', null)], lambda x: x is not null)) as problem from i)
+select item_id, problem from p
+union all select null, 'fewer than 120 items' where (select count(*) from i) < 120
+union all select null, 'unanswerable share below 0.1' where (select count(*) filter (o and doc_id % 17 <> 2) / count(*) from i) < 0.1
+union all select null, 'fewer than 1 canaries' where (select count(*) filter (doc_id % 31 = 0) from i) < 1""")
+def goldset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gold set made of the documents, of which some break one rule or another."""
+    k = F.col("doc_id")
+    some, none = lambda c, v: F.when(c, F.array(v)).otherwise(F.array().cast("array<string>")), k % 10 == 3
+    uuid = F.concat(F.lit("00000000-0000-"), F.when(k % 7 == 1, "4").otherwise("5"), F.lit("000-8000-"), F.lpad(k.cast("string"), 12, "0"))
+    items = table(spark, sf_dir, "documents").select(
+        k.alias("item_id"),
+        F.when(k % 23 == 5, " ").otherwise("What holds?").alias("question"),
+        F.when(k % 17 == 2, "essay").when(none, "unanswerable").otherwise("extractive").alias("answer_type"),
+        F.when(k % 19 != 0, "easy").alias("difficulty"),
+        F.when(k % 29 != 0, True).alias("stable"),
+        (k % 31 == 0).alias("canary"),
+        F.when(k % 20 != 3, "not in the corpus").alias("unanswerable_reason"),
+        some(~none | (k % 30 == 3), F.lit("d")).alias("source_docs"),
+        some(~none, F.lit("q")).alias("evidence_quotes"),
+        some(~none & (k % 13 != 0), uuid).alias("required_citation_chunk_ids"),
+        some(~none, F.lit("p")).alias("expected_answer_key_points"),
+        some(k % 2 == 1, F.lit("x")).alias("forbidden_strings"),
+    )
+    return constraints.lint_goldset(items)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tidemark.operators.chunks import rows_of_texts
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,25 +57,17 @@ def masked_sample(kind: Column, value: Column) -> Column:
 def findings(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(doc_id, rule_id, kind, severity, char_start, char_end, sample) of every match of every rule.
 
-    A match stands behind what is left of the text between matches, so its place
-    is a sum of lengths; null and empty texts have no findings.
+    Each text is read once by each rule, and a match knows its own place; null and empty texts have no findings.
     """
-    found = []
-    for rule in rules or RULES:
-        hits = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
-        values = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))
-        gaps = F.transform(F.split("text", rule.pattern, -1), F.length)
-        # a struct for each rule, so that patterns are looked for once
-        found.append(F.struct(F.lit(rule.ident).alias("rule_id"), F.lit(rule.kind).alias("kind"), F.lit(rule.severity).alias("severity"), hits.alias("hits"), values.alias("values"), gaps.alias("gaps")))
-    rows = docs.filter(F.length("text") > 0).select("doc_id", F.explode(F.array(*found)).alias("r")).filter("size(r.hits) > 0")
-
-    def place(value: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice("r.gaps", 1, i + 1), F.lit(0), lambda s, n: s + n) + F.aggregate(F.slice("r.hits", 1, i), F.lit(0), lambda s, h: s + F.length(h))
-        inside = F.position(value, F.get("r.hits", i)) - 1
-        return F.struct((before + inside).cast("long").alias("char_start"), value.alias("value"))
-
-    each = rows.select("doc_id", "r.rule_id", "r.kind", "r.severity", F.explode(F.transform("r.values", place)).alias("at"))
-    return each.select("doc_id", "rule_id", "kind", "severity", "at.char_start", (F.col("at.char_start") + F.length("at.value")).alias("char_end"), masked_sample(F.col("kind"), F.col("at.value")).alias("sample"))
+    compiled = [(r, re.compile(r.pattern, re.ASCII)) for r in rules or RULES]
+
+    def matches(text: str) -> Iterator[tuple]:
+        for rule, form in compiled:
+            for m in form.finditer(text):
+                yield rule.ident, rule.kind, rule.severity, m.start(rule.group), m.end(rule.group), m.group(rule.group)
+
+    each = rows_of_texts(docs.select("doc_id", "text"), matches, "rule_id string, kind string, severity string, char_start long, char_end long, value string")
+    return each.withColumn("sample", masked_sample(F.col("kind"), F.col("value"))).drop("value")
 
 
 def scan_policy(found: DataFrame, docs: DataFrame, policy: str) -> DataFrame:

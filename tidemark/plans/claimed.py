@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import claims, constraints
+from tidemark.operators import claims, constraints, drift
 from tidemark.plans.catalogue import query
 from tidemark.sources.tables import table
 
@@ -66,3 +66,10 @@ def goldset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
         some(k % 2 == 1, F.lit("x")).alias("forbidden_strings"),
     )
     return constraints.lint_goldset(items)
+
+
+@query()
+def turn_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the last turn of each conversation is from its first one (tests hold it against a plain version)."""
+    turns = table(spark, sf_dir, "conversations")
+    return drift.drift(turns.select(F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("term"), F.col("turn").alias("at"), F.lit(0).alias("doc_id"), "text")).withColumn("new_words", F.array_join("new_words", " "))

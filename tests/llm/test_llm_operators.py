@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,32 @@ def test_pieces(spark, docs):
         sentencepiece_lattice.encode(docs, ids="WORDS")
 
 
+def test_pieces_of_many_blocks_and_batches(spark, monkeypatch):
+    """Words of several blocks are folded once, from edges that come in batches; what is sent is packed."""
+    monkeypatch.setattr(sentencepiece_lattice, "EDGES_AT_ONCE", 50)
+    texts = [f"word{i} banana \u6f22{i}\u5b57 \U0001f600 the\u2581end {'y' * (i % 40)}" for i in range(200)] + ["", None, " ", "x" * 3000]
+    docs = spark.createDataFrame([(i % 150 or None, t) for i, t in enumerate(texts)], "k int, text string")
+    model = sentencepiece_lattice.default_model()
+    one = sentencepiece_lattice.encode(docs).collect()
+    monkeypatch.undo()
+    whole = sentencepiece_lattice.encode(docs.coalesce(1)).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, whole)) and len(one) == len(texts)
+    back = sentencepiece_lattice.decode(spark.createDataFrame(one, "k int, text string, ids array<int>")).collect()
+    assert all(r.decoded == (r.text and r.text.replace("\u2581", " ")) for r in back)
+    # words come apart where the pattern says so
+    pieces = sentencepiece_lattice.pieces_of(model)
+    found, n = sentencepiece_lattice.words_of(pa.array(texts), pieces.kinds)
+    pattern = sentencepiece_lattice.regex.compile(sentencepiece_lattice.WORD)
+    want = [pattern.findall("\u2581" + t.replace(" ", "\u2581")) if t else [] for t in texts]
+    assert found.to_pylist() == [w for words in want for w in words] and n.tolist() == [len(w) for w in want]
+    # a word stands once, and its edges aren't collected into arrays of Spark's
+    words = spark.createDataFrame([("banana", [1, 2])], "word string, codes array<long>")
+    edges = sentencepiece_lattice.lattice(words, model).toArrow()
+    assert edges["word"].drop_null().to_pylist() == ["banana"]
+    with pytest.raises(ValueError):
+        sentencepiece_lattice.fold(edges.slice(1), pieces)
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [("a", "f", '{"x": 1}', None), ("b", "f", '{"x": "1"}', "a"), ("c", "f", "nope", "b"), ("d", "g", "{}", "e"), ("e", "f", '{"x":2}', "d"), ("h", "f", '{"x":3}', "gone"), ("a", "f", '{"x": 1}', None), (None, "f", "{}", None)],

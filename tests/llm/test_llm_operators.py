@@ -1,5 +1,6 @@
 """The corpus operators on small and awkward rows, against plain versions of themselves."""
 
+import collections
 import hashlib
 import itertools
 import json
@@ -226,6 +227,31 @@ def test_pitman_yor_prefers_words_in_their_contexts(spark):
     assert abs(found[100].perplexity - 10 ** (-found[100].score / 3)) < 1e-6 * found[100].perplexity
 
 
+def test_pitman_yor_has_a_context_for_each_word(spark):
+    """Rare words that end alike are contexts apart, and every pair is counted, however the table is cut."""
+    pairs = [("alphaxyz", "red"), ("betaxyz", "green")]
+    rows = [(i, " ".join(pairs[i % 2]), False) for i in range(10)] + [(20 + i, f"w{i}xyz blue", False) for i in range(50)]
+    rows += [(100 + 2 * i + j, f"{u} {w}", True) for i, (u, _) in enumerate(pairs) for j, (_, w) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    found = {r.doc_id: r for r in pitman_yor.score(df, buckets=3).collect()}
+    assert found[100].score > found[101].score + 0.3 and found[103].score > found[102].score + 0.3
+    tokens = [(i, [*t.split(), ""], h) for i, t, h in rows]
+    count = collections.Counter(w for _, ws, h in tokens if not h for w in ws)
+    total = sum(count.values())
+    for i, ws, _ in tokens:
+        r = found[i]
+        want = sum(np.log10((count[w] + 1) / (total + len(count) + 1)) for w in ws)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), total) and abs(r.base_score - want) < 1e-6
+    bigrams = collections.Counter(p for _, ws, h in tokens if not h for p in zip(["", *ws], ws))
+    for n in (1, 4):
+        got = collections.Counter()
+        for r in pitman_yor.vocabulary_of(df.coalesce(n), 3).collect():
+            words, counts = bytes(r.words).decode().split("\n"), np.frombuffer(r.n, np.uint32)
+            word, kind, contexts = np.frombuffer(r.word, np.int32), np.frombuffer(r.kind, np.int32), np.frombuffer(r.contexts, np.uint64)
+            got.update({(int(contexts[k]), words[w]): int(c) for w, k, c in zip(word, kind, counts) if c})
+        assert len(got) == len(bigrams) and sorted(got.values()) == sorted(bigrams.values()) and {w for _, w in got} == set(count)
+
+
 def test_pitman_yor_spells_long_words_without_a_floor(spark):
     long = ["x" * 600, "x" * 1200, "\u6f22\u5b57" * 150, "words" * 120]
     rows = [(i, "some words to learn from, some more words", False) for i in range(20)] + [(100 + i, t, True) for i, t in enumerate(long)]

@@ -3,9 +3,8 @@
 Tokens are words; a text ends with one end token (the empty word).  The model is
 one hierarchy of restaurants:
 
-* ``G_u``: one for each context, which is the preceding word itself if it is one
-  of the ``OWN`` most frequent ones, else its class (a hash of its last letters,
-  ``CLASSES`` of them); all of them share the parent
+* ``G_u``: one for each context, which is the preceding token itself, whatever it
+  is (before a text's first word, the end token); all of them share the parent
 * ``G``: the restaurant of words without context, whose parent spells the word
 * ``H_u``: letter restaurants, one for each context ``u`` of up to ``ORDER``
   bytes in a word; the parent of ``H_u`` is ``H`` of ``u`` without its first
@@ -25,14 +24,13 @@ the predictive probabilities averaged over the kept sweeps.
 
 Words are dealt to buckets by a hash, contexts of a word stay with it; blocks of
 texts send each bucket their different (word, context) pairs as packed arrays, and
-get back sums for each text.  The number of buckets follows the bytes of the texts.
-What is broadcast is bounded: totals by context, and letter probabilities of at
-most ``LETTER_ROWS`` events; more of them are joined by key instead, to the same
-result.
-
-The words with contexts of their own are those with the largest counts, where a
-task leaves out words that it has met fewer than ``SEEN`` times; so a word of at
-least ``SEEN`` times as many places as there are tasks is never overlooked.
+get back sums for each text.  The number of buckets follows the bytes of the texts;
+they are dealt with in ``ROUNDS``, so that a part of the pairs is on disk at a time.
+A pair with one customer has one table, so sweeps carry only pairs with more.  The
+totals of contexts are added up by hashes of the contexts, as many groups as there
+are buckets, and sent back to the buckets that asked for them.  What is broadcast is
+bounded: letter probabilities of at most ``LETTER_ROWS`` events; more of them are
+joined by key instead, to the same result.
 
 Defined cases: a null or empty text is its end token; repeated rows count and
 are scored once each; a null ``doc_id`` is kept, its text is learned from;
@@ -42,6 +40,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,13 +53,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, groups_for, large_rows, materialise
 from tidemark.llm.words import gather, mix, slices, word_hashes, words_of_texts
 
-#: Frequent words that are contexts of their own, and classes of the others.
-OWN, CLASSES = 4096, 1024
-CONTEXTS = OWN + CLASSES
-#: Places of a word in a task from which it is counted for that.
-SEEN = 8
-#: Bytes of the preceding word that choose its class.
-TAIL = 3
+#: Parts of the buckets that are counted, and scored, one after the other.
+COUNT_ROUNDS, ROUNDS = 2, 3
 #: Bytes of text for each bucket of words.
 PER_BUCKET = 8_000_000
 ORDER = 4
@@ -245,15 +239,15 @@ def letter_probs(vocabulary: DataFrame, seed: int) -> DataFrame:
     return seated.filter("t < 0").drop("t")
 
 
-_SPELLED = "bucket long, hashes binary, counts binary, word binary, kind binary, n binary, spelled binary"
+_SPELLED = "bucket long, hashes binary, counts binary, word binary, kind binary, n binary, contexts binary, spelled binary"
 
 
 def _with_spelling(row: dict, keys: np.ndarray, probs: np.ndarray) -> dict:
     spelled = _spell(row["words"].split(b"\n"), keys, probs).astype(np.float32).tobytes()
-    return {c: row[c] for c in ("bucket", "hashes", "counts", "word", "kind", "n")} | {"spelled": spelled}
+    return {c: row[c] for c in ("bucket", "hashes", "counts", "word", "kind", "n", "contexts")} | {"spelled": spelled}
 
 
-_SPELLED_ARROW = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("hashes", "counts", "word", "kind", "n", "spelled"))])
+_SPELLED_ARROW = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("hashes", "counts", "word", "kind", "n", "contexts", "spelled"))])
 
 
 def spelled_words(vocabulary: DataFrame, letters: DataFrame, *, most: int = LETTER_ROWS) -> DataFrame:
@@ -291,10 +285,10 @@ def spelled_words(vocabulary: DataFrame, letters: DataFrame, *, most: int = LETT
 
 @dataclass
 class _Block:
-    """Tokens of a run of texts: the hash of each, its class, and its text."""
+    """Tokens of a run of texts: the hash of each, that of the token before it, and its text."""
 
     hashes: np.ndarray
-    kind: np.ndarray
+    before: np.ndarray
     doc: np.ndarray
     word_of: np.ndarray | None  # place in words, or -1 for ends
     words: object
@@ -303,27 +297,7 @@ class _Block:
 END_HASH = int(mix(np.array([0x454E44], np.uint64))[0])
 
 
-def frequent_words(docs: DataFrame, size: int = OWN) -> np.ndarray:
-    """The hashes of the ``size`` most frequent words of training texts, ascending; a bounded list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in batches:
-            for _, texts in slices(batch["text"], BLOCK_BYTES):
-                words = words_of_texts(texts)
-                if not len(words.start):
-                    continue
-                own, n = np.unique(word_hashes(words), return_counts=True)
-                both, of = np.unique(np.append(seen, own), return_inverse=True)
-                seen, counts = both, np.bincount(of, np.append(counts, n)).astype(np.int64)
-        often = counts >= SEEN
-        yield pa.RecordBatch.from_arrays([pa.array(seen[often].view(np.int64)), pa.array(counts[often])], names=["hash", "n"])
-
-    counted = docs.filter("not held_out").select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return np.sort(counted.orderBy(F.desc("n"), "hash").limit(size).toArrow()["hash"].to_numpy().view(np.uint64))
-
-
-def _blocks(batch: pa.RecordBatch, own: np.ndarray, *, keep_words: bool) -> Iterator[tuple[int, int, list]]:
+def _blocks(batch: pa.RecordBatch, *, keep_words: bool) -> Iterator[tuple[int, int, list]]:
     """(first text, texts, parts) of each block; a part holds the tokens of a slice, and on demand its words."""
     for a, texts in slices(batch["text"], BLOCK_BYTES):
         parts = []
@@ -331,58 +305,60 @@ def _blocks(batch: pa.RecordBatch, own: np.ndarray, *, keep_words: bool) -> Iter
             words = words_of_texts(some)
             h = word_hashes(words) if len(words.start) else np.empty(0, np.uint64)
             n = words.per_doc()
-            tail = np.minimum(words.length, TAIL)
-            last = np.zeros(len(h), np.int64)
-            for j in range(TAIL):
-                last = last << 8 | np.where(tail > j, words.data[words.start + words.length - 1 - np.minimum(j, words.length - 1)], 0)
-            kind = OWN + (mix(last.astype(np.uint64)) % _U(CLASSES)).astype(np.int32)
-            if len(own):
-                place = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                kind = np.where(own[place] == h, place, kind).astype(np.int32)
-            # each text has its words and then the end; a token's class is that of the word before it
-            first = np.cumsum(n + 1) - (n + 1)
+            # each text has its words and then the end, which is also what stands before the next text
             place = np.arange(len(h)) + words.doc
             hashes = np.full(len(h) + len(n), END_HASH, np.uint64)
             hashes[place] = h
-            before = np.zeros(len(hashes) + 1, np.int32)
-            before[place + 1] = kind
-            before[first] = OWN  # the beginning of a text
             doc = np.repeat(np.arange(b, b + len(n), dtype=np.int32), n + 1)
             word_of = None
             if keep_words:
                 word_of = np.full(len(hashes), -1, np.int32)
                 word_of[place] = np.arange(len(h))
-            parts.append(_Block(hashes, before[:-1], doc, word_of, words if keep_words else None))
-            del words, h, tail, last, kind, place
+            parts.append(_Block(hashes, np.append(_U(END_HASH), hashes[:-1]), doc, word_of, words if keep_words else None))
+            del words, h, place
         yield a, len(texts), parts
 
 
-def _pair(hashes: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    return mix(hashes + (kind.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
+def _pair(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(hashes + mix(before) * _U(0x9E3779B97F4A7C15))
+
+
+def _wanted(hashes: np.ndarray, buckets: int, only: np.ndarray | None) -> np.ndarray:
+    """The places of words in the buckets of ``only`` (none given: of all words)."""
+    if only is None or not len(only):
+        return np.arange(len(hashes))
+    wanted = np.zeros(buckets, bool)
+    wanted[only] = True
+    return np.flatnonzero(wanted[(hashes % _U(buckets)).astype(np.int64)])
 
 
 def _cut(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def vocabulary_of(docs: DataFrame, buckets: int, own_contexts: np.ndarray) -> DataFrame:
-    """A row for each bucket of words: its words and how often training texts have each in each class.
+def vocabulary_of(docs: DataFrame, buckets: int, only: np.ndarray | None = None) -> DataFrame:
+    """A row for each bucket of words (of ``only``, if it names some): its words and how often training texts have each in each context.
 
-    ``hashes``, ``counts`` (by word), ``words`` (joined by line feeds), and by pair
-    of word and class ``word`` (its place), ``kind`` and ``n``.  Words of texts
-    that are held out are there too, with a count of 0.
+    ``hashes``, ``counts`` (by word), ``words`` (joined by line feeds), ``contexts``
+    (hashes of preceding tokens, ascending), and by pair of word and context ``word``
+    and ``kind`` (their places) and ``n``.  Words of texts that are held out are there
+    too, with a count of 0.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = ~np.array(batch["held_out"].to_pylist(), bool)
-            for a, _, parts in _blocks(batch, own_contexts, keep_words=True):
-                pairs = np.concatenate([_pair(p.hashes, p.kind) for p in parts])
+            for a, _, parts in _blocks(batch, keep_words=True):
                 hashes = np.concatenate([p.hashes for p in parts])
-                kind = np.concatenate([p.kind for p in parts])
-                learned = np.concatenate([train[p.doc + a] for p in parts])
+                at = _wanted(hashes, buckets, only)
+                if not len(at):
+                    continue
+                before = np.concatenate([p.before for p in parts])
+                learned = np.concatenate([train[p.doc + a] for p in parts])[at]
+                pairs = _pair(hashes[at], before[at])
                 _, first, of = np.unique(pairs, return_index=True, return_inverse=True)
                 n = np.bincount(of, learned, len(first)).astype(np.int64)
+                first = at[first]
                 h = hashes[first]
                 order = np.lexsort((h, h % _U(buckets)))
                 first, n, h = first[order], n[order], h[order]
@@ -402,13 +378,13 @@ def vocabulary_of(docs: DataFrame, buckets: int, own_contexts: np.ndarray) -> Da
                 bucket = (h % _U(buckets)).astype(np.int64)
                 there, cuts = np.unique(bucket, return_index=True)
                 word_cuts = np.unique(bucket[new], return_index=True)[1]
-                pairs_of = np.diff(np.append(new, len(h))).astype(np.uint16)  # at most CONTEXTS
+                pairs_of = np.diff(np.append(new, len(h))).astype(np.uint32)
                 cuts, word_cuts = np.append(cuts, len(h)), np.append(word_cuts, len(new))
                 columns = [
                     _cut(h[new], word_cuts),
                     [b"\n".join(text[x:y]) for x, y in zip(word_cuts[:-1].tolist(), word_cuts[1:].tolist(), strict=True)],
                     _cut(pairs_of, word_cuts),
-                    _cut(kind[first].astype(np.int32), cuts),
+                    _cut(before[first], cuts),
                     _cut(n.astype(np.uint32), cuts),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "hashes", "words", "pairs", "kind", "n"])
@@ -418,30 +394,29 @@ def vocabulary_of(docs: DataFrame, buckets: int, own_contexts: np.ndarray) -> Da
         h = [np.frombuffer(x, np.uint64) for x in columns["hashes"]]
         text = [w for x in columns["words"] for w in x.split(b"\n")]
         hashes, first, of = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-        word = np.repeat(of, np.concatenate([np.frombuffer(x, np.uint16) for x in columns["pairs"]]))
-        kind = np.concatenate([np.frombuffer(x, np.int32) for x in columns["kind"]]).astype(np.int64)
+        word = np.repeat(of, np.concatenate([np.frombuffer(x, np.uint32) for x in columns["pairs"]]))
+        contexts, kind = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in columns["kind"]]), return_inverse=True)
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in columns["n"]])
-        code, of_pair = np.unique(word * CONTEXTS + kind, return_inverse=True)
+        code, of_pair = np.unique(word * len(contexts) + kind, return_inverse=True)
         total = np.bincount(of_pair, n, len(code)).astype(np.int64)
-        counts = np.bincount(code // CONTEXTS, total, len(hashes)).astype(np.int64)
-        values = [hashes.tobytes(), b"\n".join(text[i] for i in first.tolist()), counts.tobytes(), (code // CONTEXTS).astype(np.int32).tobytes(), (code % CONTEXTS).astype(np.int32).tobytes(), total.tobytes()]
-        return pa.table([pa.array([key[0].as_py()]), *(pa.array([v], pa.binary()) for v in values)], names=["bucket", "hashes", "words", "counts", "word", "kind", "n"])
+        counts = np.bincount(code // len(contexts), total, len(hashes)).astype(np.int64)
+        values = [hashes.tobytes(), b"\n".join(text[i] for i in first.tolist()), counts.tobytes(), (code // len(contexts)).astype(np.int32).tobytes(), (code % len(contexts)).astype(np.int32).tobytes(), total.astype(np.uint32).tobytes(), contexts.tobytes()]
+        return pa.table([pa.array([key[0].as_py()]), *(pa.array([v], pa.binary()) for v in values)], names=["bucket", "hashes", "words", "counts", "word", "kind", "n", "contexts"])
 
     sent = docs.mapInArrow(spread, "bucket long, hashes binary, words binary, pairs binary, kind binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(merge, "bucket long, hashes binary, words binary, counts binary, word binary, kind binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(merge, "bucket long, hashes binary, words binary, counts binary, word binary, kind binary, n binary, contexts binary")
 
 
 @dataclass
 class _Totals:
-    """What all buckets have together after a sweep: customers and tables by context, tables and customers of ``G``, and discounts."""
+    """What all buckets have together after a sweep: tokens, words, tables in contexts, tables of ``G``, and discounts."""
 
-    customers: np.ndarray
-    tables: np.ndarray
+    tokens: int
+    words: int
     served: float
     dishes: float
     d1: float
     d0: float
-    words: int = 0
 
 
 def discount(once: float, twice: float) -> float:
@@ -449,119 +424,202 @@ def discount(once: float, twice: float) -> float:
     return min(0.95, max(0.05, once / max(1.0, once + 2 * twice)))
 
 
-_KINDS = {"hashes": np.uint64, "counts": np.int64, "word": np.int32, "kind": np.int32, "n": np.int64, "spelled": np.float32, "t1": np.int32, "t0": np.int32}
+_KINDS = {"hashes": np.uint64, "counts": np.int64, "word": np.int32, "kind": np.int32, "n": np.uint32, "contexts": np.uint64, "spelled": np.float32, "singles": np.int32, "t1": np.int32, "t0": np.int32}
+
+
+def _numbers(row: dict) -> dict:
+    found = row | {name: np.frombuffer(row[name], kind) for name, kind in _KINDS.items() if row.get(name) is not None}
+    found["n"] = found["n"].astype(np.int64)
+    if "spelled" in found:
+        found["spelled"] = found["spelled"].reshape(-1, SAMPLES).astype(np.float64)
+    return found
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     for i in range(len(batch)):  # one by one: a row holds a whole bucket
-        row = batch.slice(i, 1).to_pylist()[0]
-        found = {name: np.frombuffer(row[name], kind) for name, kind in _KINDS.items() if name in row}
-        if "spelled" in found:
-            found["spelled"] = found["spelled"].reshape(-1, SAMPLES).astype(np.float64)
-        yield found | {"bucket": row["bucket"], "kept": row.get("kept", [])}
+        yield _numbers(batch.slice(i, 1).to_pylist()[0])
 
 
-def _served(row: dict, t1: np.ndarray, words: int) -> np.ndarray:
-    return np.bincount(row["word"], t1, words).astype(np.int64)
+def _served(row: dict, t1: np.ndarray) -> np.ndarray:
+    """Customers of each word in ``G``: a table of each pair with one customer, and those of the others."""
+    return row["singles"] + np.bincount(row["word"], t1, len(row["singles"])).astype(np.int64)
 
 
-_STATE = _SPELLED + ", t1 binary, t0 binary, kept array<struct<t1: binary, t0: binary>>"
+_KEPT = pa.list_(pa.struct([("t1", pa.binary()), ("t0", pa.binary())]))
+_STATE = "bucket long, singles binary, word binary, kind binary, n binary, contexts binary, spelled binary, t1 binary, t0 binary, kept array<struct<t1: binary, t0: binary>>"
+_STATE_ARROW = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("singles", "word", "kind", "n", "contexts", "spelled", "t1", "t0")), ("kept", _KEPT)])
 
 
 def _begin(words: DataFrame) -> DataFrame:
-    """All customers of a dish at one table."""
+    """The pairs with more than one customer, all customers of a dish at one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t1 = [(np.frombuffer(n.as_py(), np.int64) > 0).astype(np.int32).tobytes() for n in batch["n"]]
-            t0 = [(np.frombuffer(c.as_py(), np.int64) > 0).astype(np.int32).tobytes() for c in batch["counts"]]
-            kept = pa.array([[]] * len(batch), pa.list_(pa.struct([("t1", pa.binary()), ("t0", pa.binary())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t1, pa.binary()), pa.array(t0, pa.binary()), kept], names=[*batch.schema.names, "t1", "t0", "kept"])
+            for row in _rows(batch):
+                more = row["n"] > 1
+                here, kind = np.unique(row["kind"][more], return_inverse=True)
+                arrays = {
+                    "singles": np.bincount(row["word"], row["n"] == 1, len(row["counts"])).astype(np.int32),
+                    "word": row["word"][more],
+                    "kind": kind.astype(np.int32),
+                    "n": row["n"][more].astype(np.uint32),
+                    "contexts": row["contexts"][here],
+                    "spelled": row["spelled"].astype(np.float32),
+                    "t1": np.ones(len(kind), np.int32),
+                    "t0": (row["counts"] > 0).astype(np.int32),
+                }
+                yield pa.RecordBatch.from_pylist([{"bucket": row["bucket"], "kept": [], **{c: x.tobytes() for c, x in arrays.items()}}], schema=_STATE_ARROW)
 
     return words.mapInArrow(run, _STATE)
 
 
-def _sweep(state: DataFrame, total: _Totals, sweep: int, seed: int) -> DataFrame:
-    """Seat every bucket's words once more, given what all buckets had after the sweep before."""
-    sample = max(0, sweep - (SWEEPS - SAMPLES))
+_ASKED = "c long, bucket long, hashes binary, sums array<binary>"
+_ASKED_ARROW = pa.schema([("c", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("sums", pa.list_(pa.binary()))])
+
+
+def _by_context(rows: DataFrame, groups: int, sums_of, *, back: bool) -> DataFrame:
+    """What each bucket adds to sums of its contexts, by group of contexts; ``back``: it asks for all buckets' sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(_rows(batch)):
-                rng = np.random.default_rng([seed, sweep, row["bucket"]])
-                words = len(row["counts"])
-                served = _served(row, row["t1"], words)
-                # a long word's may underflow to 0, which is exact enough here: those seated have at least 1 - d0 beside it
-                p0 = np.exp(row["spelled"][:, sample])
-                g = (served - total.d0 * row["t0"] + (S0 + total.d0 * total.dishes) * p0) / (S0 + total.served)
-                t1 = seat(row["n"], np.maximum(total.tables[row["kind"]] - row["t1"], 0), g[row["word"]], total.d1, S1, rng)
-                t0 = seat(_served(row, t1, words), np.maximum(total.dishes - row["t0"], 0), p0, total.d0, S0, rng)
-                new = {"t1": t1.astype(np.int32).tobytes(), "t0": t0.astype(np.int32).tobytes()}
-                kept = [*row["kept"], new] if sweep >= SWEEPS - SAMPLES else []
-                one = batch.slice(i, 1)
-                columns = {c: one[c] for c in one.schema.names} | {c: pa.array([v], pa.binary()) for c, v in new.items()} | {"kept": pa.array([kept], one["kept"].type)}
-                yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
-
-    return state.mapInArrow(run, _STATE)
+            for row in _rows(batch):
+                sums, contexts = sums_of(row), row["contexts"]
+                c = (contexts % _U(groups)).astype(np.int64)
+                order = np.argsort(c, kind="stable")
+                there, heads = np.unique(c[order], return_index=True)
+                heads = np.append(heads, len(order))
+                cuts = [_cut(x[order], heads) for x in (contexts, *(x.astype(np.uint32) for x in sums))]
+                out = [{"c": g, "bucket": row["bucket"] if back else -1, "hashes": h, "sums": list(x)} for g, h, *x in zip(there.tolist(), *cuts, strict=True)]
+                yield pa.RecordBatch.from_pylist(out, schema=_ASKED_ARROW)
 
+    return rows.mapInArrow(run, _ASKED)
 
-def _totals(state: DataFrame) -> _Totals:
-    """A task's totals by context and (last three) tables and words of ``G`` and how many dishes have one or two customers, added up."""
 
+def _added(sent: DataFrame, *, answers: bool) -> DataFrame:
+    """Sums by context: ``answers`` to the buckets that asked, in the order in which they asked, or a row for each group of contexts."""
+
+    def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        contexts, of = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = []
+        for j in range(max(len(r["sums"]) for r in rows)):
+            given = [np.frombuffer(r["sums"][j], np.uint32) if j < len(r["sums"]) else np.zeros(len(h), np.uint32) for r, h in zip(rows, hashes, strict=True)]
+            sums.append(np.bincount(of, np.concatenate(given), len(contexts)).astype(np.uint32))
+        if not answers:
+            return pa.Table.from_pylist([{"c": key[0].as_py(), "bucket": -1, "hashes": contexts.tobytes(), "sums": [x.tobytes() for x in sums]}], schema=_ASKED_ARROW)
+        ends = np.cumsum([0, *map(len, hashes)]).tolist()
+        out = [{"c": r["c"], "bucket": r["bucket"], "sums": [x[of[a:b]].tobytes() for x in sums]} for r, a, b in zip(rows, ends, ends[1:], strict=False) if r["bucket"] >= 0]
+        return pa.Table.from_pylist(out, schema=_ASKED_ARROW)
+
+    return sent.groupBy("c").applyInArrow(add, _ASKED)
+
+
+def _answered(row: dict, answers: list[dict], groups: int, sums: int) -> list[np.ndarray]:
+    """The sums of each of a bucket's contexts, put together from the groups' answers."""
+    order = np.argsort((row["contexts"] % _U(groups)).astype(np.int64), kind="stable")
+    out = []
+    for j in range(sums):
+        x = np.zeros(len(order))
+        x[order] = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r["sums"][j], np.uint32) for r in sorted(answers, key=lambda r: r["c"]))])
+        out.append(x)
+    return out
+
+
+def contexts_of(words: DataFrame, groups: int) -> DataFrame:
+    """Of all contexts, by group: (customers, tables of pairs with one customer)."""
+
+    def sums(row: dict) -> list[np.ndarray]:
+        return [np.bincount(row["kind"], x, len(row["contexts"])) for x in (row["n"], row["n"] == 1)]
+
+    return _added(_by_context(words, groups, sums, back=False), answers=False)
+
+
+def _sweep(state: DataFrame, contexts: DataFrame, total: _Totals, sweep: int, seed: int, groups: int) -> DataFrame:
+    """Seat every bucket's words once more, given what all buckets had after the sweep before."""
+    sample = max(0, sweep - (SWEEPS - SAMPLES))
+    asked = _by_context(state.drop("spelled", "kept"), groups, lambda row: [np.bincount(row["kind"], row["t1"], len(row["contexts"]))], back=True)
+    tables = _added(asked.unionByName(contexts.withColumn("sums", F.slice("sums", 2, 1))), answers=True)
+
+    def sit(key: tuple[pa.Scalar, ...], group: pa.Table, answers: pa.Table) -> pa.Table:
+        given = group.to_pylist()[0]
+        row = _numbers(given)
+        in_context = _answered(row, answers.to_pylist(), groups, 1)[0][row["kind"]]
+        rng = np.random.default_rng([seed, sweep, row["bucket"]])
+        served = _served(row, row["t1"])
+        # a long word's may underflow to 0, which is exact enough here: those seated have at least 1 - d0 beside it
+        p0 = np.exp(row["spelled"][:, sample])
+        g = (served - total.d0 * row["t0"] + (S0 + total.d0 * total.dishes) * p0) / (S0 + total.served)
+        t1 = seat(row["n"], np.maximum(in_context - row["t1"], 0), g[row["word"]], total.d1, S1, rng)
+        t0 = seat(_served(row, t1), np.maximum(total.dishes - row["t0"], 0), p0, total.d0, S0, rng)
+        new = {"t1": t1.astype(np.int32).tobytes(), "t0": t0.astype(np.int32).tobytes()}
+        kept = [*given["kept"], new] if sweep >= SWEEPS - SAMPLES else []
+        return pa.Table.from_pylist([given | new | {"kept": kept}], schema=_STATE_ARROW)
+
+    return state.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(sit, _STATE)
+
+
+def _totals(state: DataFrame) -> _Totals:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, t = np.zeros(CONTEXTS + 3, np.int64), np.zeros(CONTEXTS + 3, np.int64)
+        x = np.zeros(8, np.int64)
         for batch in batches:
             for row in _rows(batch):
-                served = _served(row, row["t1"], len(row["counts"]))
-                ends = [[(row["counts"] > 0).sum(), row["t0"].sum()], [(row["n"] == 1).sum(), (row["n"] == 2).sum()], [(served == 1).sum(), (served == 2).sum()]]
-                c += np.append(np.bincount(row["kind"], row["n"], CONTEXTS), [x for x, _ in ends]).astype(np.int64)
-                t += np.append(np.bincount(row["kind"], row["t1"], CONTEXTS), [x for _, x in ends]).astype(np.int64)
-        at = np.flatnonzero(c + t)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at]), pa.array(t[at])], names=["kind", "c", "t"])
-
-    sent = state.select("bucket", "counts", "word", "kind", "n", "t1", "t0").mapInArrow(run, "kind long, c long, t long")
-    c, t = np.zeros(CONTEXTS + 3), np.zeros(CONTEXTS + 3)
-    for kind, customers, tables in sent.groupBy("kind").agg(F.sum("c"), F.sum("t")).collect():  # at most CONTEXTS + 3 rows
-        c[kind], t[kind] = customers, tables
-    d1, d0 = (discount(c[i], t[i]) for i in (CONTEXTS + 1, CONTEXTS + 2))
-    return _Totals(c[:CONTEXTS], t[:CONTEXTS], t[:CONTEXTS].sum(), t[CONTEXTS], d1, d0, int(c[CONTEXTS]))
-
-
-def word_model(words: DataFrame, seed: int) -> tuple[DataFrame, list[_Totals]]:
+                served, once = _served(row, row["t1"]), row["singles"].sum(dtype=np.int64)
+                x += np.array([once + row["n"].sum(), (row["t0"] > 0).sum(), served.sum(), row["t0"].sum(), once, (row["n"] == 2).sum(), (served == 1).sum(), (served == 2).sum()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in x.tolist()], names=[f"x{i}" for i in range(8)])
+
+    sent = state.select("bucket", "singles", "word", "n", "t1", "t0").mapInArrow(run, ", ".join(f"x{i} long" for i in range(8)))
+    tokens, words, served, dishes, *seated = (v or 0 for v in sent.agg(*(F.sum(f"x{i}") for i in range(8))).first())
+    return _Totals(tokens, words, served, dishes, discount(*seated[:2]), discount(*seated[2:]))
+
+
+def word_model(words: DataFrame, contexts: DataFrame, seed: int, groups: int) -> tuple[DataFrame, list[_Totals]]:
     """The seating of all buckets after the last sweep, with the kept ones, and the totals before each sweep and after the last."""
     state = materialise(_begin(words), "pitman-yor-seating")
     totals = [_totals(state)]
     for sweep in range(SWEEPS):
-        new = materialise(_sweep(state, totals[-1], sweep, seed), "pitman-yor-seating")
+        new = materialise(_sweep(state, contexts, totals[-1], sweep, seed, groups), "pitman-yor-seating")
         discard(state)
         state = new
         totals.append(_totals(state))
     return state, totals
 
 
-def _values(state: DataFrame, totals: list[_Totals]) -> DataFrame:
-    """Of each bucket the log10 probability of each pair and the count of its word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                words = len(row["counts"])
-                p = np.full(len(row["n"]), -np.inf)
-                for j, kept in enumerate(row["kept"]):
-                    at, after = totals[SWEEPS - SAMPLES + j], totals[SWEEPS - SAMPLES + j + 1]
-                    t1, t0 = np.frombuffer(kept["t1"], np.int32), np.frombuffer(kept["t0"], np.int32)
-                    served = _served(row, t1, words)
-                    with np.errstate(divide="ignore"):  # no customers: the log is -inf and only the parent counts
-                        seated_g, seated_own = np.log(served - at.d0 * t0), np.log(row["n"] - at.d1 * t1)
-                    g = np.logaddexp(seated_g, np.log(S0 + at.d0 * after.dishes) + row["spelled"][:, j]) - np.log(S0 + after.served)
-                    own = np.logaddexp(seated_own, np.log(S1 + at.d1 * after.tables[row["kind"]]) + g[row["word"]])
-                    p = np.logaddexp(p, own - np.log(S1 + after.customers[row["kind"]]) - np.log(SAMPLES))
-                pair = _pair(row["hashes"][row["word"]], row["kind"])
-                order = np.argsort(pair)
-                columns = [pair[order], (p[order] / np.log(10)).astype(np.float32), row["counts"][row["word"]][order].astype(np.uint32), np.empty(0)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]]), pa.array([0]), pa.array([0]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=_SENT)
-
-    return state.mapInArrow(run, _SENT_SCHEMA)
+def _values(words: DataFrame, state: DataFrame, contexts: DataFrame, totals: list[_Totals], groups: int, only: np.ndarray) -> DataFrame:
+    """Of each bucket of ``only`` the log10 probability of each pair and the count of its word."""
+    mine = F.col("bucket").isin(only.tolist())
+
+    def tables(row: dict) -> list[np.ndarray]:
+        none = np.zeros(len(row["contexts"]))
+        return [none, none, *(np.bincount(row["kind"], np.frombuffer(k["t1"], np.int32), len(none)) for k in row["kept"])]
+
+    asked = _by_context(words.filter(mine).select("bucket", "n", "contexts"), groups, lambda row: [], back=True)
+    seated = _by_context(state.select("bucket", "kind", "n", "contexts", "kept"), groups, tables, back=False)
+    answers = _added(asked.unionByName(contexts).unionByName(seated), answers=True)
+    right = answers.drop("hashes").unionByName(state.filter(mine).select("bucket", "kept"), allowMissingColumns=True)
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table, found: pa.Table) -> pa.Table:
+        row, found = _numbers(group.to_pylist()[0]), found.to_pylist()
+        kept_of = next(r["kept"] for r in found if r["c"] is None)
+        customers, singles, *more = _answered(row, [r for r in found if r["c"] is not None], groups, 2 + SAMPLES)
+        words, kind, several = len(row["counts"]), row["kind"], row["n"] > 1
+        p = np.full(len(row["n"]), -np.inf)
+        for j, kept in enumerate(kept_of):
+            at, after = totals[SWEEPS - SAMPLES + j], totals[SWEEPS - SAMPLES + j + 1]
+            t1, t0 = (row["n"] == 1).astype(np.int64), np.frombuffer(kept["t0"], np.int32)
+            t1[several] = np.frombuffer(kept["t1"], np.int32)
+            served = np.bincount(row["word"], t1, words)
+            with np.errstate(divide="ignore"):  # no customers: the log is -inf and only the parent counts
+                seated_g, seated_own = np.log(served - at.d0 * t0), np.log(row["n"] - at.d1 * t1)
+            g = np.logaddexp(seated_g, np.log(S0 + at.d0 * after.dishes) + row["spelled"][:, j]) - np.log(S0 + after.served)
+            own = np.logaddexp(seated_own, np.log(S1 + at.d1 * (singles + more[j])[kind]) + g[row["word"]])
+            p = np.logaddexp(p, own - np.log(S1 + customers[kind]) - np.log(SAMPLES))
+        pair = _pair(row["hashes"][row["word"]], row["contexts"][kind])
+        order = np.argsort(pair)
+        columns = [pair[order], (p[order] / np.log(10)).astype(np.float32), row["counts"][row["word"]][order].astype(np.uint32), np.empty(0)]
+        return pa.table([pa.array([row["bucket"]]), pa.array([0]), pa.array([0]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=_SENT)
+
+    return words.filter(mine).groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, _SENT_SCHEMA)
 
 
 _SENT = ["bucket", "block", "kind", "a", "b", "c", "d"]
@@ -574,41 +632,66 @@ def score(docs: DataFrame, *, buckets: int | None = None, seed: int = 11) -> Dat
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity).
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    own_contexts = frequent_words(docs)
     buckets = buckets or max(8, groups_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PER_BUCKET))
-    vocabulary = materialise(vocabulary_of(docs, buckets, own_contexts), "pitman-yor-vocabulary")
+    counted = [materialise(vocabulary_of(docs, buckets, np.arange(r, buckets, COUNT_ROUNDS)), "pitman-yor-vocabulary") for r in range(min(COUNT_ROUNDS, buckets))]
+    vocabulary = functools.reduce(DataFrame.unionAll, counted)
     spelled = spelled_words(vocabulary, letter_probs(vocabulary, seed))
     with large_rows(docs.sparkSession):
         words = materialise(spelled, "pitman-yor-words")
-        discard(vocabulary)
-        state, totals = word_model(words, seed)
-        discard(words)
-        values = materialise(_values(state, totals), "pitman-yor-values")
-        discard(state)
-    tokens, different = int(totals[0].customers.sum()), totals[0].words
+        discard(*counted)
+        contexts = materialise(contexts_of(words, buckets), "pitman-yor-contexts")
+        state, totals = word_model(words, contexts, seed, buckets)
+    tokens, different = totals[0].tokens, totals[0].words
+    parts = []
+    for r in range(min(ROUNDS, buckets)):
+        only = np.arange(r, buckets, ROUNDS)
+        with large_rows(docs.sparkSession):
+            values = materialise(_values(words, state, contexts, totals, buckets, only), "pitman-yor-values")
+        parts.append(_sums_of(docs, values, buckets, only))
+        discard(values)
+    discard(words, state, contexts)
+
+    def whole(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        ids, null, n, held = (np.frombuffer(rows[0][c], k) for c, k in (("a", np.int64), ("b", np.uint8), ("c", np.uint32), ("d", np.uint8)))
+        total = np.sum([np.frombuffer(r["sums"], np.float64).reshape(3, -1) for r in rows], axis=0)
+        return pa.table(
+            [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n.astype(np.int64)), pa.array(total[2].astype(np.int64)), pa.array(total[1]), pa.array(total[0])],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+        )
+
+    found = functools.reduce(DataFrame.unionAll, parts).groupBy("block").applyInArrow(whole, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    norm = float(np.log10(tokens + different + 1))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def _sums_of(docs: DataFrame, values: DataFrame, buckets: int, only: np.ndarray) -> DataFrame:
+    """(block, a, b, c, d, sums): of each block its texts, and for each what its words in the buckets of ``only`` add to its sums."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for a, size, parts in _blocks(batch, own_contexts, keep_words=False):
-                pairs = np.concatenate([_pair(p.hashes, p.kind) for p in parts])
+            for a, size, parts in _blocks(batch, keep_words=False):
                 hashes = np.concatenate([p.hashes for p in parts])
+                at = _wanted(hashes, buckets, only)
                 doc = np.concatenate([p.doc for p in parts])
                 n = np.bincount(doc, minlength=size).astype(np.uint32)
+                hashes, doc = hashes[at], doc[at]
+                pairs = _pair(hashes, np.concatenate([p.before for p in parts])[at])
                 parts.clear()
                 bucket = (hashes % _U(buckets)).astype(np.int32)
                 del hashes
                 order = np.lexsort((doc, pairs, bucket))
                 bucket, pairs, doc = bucket[order], pairs[order], doc[order]
                 del order
-                new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1])))
+                new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1]))[: len(pairs)])
                 times = np.diff(np.append(new, len(pairs)))
                 new = np.repeat(new, -(-times // 255))  # an entry counts up to 255 times, more take several
-                first = np.append(True, new[1:] != new[:-1])
+                first = np.append(True, new[1:] != new[:-1])[: len(new)]
                 runs_of = np.arange(len(new)) - np.flatnonzero(first)[np.cumsum(first) - 1]
                 times = np.minimum(times[np.cumsum(first) - 1] - 255 * runs_of, 255).astype(np.uint8)
                 bucket, pairs, doc = bucket[new], pairs[new], doc[new]
-                head = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+                head = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
                 runs = np.diff(np.append(head, len(pairs))).astype(np.uint32)
                 there, cuts = np.unique(bucket, return_index=True)
                 heads = np.append(np.searchsorted(head, cuts), len(head))
@@ -643,21 +726,16 @@ def score(docs: DataFrame, *, buckets: int | None = None, seed: int = 11) -> Dat
     def gather_block(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         head = next(r for r in rows if r["kind"] == 2)
-        ids, n = np.frombuffer(head["a"], np.int64), np.frombuffer(head["c"], np.uint32).astype(np.int64)
-        total = np.zeros((3, len(ids)))
+        total = np.zeros((3, len(head["b"])))
         for r in rows:
             if r["kind"] == 1:
                 own = np.frombuffer(r["a"], np.uint16)
                 for i, (c, kind) in enumerate((("b", np.float32), ("c", np.float64), ("d", np.uint32))):
                     total[i, own] += np.frombuffer(r[c], kind)
-        return pa.table(
-            [pa.array(ids, mask=np.frombuffer(head["b"], np.uint8).astype(bool)), pa.array(np.frombuffer(head["d"], np.uint8).astype(bool)), pa.array(n), pa.array(total[2].astype(np.int64)), pa.array(total[1]), pa.array(total[0])],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
-        )
+        return pa.Table.from_pylist([{"block": head["block"], **{c: head[c] for c in "abcd"}, "sums": total.tobytes()}], schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in [*"abcd", "sums"])]))
 
     sent = docs.mapInArrow(spread, _SENT_SCHEMA).unionAll(values)
     sums = materialise(sent.groupBy("bucket").applyInArrow(meet, "block long, kind long, a binary, b binary, c binary, d binary"), "pitman-yor-sums")
-    discard(values)
-    found = sums.groupBy("block").applyInArrow(gather_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    norm = float(np.log10(tokens + different + 1))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    part = materialise(sums.groupBy("block").applyInArrow(gather_block, "block long, a binary, b binary, c binary, d binary, sums binary"), "pitman-yor-part")
+    discard(sums)
+    return part

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, flac, jaccard_join, language_id, license_scan, nearest, packing, pitman_yor, queries, secret_scan, sentencepiece_lattice, tool_calls
+from tidemark.llm.words import words_of_texts
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hits string, words string"
@@ -252,6 +253,43 @@ def test_pitman_yor_has_a_context_for_each_word(spark):
         assert len(got) == len(bigrams) and sorted(got.values()) == sorted(bigrams.values()) and {w for _, w in got} == set(count)
 
 
+def test_pitman_yor_adds_up_what_all_rounds_need_once(spark, monkeypatch):
+    """Tables in contexts are added up once, not in each round; totals are read from the seating, not worked out by another pass of Python over it."""
+    sent, passes = [], []
+    by_context, in_arrow = pitman_yor._by_context, type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(pitman_yor, "_by_context", lambda *a, back: (sent.append(back), by_context(*a, back=back))[1])
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, *a, **b: (passes.append(f.__qualname__.split(".")[0]), in_arrow(self, f, *a, **b))[1])
+    df = spark.createDataFrame([(i, t, i % 3 == 0) for i, (_, t) in enumerate(ROWS)], "doc_id long, text string, held_out boolean")
+    assert pitman_yor.score(df, buckets=5).count() == len(ROWS)
+    assert sent.count(False) == 2 and sent.count(True) == pitman_yor.SWEEPS + pitman_yor.ROUNDS
+    assert collections.Counter(passes) == {"vocabulary_of": 2, "letter_probs": 1, "spelled_words": 1, "_by_context": len(sent), "_begin": 1, "_sums_of": pitman_yor.ROUNDS}
+
+
+def test_words_and_letters_of_awkward_texts():
+    """Words by numpy are those of a regular expression, at ends of texts too; letters of joined words are those of each."""
+    rng = np.random.default_rng(5)
+    signs = list("aZ@[`{ \t\n\x0b\r\x00\x1f\x7fé漢")
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(signs, rng.integers(0, 6))) for _ in range(rng.integers(0, 6))]
+        found = words_of_texts(pa.array(["out of sight", *texts], pa.string()).slice(1))
+        assert [(d, found.text(i).decode()) for i, d in enumerate(found.doc.tolist())] == [(d, w) for d, t in enumerate(texts) for w in words(t)]
+        joined = b"\n".join(w.encode() for t in texts for w in words(t))
+        code, word = pitman_yor._letters(joined)
+        want = [(j, p[i : i + pitman_yor.ORDER + 1]) for j, w in enumerate(joined.split(b"\n")) for p in [bytes(pitman_yor.ORDER) + w + b" "] for i in range(len(w) + 1)]
+        assert [(j, c.to_bytes(pitman_yor.ORDER + 1, "big")) for j, c in zip(word.tolist(), code.tolist(), strict=True)] == want
+
+
+def test_pitman_yor_counts_a_pair_of_a_text_more_than_255_times(spark):
+    text = "a " * 700 + "b"
+    rows = [(i, text, False) for i in range(3)] + [(9, "b a", True)]
+    found = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), buckets=3).collect()}
+    total = 3 * 702
+    for i, ws in ((0, words(text)), (9, ["b", "a"])):
+        want = sum(np.log10(({"a": 2100, "b": 3, "": 3}[w] + 1) / (total + 4)) for w in [*ws, ""])
+        assert found[i].n_known == len(ws) + 1 and abs(found[i].base_score - want) < 1e-6
+    assert found[0].score == found[1].score == found[2].score
+
+
 def test_pitman_yor_spells_long_words_without_a_floor(spark):
     long = ["x" * 600, "x" * 1200, "\u6f22\u5b57" * 150, "words" * 120]
     rows = [(i, "some words to learn from, some more words", False) for i in range(20)] + [(100 + i, t, True) for i, t in enumerate(long)]

@@ -27,8 +27,9 @@ texts send each bucket their different (word, context) pairs as packed arrays, a
 get back sums for each text.  The number of buckets follows the bytes of the texts;
 they are dealt with in ``ROUNDS``, so that a part of the pairs is on disk at a time.
 A pair with one customer has one table, so sweeps carry only pairs with more.  The
-totals of contexts are added up by hashes of the contexts, as many groups as there
-are buckets, and sent back to the buckets that asked for them.  What is broadcast is
+totals of contexts are added up by ranges of their hashes, as many as there are
+buckets, and sent back to the buckets that asked for them; those of kept sweeps are
+added up once, for all rounds.  What is broadcast is
 bounded: letter probabilities of at most ``LETTER_ROWS`` events; more of them are
 joined by key instead, to the same result.
 
@@ -90,33 +91,37 @@ def seat(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, s: flo
     return t
 
 
-def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (context, byte) of each letter event of each word, and the word's index."""
-    length = np.array([len(w) for w in words], np.int64)
-    data = np.full(int((length + ORDER + 1).sum()), END, np.uint8)
-    first = np.cumsum(length + ORDER + 1) - (length + ORDER + 1)
-    for j in range(ORDER):
-        data[first + j] = 0
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    inner = np.cumsum(length) - length
-    data[np.repeat(first + ORDER - inner, length) + np.arange(len(flat))] = flat
-    word = np.repeat(np.arange(len(words)), length + 1)
-    start = np.cumsum(length + 1) - (length + 1)
-    at = np.arange(len(word)) + np.repeat(first - start, length + 1)
-    code = np.zeros(len(word), np.int64)
+def _lines(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words with a line feed behind each, and where each word begins and how long it is."""
+    data = np.frombuffer(joined + b"\n", np.uint8)
+    ends = np.flatnonzero(data == ord("\n"))
+    starts = np.append(0, ends[:-1] + 1)
+    return data, starts, ends - starts
+
+
+def _letters(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Packed (context, byte) of each letter event of each word (joined by line feeds), and the word's index."""
+    flat, _, length = _lines(joined)
+    word = np.repeat(np.arange(len(length)), length + 1)
+    # each word, with its end, has ORDER zeros before it
+    at = np.arange(len(flat)) + ORDER * (word + 1)
+    data = np.zeros(len(flat) + ORDER * len(length), np.uint8)
+    data[at] = np.where(flat == ord("\n"), np.uint8(END), flat)
+    code = np.zeros(len(data), np.int64)
     for j in range(ORDER + 1):
-        code = code << 8 | data[at + j]
-    return code, word
+        code[ORDER:] = code[ORDER:] << 8 | data[j : len(data) - ORDER + j]
+    return code[at], word
 
 
-def _spell(words: list[bytes], keys: np.ndarray, probs: np.ndarray) -> np.ndarray:
+def _spell(joined: bytes, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
     """[word, sample] log probabilities, by ascending ``keys`` that hold all letter events of the words."""
-    code, word = _letters(words)
-    at = np.searchsorted(keys, code)
+    code, word = _letters(joined)
+    order = np.argsort(code)
+    at = np.empty(len(code), np.int64)
+    at[order] = np.searchsorted(keys, code[order])
     if (keys[np.minimum(at, len(keys) - 1)] != code).any():
         raise ValueError("a letter event is missing")
-    start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-    return np.add.reduceat(np.log(probs[at]), start, axis=0)
+    return np.add.reduceat(logs[at], _heads(word), axis=0)
 
 
 def _sums(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
@@ -216,9 +221,11 @@ def letter_probs(vocabulary: DataFrame, seed: int) -> DataFrame:
         for batch in batches:
             for words, counts in zip(batch["words"], batch["counts"], strict=True):
                 known = np.frombuffer(counts.as_py(), np.int64) > 0
-                code, word = _letters(words.as_py().split(b"\n"))
-                keys, of = np.unique(code, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(of, known[word], len(keys)).astype(np.int64))], names=["key", "n"])
+                code, word = _letters(words.as_py())
+                event = code << 1 | known[word]
+                event.sort()
+                head = _heads(event >> 1)
+                yield pa.RecordBatch.from_arrays([pa.array(event[head] >> 1), pa.array(np.add.reduceat(event & 1, head))], names=["key", "n"])
 
     counted = vocabulary.select("words", "counts").mapInArrow(events, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     leaves = materialise(counted.withColumn("group", F.shiftright("key", 8).bitwiseAND(0xFFFF)), "pitman-yor-leaves")
@@ -242,8 +249,8 @@ def letter_probs(vocabulary: DataFrame, seed: int) -> DataFrame:
 _SPELLED = "bucket long, hashes binary, counts binary, word binary, kind binary, n binary, contexts binary, spelled binary"
 
 
-def _with_spelling(row: dict, keys: np.ndarray, probs: np.ndarray) -> dict:
-    spelled = _spell(row["words"].split(b"\n"), keys, probs).astype(np.float32).tobytes()
+def _with_spelling(row: dict, keys: np.ndarray, logs: np.ndarray) -> dict:
+    spelled = _spell(row["words"], keys, logs).astype(np.float32).tobytes()
     return {c: row[c] for c in ("bucket", "hashes", "counts", "word", "kind", "n", "contexts")} | {"spelled": spelled}
 
 
@@ -259,7 +266,7 @@ def spelled_words(vocabulary: DataFrame, letters: DataFrame, *, most: int = LETT
     if letters.count() <= most:
         table = letters.toArrow()
         order = np.argsort(table["key"].to_numpy())
-        sent = vocabulary.sparkSession.sparkContext.broadcast((table["key"].to_numpy()[order], np.stack([table[c].to_numpy()[order] for c in names], axis=1)))
+        sent = vocabulary.sparkSession.sparkContext.broadcast((table["key"].to_numpy()[order], np.log(np.stack([table[c].to_numpy()[order] for c in names], axis=1))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -271,13 +278,13 @@ def spelled_words(vocabulary: DataFrame, letters: DataFrame, *, most: int = LETT
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, words in zip(batch["bucket"].to_pylist(), batch["words"], strict=True):
-                keys = np.unique(_letters(words.as_py().split(b"\n"))[0])
+                keys = np.unique(_letters(words.as_py())[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket)), pa.array(keys)], names=["bucket", "key"])
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table, found: pa.Table) -> pa.Table:
         order = np.argsort(found["key"].to_numpy())
-        probs = np.stack([found[c].to_numpy()[order] for c in names], axis=1)
-        return pa.Table.from_pylist([_with_spelling(r, found["key"].to_numpy()[order], probs) for r in rows.to_pylist()], schema=_SPELLED_ARROW)
+        logs = np.log(np.stack([found[c].to_numpy()[order] for c in names], axis=1))
+        return pa.Table.from_pylist([_with_spelling(r, found["key"].to_numpy()[order], logs) for r in rows.to_pylist()], schema=_SPELLED_ARROW)
 
     found = vocabulary.select("bucket", "words").mapInArrow(asked, "bucket long, key long").join(letters, "key")
     return vocabulary.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(meet, _SPELLED)
@@ -285,51 +292,56 @@ def spelled_words(vocabulary: DataFrame, letters: DataFrame, *, most: int = LETT
 
 @dataclass
 class _Block:
-    """Tokens of a run of texts: the hash of each, that of the token before it, and its text."""
+    """Tokens of a run of texts: the hash of each, that of the token before it, its text, its bucket and on demand its bytes."""
 
     hashes: np.ndarray
     before: np.ndarray
     doc: np.ndarray
-    word_of: np.ndarray | None  # place in words, or -1 for ends
-    words: object
+    bucket: np.ndarray
+    start: np.ndarray | None  # in data; ends have no bytes
+    length: np.ndarray | None
+    data: np.ndarray | None
 
 
 END_HASH = int(mix(np.array([0x454E44], np.uint64))[0])
 
 
-def _blocks(batch: pa.RecordBatch, *, keep_words: bool) -> Iterator[tuple[int, int, list]]:
-    """(first text, texts, parts) of each block; a part holds the tokens of a slice, and on demand its words."""
+def _blocks(batch: pa.RecordBatch, buckets: int, only: np.ndarray | None, *, keep_words: bool) -> Iterator[tuple[int, np.ndarray, _Block]]:
+    """(first text, tokens of each text, its tokens in the buckets of ``only``) of each block; no ``only``: in all."""
+    wanted = np.full(buckets, only is None or not len(only))
+    wanted[[] if only is None else only] = True
+    small = np.uint16 if buckets <= 1 << 16 else np.int64
     for a, texts in slices(batch["text"], BLOCK_BYTES):
-        parts = []
+        parts, sizes, from_byte = [], [], 0
         for b, some in slices(texts):
             words = words_of_texts(some)
             h = word_hashes(words) if len(words.start) else np.empty(0, np.uint64)
             n = words.per_doc()
+            sizes.append(n + 1)
             # each text has its words and then the end, which is also what stands before the next text
             place = np.arange(len(h)) + words.doc
-            hashes = np.full(len(h) + len(n), END_HASH, np.uint64)
-            hashes[place] = h
-            doc = np.repeat(np.arange(b, b + len(n), dtype=np.int32), n + 1)
-            word_of = None
+            hashes = np.full(len(h) + len(n) + 1, END_HASH, np.uint64)
+            hashes[place + 1] = h  # the first one stands before the first token
+            bucket = (hashes[1:] % _U(buckets)).astype(small)
+            at = np.flatnonzero(wanted[bucket])
+            part = [hashes[1:][at], hashes[at], np.repeat(np.arange(b, b + len(n), dtype=np.int32), n + 1)[at], bucket[at]]
             if keep_words:
-                word_of = np.full(len(hashes), -1, np.int32)
-                word_of[place] = np.arange(len(h))
-            parts.append(_Block(hashes, np.append(_U(END_HASH), hashes[:-1]), doc, word_of, words if keep_words else None))
-            del words, h, place
-        yield a, len(texts), parts
+                start, length = np.zeros((2, len(hashes) - 1), np.int64)
+                start[place], length[place] = words.start, words.length
+                part += [start[at] + from_byte, length[at], words.data]
+                from_byte += len(words.data)
+            parts.append(part)
+            del words, h, place, hashes, bucket, at
+        yield a, np.concatenate(sizes), _Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), *[None] * (0 if keep_words else 3))
 
 
 def _pair(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(hashes + mix(before) * _U(0x9E3779B97F4A7C15))
 
 
-def _wanted(hashes: np.ndarray, buckets: int, only: np.ndarray | None) -> np.ndarray:
-    """The places of words in the buckets of ``only`` (none given: of all words)."""
-    if only is None or not len(only):
-        return np.arange(len(hashes))
-    wanted = np.zeros(buckets, bool)
-    wanted[only] = True
-    return np.flatnonzero(wanted[(hashes % _U(buckets)).astype(np.int64)])
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
 
 
 def _cut(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -348,43 +360,35 @@ def vocabulary_of(docs: DataFrame, buckets: int, only: np.ndarray | None = None)
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = ~np.array(batch["held_out"].to_pylist(), bool)
-            for a, _, parts in _blocks(batch, keep_words=True):
-                hashes = np.concatenate([p.hashes for p in parts])
-                at = _wanted(hashes, buckets, only)
-                if not len(at):
+            for a, _, block in _blocks(batch, buckets, only, keep_words=True):
+                if not len(block.hashes):
                     continue
-                before = np.concatenate([p.before for p in parts])
-                learned = np.concatenate([train[p.doc + a] for p in parts])[at]
-                pairs = _pair(hashes[at], before[at])
-                _, first, of = np.unique(pairs, return_index=True, return_inverse=True)
-                n = np.bincount(of, learned, len(first)).astype(np.int64)
-                first = at[first]
-                h = hashes[first]
-                order = np.lexsort((h, h % _U(buckets)))
+                pairs = _pair(block.hashes, block.before)
+                order = np.argsort(pairs)
+                head = _heads(pairs[order])
+                n = np.add.reduceat(train[block.doc + a][order], head, dtype=np.int64)
+                first = order[head]
+                del pairs, order, head
+                h = block.hashes[first]
+                order = np.argsort(h)
+                order = order[np.argsort(block.bucket[first[order]], kind="stable")]
                 first, n, h = first[order], n[order], h[order]
-                new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                text: list[bytes] = [b""] * len(new)
-                offset = np.cumsum([0, *(len(p.hashes) for p in parts)])
-                which = np.searchsorted(offset, first[new], side="right") - 1
-                for i, part in enumerate(parts):
-                    own = np.flatnonzero(which == i)
-                    at = part.word_of[first[new[own]] - offset[i]]
-                    real = own[at >= 0]
-                    at = at[at >= 0]
-                    flat = gather(part.words.data, part.words.start[at], part.words.length[at]).tobytes()
-                    ends = np.cumsum(part.words.length[at])
-                    for j, e, size in zip(real.tolist(), ends.tolist(), part.words.length[at].tolist(), strict=True):
-                        text[j] = flat[e - size : e]
-                bucket = (h % _U(buckets)).astype(np.int64)
-                there, cuts = np.unique(bucket, return_index=True)
-                word_cuts = np.unique(bucket[new], return_index=True)[1]
+                new = _heads(h)
+                bucket, starts, length = block.bucket[first], block.start[first[new]], block.length[first[new]]
+                # words with a line feed behind each
+                text = gather(block.data, starts, length + 1)
+                ends = np.cumsum(length + 1)
+                text[ends - 1] = ord("\n")
+                cuts, word_cuts = _heads(bucket), _heads(bucket[new])
+                there = bucket[cuts].astype(np.int64)
                 pairs_of = np.diff(np.append(new, len(h))).astype(np.uint32)
                 cuts, word_cuts = np.append(cuts, len(h)), np.append(word_cuts, len(new))
+                text_cuts = np.append(0, ends)[word_cuts].tolist()
                 columns = [
                     _cut(h[new], word_cuts),
-                    [b"\n".join(text[x:y]) for x, y in zip(word_cuts[:-1].tolist(), word_cuts[1:].tolist(), strict=True)],
+                    [text[x : y - 1].tobytes() for x, y in zip(text_cuts, text_cuts[1:], strict=False)],
                     _cut(pairs_of, word_cuts),
-                    _cut(before[first], cuts),
+                    _cut(block.before[first], cuts),
                     _cut(n.astype(np.uint32), cuts),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "hashes", "words", "pairs", "kind", "n"])
@@ -392,7 +396,7 @@ def vocabulary_of(docs: DataFrame, buckets: int, only: np.ndarray | None = None)
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         columns = {name: group[name].to_pylist() for name in ("hashes", "words", "pairs", "kind", "n")}
         h = [np.frombuffer(x, np.uint64) for x in columns["hashes"]]
-        text = [w for x in columns["words"] for w in x.split(b"\n")]
+        text, starts, length = _lines(b"\n".join(columns["words"]))
         hashes, first, of = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
         word = np.repeat(of, np.concatenate([np.frombuffer(x, np.uint32) for x in columns["pairs"]]))
         contexts, kind = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in columns["kind"]]), return_inverse=True)
@@ -400,7 +404,7 @@ def vocabulary_of(docs: DataFrame, buckets: int, only: np.ndarray | None = None)
         code, of_pair = np.unique(word * len(contexts) + kind, return_inverse=True)
         total = np.bincount(of_pair, n, len(code)).astype(np.int64)
         counts = np.bincount(code // len(contexts), total, len(hashes)).astype(np.int64)
-        values = [hashes.tobytes(), b"\n".join(text[i] for i in first.tolist()), counts.tobytes(), (code // len(contexts)).astype(np.int32).tobytes(), (code % len(contexts)).astype(np.int32).tobytes(), total.astype(np.uint32).tobytes(), contexts.tobytes()]
+        values = [hashes.tobytes(), gather(text, starts[first], length[first] + 1)[:-1].tobytes(), counts.tobytes(), (code // len(contexts)).astype(np.int32).tobytes(), (code % len(contexts)).astype(np.int32).tobytes(), total.astype(np.uint32).tobytes(), contexts.tobytes()]
         return pa.table([pa.array([key[0].as_py()]), *(pa.array([v], pa.binary()) for v in values)], names=["bucket", "hashes", "words", "counts", "word", "kind", "n", "contexts"])
 
     sent = docs.mapInArrow(spread, "bucket long, hashes binary, words binary, pairs binary, kind binary, n binary")
@@ -446,8 +450,15 @@ def _served(row: dict, t1: np.ndarray) -> np.ndarray:
 
 
 _KEPT = pa.list_(pa.struct([("t1", pa.binary()), ("t0", pa.binary())]))
-_STATE = "bucket long, singles binary, word binary, kind binary, n binary, contexts binary, spelled binary, t1 binary, t0 binary, kept array<struct<t1: binary, t0: binary>>"
-_STATE_ARROW = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("singles", "word", "kind", "n", "contexts", "spelled", "t1", "t0")), ("kept", _KEPT)])
+_STATE = "bucket long, singles binary, word binary, kind binary, n binary, contexts binary, spelled binary, t1 binary, t0 binary, kept array<struct<t1: binary, t0: binary>>, seen array<bigint>"
+_STATE_ARROW = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("singles", "word", "kind", "n", "contexts", "spelled", "t1", "t0")), ("kept", _KEPT), ("seen", pa.list_(pa.int64()))])
+
+
+def _seen(row: dict, t1: np.ndarray, t0: np.ndarray) -> list[int]:
+    """What a bucket adds to ``_totals``."""
+    served, once = _served(row, t1), row["singles"].sum(dtype=np.int64)
+    n = row["n"].astype(np.int64)
+    return [int(x) for x in (once + n.sum(), (t0 > 0).sum(), served.sum(), t0.sum(dtype=np.int64), once, (n == 2).sum(), (served == 1).sum(), (served == 2).sum())]
 
 
 def _begin(words: DataFrame) -> DataFrame:
@@ -468,15 +479,21 @@ def _begin(words: DataFrame) -> DataFrame:
                     "t1": np.ones(len(kind), np.int32),
                     "t0": (row["counts"] > 0).astype(np.int32),
                 }
-                yield pa.RecordBatch.from_pylist([{"bucket": row["bucket"], "kept": [], **{c: x.tobytes() for c, x in arrays.items()}}], schema=_STATE_ARROW)
+                out = {"bucket": row["bucket"], "kept": [], "seen": _seen(arrays, arrays["t1"], arrays["t0"]), **{c: x.tobytes() for c, x in arrays.items()}}
+                yield pa.RecordBatch.from_pylist([out], schema=_STATE_ARROW)
 
-    return words.mapInArrow(run, _STATE)
+    return words.drop("hashes").mapInArrow(run, _STATE)
 
 
 _ASKED = "c long, bucket long, hashes binary, sums array<binary>"
 _ASKED_ARROW = pa.schema([("c", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("sums", pa.list_(pa.binary()))])
 
 
+def _group_of(contexts: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each context, by ranges of hashes: ascending contexts have ascending groups."""
+    return ((contexts >> _U(32)) * _U(groups) >> _U(32)).astype(np.int64)
+
+
 def _by_context(rows: DataFrame, groups: int, sums_of, *, back: bool) -> DataFrame:
     """What each bucket adds to sums of its contexts, by group of contexts; ``back``: it asks for all buckets' sums."""
 
@@ -484,11 +501,10 @@ def _by_context(rows: DataFrame, groups: int, sums_of, *, back: bool) -> DataFra
         for batch in batches:
             for row in _rows(batch):
                 sums, contexts = sums_of(row), row["contexts"]
-                c = (contexts % _U(groups)).astype(np.int64)
-                order = np.argsort(c, kind="stable")
-                there, heads = np.unique(c[order], return_index=True)
-                heads = np.append(heads, len(order))
-                cuts = [_cut(x[order], heads) for x in (contexts, *(x.astype(np.uint32) for x in sums))]
+                c = _group_of(contexts, groups)
+                heads = _heads(c)
+                there, heads = c[heads], np.append(heads, len(c))
+                cuts = [_cut(x, heads) for x in (contexts, *(x.astype(np.uint32) for x in sums))]
                 out = [{"c": g, "bucket": row["bucket"] if back else -1, "hashes": h, "sums": list(x)} for g, h, *x in zip(there.tolist(), *cuts, strict=True)]
                 yield pa.RecordBatch.from_pylist(out, schema=_ASKED_ARROW)
 
@@ -515,15 +531,10 @@ def _added(sent: DataFrame, *, answers: bool) -> DataFrame:
     return sent.groupBy("c").applyInArrow(add, _ASKED)
 
 
-def _answered(row: dict, answers: list[dict], groups: int, sums: int) -> list[np.ndarray]:
-    """The sums of each of a bucket's contexts, put together from the groups' answers."""
-    order = np.argsort((row["contexts"] % _U(groups)).astype(np.int64), kind="stable")
-    out = []
-    for j in range(sums):
-        x = np.zeros(len(order))
-        x[order] = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r["sums"][j], np.uint32) for r in sorted(answers, key=lambda r: r["c"]))])
-        out.append(x)
-    return out
+def _answered(answers: list[dict], sums: int) -> list[np.ndarray]:
+    """The sums of each of a bucket's contexts, which ascend as their groups do, put together from the groups' answers."""
+    answers = sorted(answers, key=lambda r: r["c"])
+    return [np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r["sums"][j], np.uint32) for r in answers)]).astype(np.float64) for j in range(sums)]
 
 
 def contexts_of(words: DataFrame, groups: int) -> DataFrame:
@@ -532,19 +543,19 @@ def contexts_of(words: DataFrame, groups: int) -> DataFrame:
     def sums(row: dict) -> list[np.ndarray]:
         return [np.bincount(row["kind"], x, len(row["contexts"])) for x in (row["n"], row["n"] == 1)]
 
-    return _added(_by_context(words, groups, sums, back=False), answers=False)
+    return _added(_by_context(words.select("bucket", "kind", "n", "contexts"), groups, sums, back=False), answers=False)
 
 
 def _sweep(state: DataFrame, contexts: DataFrame, total: _Totals, sweep: int, seed: int, groups: int) -> DataFrame:
     """Seat every bucket's words once more, given what all buckets had after the sweep before."""
     sample = max(0, sweep - (SWEEPS - SAMPLES))
-    asked = _by_context(state.drop("spelled", "kept"), groups, lambda row: [np.bincount(row["kind"], row["t1"], len(row["contexts"]))], back=True)
+    asked = _by_context(state.select("bucket", "kind", "n", "contexts", "t1"), groups, lambda row: [np.bincount(row["kind"], row["t1"], len(row["contexts"]))], back=True)
     tables = _added(asked.unionByName(contexts.withColumn("sums", F.slice("sums", 2, 1))), answers=True)
 
     def sit(key: tuple[pa.Scalar, ...], group: pa.Table, answers: pa.Table) -> pa.Table:
         given = group.to_pylist()[0]
         row = _numbers(given)
-        in_context = _answered(row, answers.to_pylist(), groups, 1)[0][row["kind"]]
+        in_context = _answered(answers.to_pylist(), 1)[0][row["kind"]]
         rng = np.random.default_rng([seed, sweep, row["bucket"]])
         served = _served(row, row["t1"])
         # a long word's may underflow to 0, which is exact enough here: those seated have at least 1 - d0 beside it
@@ -554,22 +565,14 @@ def _sweep(state: DataFrame, contexts: DataFrame, total: _Totals, sweep: int, se
         t0 = seat(_served(row, t1), np.maximum(total.dishes - row["t0"], 0), p0, total.d0, S0, rng)
         new = {"t1": t1.astype(np.int32).tobytes(), "t0": t0.astype(np.int32).tobytes()}
         kept = [*given["kept"], new] if sweep >= SWEEPS - SAMPLES else []
-        return pa.Table.from_pylist([given | new | {"kept": kept}], schema=_STATE_ARROW)
+        return pa.Table.from_pylist([given | new | {"kept": kept, "seen": _seen(row, t1, t0)}], schema=_STATE_ARROW)
 
     return state.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(sit, _STATE)
 
 
 def _totals(state: DataFrame) -> _Totals:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.zeros(8, np.int64)
-        for batch in batches:
-            for row in _rows(batch):
-                served, once = _served(row, row["t1"]), row["singles"].sum(dtype=np.int64)
-                x += np.array([once + row["n"].sum(), (row["t0"] > 0).sum(), served.sum(), row["t0"].sum(), once, (row["n"] == 2).sum(), (served == 1).sum(), (served == 2).sum()], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in x.tolist()], names=[f"x{i}" for i in range(8)])
-
-    sent = state.select("bucket", "singles", "word", "n", "t1", "t0").mapInArrow(run, ", ".join(f"x{i} long" for i in range(8)))
-    tokens, words, served, dishes, *seated = (v or 0 for v in sent.agg(*(F.sum(f"x{i}") for i in range(8))).first())
+    sent = state.agg(*(F.sum(F.col("seen")[i]) for i in range(8))).first()
+    tokens, words, served, dishes, *seated = (v or 0 for v in sent)
     return _Totals(tokens, words, served, dishes, discount(*seated[:2]), discount(*seated[2:]))
 
 
@@ -585,25 +588,30 @@ def word_model(words: DataFrame, contexts: DataFrame, seed: int, groups: int) ->
     return state, totals
 
 
-def _values(words: DataFrame, state: DataFrame, contexts: DataFrame, totals: list[_Totals], groups: int, only: np.ndarray) -> DataFrame:
-    """Of each bucket of ``only`` the log10 probability of each pair and the count of its word."""
-    mine = F.col("bucket").isin(only.tolist())
+def kept_contexts(contexts: DataFrame, state: DataFrame, groups: int) -> DataFrame:
+    """Of all contexts, by group: what ``contexts_of`` has, and the tables of pairs with more customers in each kept sweep."""
 
     def tables(row: dict) -> list[np.ndarray]:
         none = np.zeros(len(row["contexts"]))
         return [none, none, *(np.bincount(row["kind"], np.frombuffer(k["t1"], np.int32), len(none)) for k in row["kept"])]
 
-    asked = _by_context(words.filter(mine).select("bucket", "n", "contexts"), groups, lambda row: [], back=True)
     seated = _by_context(state.select("bucket", "kind", "n", "contexts", "kept"), groups, tables, back=False)
-    answers = _added(asked.unionByName(contexts).unionByName(seated), answers=True)
+    return _added(contexts.unionByName(seated), answers=False)
+
+
+def _values(words: DataFrame, state: DataFrame, contexts: DataFrame, totals: list[_Totals], groups: int, only: np.ndarray) -> DataFrame:
+    """Of each bucket of ``only`` the log10 probability of each pair and the count of its word; ``contexts``: those of ``kept_contexts``."""
+    mine = F.col("bucket").isin(only.tolist())
+    asked = _by_context(words.filter(mine).select("bucket", "n", "contexts"), groups, lambda row: [], back=True)
+    answers = _added(asked.unionByName(contexts), answers=True)
     right = answers.drop("hashes").unionByName(state.filter(mine).select("bucket", "kept"), allowMissingColumns=True)
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table, found: pa.Table) -> pa.Table:
         row, found = _numbers(group.to_pylist()[0]), found.to_pylist()
         kept_of = next(r["kept"] for r in found if r["c"] is None)
-        customers, singles, *more = _answered(row, [r for r in found if r["c"] is not None], groups, 2 + SAMPLES)
+        customers, singles, *more = _answered([r for r in found if r["c"] is not None], 2 + SAMPLES)
         words, kind, several = len(row["counts"]), row["kind"], row["n"] > 1
-        p = np.full(len(row["n"]), -np.inf)
+        p, all_of = np.full(len(row["n"]), -np.inf), np.log(S1 + customers)[kind]
         for j, kept in enumerate(kept_of):
             at, after = totals[SWEEPS - SAMPLES + j], totals[SWEEPS - SAMPLES + j + 1]
             t1, t0 = (row["n"] == 1).astype(np.int64), np.frombuffer(kept["t0"], np.int32)
@@ -612,8 +620,9 @@ def _values(words: DataFrame, state: DataFrame, contexts: DataFrame, totals: lis
             with np.errstate(divide="ignore"):  # no customers: the log is -inf and only the parent counts
                 seated_g, seated_own = np.log(served - at.d0 * t0), np.log(row["n"] - at.d1 * t1)
             g = np.logaddexp(seated_g, np.log(S0 + at.d0 * after.dishes) + row["spelled"][:, j]) - np.log(S0 + after.served)
-            own = np.logaddexp(seated_own, np.log(S1 + at.d1 * (singles + more[j])[kind]) + g[row["word"]])
-            p = np.logaddexp(p, own - np.log(S1 + customers[kind]) - np.log(SAMPLES))
+            own = np.logaddexp(seated_own, np.log(S1 + at.d1 * (singles + more[j]))[kind] + g[row["word"]])
+            own = own - all_of - np.log(SAMPLES)
+            p = np.logaddexp(p, own) if j else own
         pair = _pair(row["hashes"][row["word"]], row["contexts"][kind])
         order = np.argsort(pair)
         columns = [pair[order], (p[order] / np.log(10)).astype(np.float32), row["counts"][row["word"]][order].astype(np.uint32), np.empty(0)]
@@ -641,15 +650,17 @@ def score(docs: DataFrame, *, buckets: int | None = None, seed: int = 11) -> Dat
         discard(*counted)
         contexts = materialise(contexts_of(words, buckets), "pitman-yor-contexts")
         state, totals = word_model(words, contexts, seed, buckets)
+        kept = materialise(kept_contexts(contexts, state, buckets), "pitman-yor-kept")
+        discard(contexts)
     tokens, different = totals[0].tokens, totals[0].words
     parts = []
     for r in range(min(ROUNDS, buckets)):
         only = np.arange(r, buckets, ROUNDS)
         with large_rows(docs.sparkSession):
-            values = materialise(_values(words, state, contexts, totals, buckets, only), "pitman-yor-values")
+            values = materialise(_values(words, state, kept, totals, buckets, only), "pitman-yor-values")
         parts.append(_sums_of(docs, values, buckets, only))
         discard(values)
-    discard(words, state, contexts)
+    discard(words, state, kept)
 
     def whole(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -671,32 +682,32 @@ def _sums_of(docs: DataFrame, values: DataFrame, buckets: int, only: np.ndarray)
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for a, size, parts in _blocks(batch, keep_words=False):
-                hashes = np.concatenate([p.hashes for p in parts])
-                at = _wanted(hashes, buckets, only)
-                doc = np.concatenate([p.doc for p in parts])
-                n = np.bincount(doc, minlength=size).astype(np.uint32)
-                hashes, doc = hashes[at], doc[at]
-                pairs = _pair(hashes, np.concatenate([p.before for p in parts])[at])
-                parts.clear()
-                bucket = (hashes % _U(buckets)).astype(np.int32)
-                del hashes
-                order = np.lexsort((doc, pairs, bucket))
-                bucket, pairs, doc = bucket[order], pairs[order], doc[order]
-                del order
-                new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (doc[1:] != doc[:-1]))[: len(pairs)])
-                times = np.diff(np.append(new, len(pairs)))
-                new = np.repeat(new, -(-times // 255))  # an entry counts up to 255 times, more take several
-                first = np.append(True, new[1:] != new[:-1])[: len(new)]
-                runs_of = np.arange(len(new)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                times = np.minimum(times[np.cumsum(first) - 1] - 255 * runs_of, 255).astype(np.uint8)
-                bucket, pairs, doc = bucket[new], pairs[new], doc[new]
-                head = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
-                runs = np.diff(np.append(head, len(pairs))).astype(np.uint32)
-                there, cuts = np.unique(bucket, return_index=True)
-                heads = np.append(np.searchsorted(head, cuts), len(head))
-                cuts = np.append(cuts, len(pairs))
-                columns = [_cut(pairs[head], heads), _cut(runs, heads), _cut(doc.astype(np.uint16), cuts), _cut(times, cuts)]
+            for a, n, tokens in _blocks(batch, buckets, only, keep_words=False):
+                size, n = len(n), n.astype(np.uint32)
+                pairs = _pair(tokens.hashes, tokens.before)
+                order = np.argsort(pairs)
+                pairs, doc = pairs[order], tokens.doc[order]
+                head = _heads(pairs)
+                pairs, bucket = pairs[head], tokens.bucket[order[head]]
+                by_bucket = np.argsort(bucket, kind="stable")
+                rank = np.empty(len(head), np.int64)
+                rank[by_bucket] = np.arange(len(head))
+                entry = np.repeat(rank, np.diff(np.append(head, len(doc)))) << 32 | doc
+                del tokens, order, doc, rank, head
+                entry.sort()
+                pairs, bucket = pairs[by_bucket], bucket[by_bucket]
+                new = _heads(entry)
+                times = np.diff(np.append(new, len(entry)))
+                entry = entry[new]
+                if len(times) and times.max() > 255:  # an entry counts up to 255 times, more take several
+                    several = -(-times // 255)
+                    runs_of = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+                    entry, times = np.repeat(entry, several), np.minimum(np.repeat(times, several) - 255 * runs_of, 255)
+                runs = np.bincount(entry >> 32, minlength=len(pairs)).astype(np.uint32)
+                heads = _heads(bucket)
+                there, heads = bucket[heads], np.append(heads, len(bucket))
+                cuts = np.append(0, np.cumsum(runs, dtype=np.int64))[heads]
+                columns = [_cut(pairs, heads), _cut(runs, heads), _cut((entry & 0xFFFFFFFF).astype(np.uint16), cuts), _cut(times.astype(np.uint8), cuts)]
                 ones = np.ones(len(there), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(ones * block), pa.array(ones), *(pa.array(c, pa.binary()) for c in columns)], names=_SENT)
                 ids = batch["doc_id"].slice(a, size)
@@ -716,10 +727,10 @@ def _sums_of(docs: DataFrame, values: DataFrame, buckets: int, only: np.ndarray)
             for r in rows:
                 if r["kind"] == 1:
                     at = np.searchsorted(keys, np.frombuffer(r["a"], np.uint64))
-                    at = np.repeat(at, np.frombuffer(r["b"], np.uint32))
+                    runs = np.frombuffer(r["b"], np.uint32)
                     doc, n = np.frombuffer(r["c"], np.uint16), np.frombuffer(r["d"], np.uint8)
-                    sums = [np.bincount(doc, x[at] * n) for x in (lp, l1, seen)]
-                    own = np.unique(doc)
+                    sums = [np.bincount(doc, np.repeat(x[at], runs) * n) for x in (lp, l1, seen)]
+                    own = np.flatnonzero(np.bincount(doc)).astype(np.uint16)
                     out.append({"block": r["block"], "kind": 1, "a": own.tobytes(), "b": sums[0][own].astype(np.float32).tobytes(), "c": sums[1][own].tobytes(), "d": sums[2][own].astype(np.uint32).tobytes()})
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("kind", pa.int64()), *((c, pa.binary()) for c in "abcd")]))
 

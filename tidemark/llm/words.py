@@ -16,10 +16,6 @@ import pyarrow.compute as pc
 #: Texts are handled in slices of about so many bytes.
 SLICE_BYTES = 4_000_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _U = np.uint64
 
@@ -48,18 +44,19 @@ def words_of_texts(texts: pa.Array) -> Words:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first, last = (int(offsets[0]), int(offsets[-1])) if len(texts) else (0, 0)
     raw = texts.buffers()[2]
-    data = np.zeros(last - first + 8, np.uint8)
-    if last > first:
-        data[: last - first] = _LOWER[np.frombuffer(raw, np.uint8)[first:last]]
-    bounds = offsets - first if len(texts) else np.zeros(1, np.int64)
     n = last - first
+    data = np.zeros(n + 8, np.uint8)
+    if n:
+        text = np.frombuffer(raw, np.uint8)[first:last]
+        data[:n] = text + (text - np.uint8(ord("A")) < 26).view(np.uint8) * np.uint8(32)
+    bounds = offsets - first if len(texts) else np.zeros(1, np.int64)
     word = np.zeros(n + 2, bool)
-    word[1 : n + 1] = ~_SPACE[data[:n]]
-    edge = np.zeros(n + 1, bool)
-    edge[bounds] = True
-    starts = np.flatnonzero(word[1:] & (~word[:-1] | edge))
-    ends = np.flatnonzero(word[:-1] & (~word[1:] | edge))
-    doc = np.searchsorted(bounds, starts, side="right") - 1
+    word[1 : n + 1] = (data[:n] != 0x20) & (data[:n] - np.uint8(0x09) > 4)
+    turns = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = turns[::2].copy(), turns[1::2].copy()
+    inside = np.unique(bounds[word[bounds] & word[bounds + 1]])  # one text ends and the next begins without a space
+    starts, ends = (np.insert(x, np.searchsorted(x, inside), inside) for x in (starts, ends))
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, bounds)))
     return Words(data, starts, ends - starts, doc, len(texts))
 
 

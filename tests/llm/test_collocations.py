@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -93,3 +96,47 @@ def test_words_and_pieces():
     assert [bytes(p.data[s : s + n]) for s, n in zip(p.start, p.length, strict=True)] == [b"a", b"b", b"c", b"d", b"e", b"f", b"g"]
     assert p.doc.tolist() == [0, 0, 0, 3, 3, 3, 4]
     assert [int(p.piece[i] == p.piece[i + 1]) for i in range(6)] == [1, 0, 0, 1, 0, 0]
+
+
+def test_counters_stay_at_least():
+    row = np.zeros(8, np.uint8)
+    for _ in range(3):
+        collocations.count_up(row, np.array([5] * 1000 + [0, 7, 5], np.int32), 30)
+    assert row.tolist() == [3, 0, 0, 0, 0, 30, 0, 3]
+    row = np.zeros(8, np.uint16)
+    for _ in range(3):
+        collocations.count_up(row, np.array([1] * 250, np.int32), 700)
+        collocations.count_up(row, np.zeros(0, np.int32), 700)
+    assert row.tolist() == [0, 700, 0, 0, 0, 0, 0, 0]
+
+
+def test_tasks_take_little_memory():
+    """The widest sketch, and a count that lets all n-grams through, of a batch of texts."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(3000)]
+    text = [" ".join(rng.choices(vocabulary, k=600)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(text), "lang": pa.array(["en"] * len(text))})
+    assert batch.nbytes > 3_400_000
+    width = collocations.MOST_WIDTH
+    bits = SimpleNamespace(value=np.full((collocations.ROWS, width // 8), 255, np.uint8))
+    tracemalloc.start()
+    try:
+        peaks = []
+        for task in (collocations._sketch(width, 30), collocations._survivors(bits, width)):
+            tracemalloc.reset_peak()
+            for _ in task(iter([batch])):
+                pass
+            peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+    finally:
+        tracemalloc.stop()
+    assert max(peaks) < 200, peaks
+
+
+def test_batches_are_bounded(spark, monkeypatch):
+    """Each pass over the texts gets them in batches of BATCH_BYTES, and the setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    written = collocations.materialise
+    monkeypatch.setattr(collocations, "materialise", lambda df, to: seen.append(spark.conf.get(name)) or written(df, to))
+    collocations.frequent(spark.createDataFrame([(1, "a b", "en", "", 1, 1)], SCHEMA))
+    assert seen == [str(collocations.BATCH_BYTES)] * 2 and spark.conf.get(name) == before

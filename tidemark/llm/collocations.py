@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import batches_of, materialise
 from tidemark.llm.words import Words, gather, mix, slices, word_hashes
 
 #: Words of a phrase at most, and of a candidate at least.
@@ -35,6 +35,10 @@ BYTES_A_COUNTER = 40
 ROWS = 2
 #: Counters that are merged together.
 PART = 1 << 18
+#: Bytes of a batch of texts; somewhat less than a run of ``slices``, so that a batch is one run.
+BATCH_BYTES = 3_800_000
+#: Words or phrases that are cut out at once.
+CUT = 1 << 17
 #: Frequent single words are parts of many phrases: their counts are dealt to so many groups.
 SALTS = 16
 #: A language's phrases are first ranked in so many groups.
@@ -60,6 +64,16 @@ class Pieces:
     doc: np.ndarray
 
 
+def cut(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What ``gather`` returns, with little memory besides it: ``gather`` takes some 24 bytes for each byte."""
+    out, at = np.empty(int(length.sum()), np.uint8), 0
+    for i in range(0, len(start), CUT):
+        part = gather(data, start[i : i + CUT], length[i : i + CUT])
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
 def pieces_of_texts(texts: pa.Array, kinds: np.ndarray = _KIND) -> Pieces:
     """The words of each text, lower-cased in ASCII; a null text has none. ``kinds`` says of each byte what it is."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -79,7 +93,7 @@ def pieces_of_texts(texts: pa.Array, kinds: np.ndarray = _KIND) -> Pieces:
     breaks = np.cumsum((kind == 2) | edge[:n], dtype=np.int32)
     piece = breaks[starts] if n else np.zeros(0, np.int32)
     doc = np.searchsorted(bounds, starts, side="right") - 1
-    joined = np.concatenate([gather(data, starts, length + 1), np.zeros(8, np.uint8)])
+    joined = np.concatenate([cut(data, starts, length + 1), np.zeros(8, np.uint8)])
     at = np.cumsum(length + 1) - length - 1
     joined[at + length] = 0x20
     return Pieces(joined, at, length, piece, doc)
@@ -100,7 +114,7 @@ def gram_hashes(words: Pieces, langs: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 def buckets(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The counter of each row of the sketch."""
-    return (h & _U(width - 1)).astype(np.int64), (h >> _U(64 - width.bit_length() + 1)).astype(np.int64)
+    return (h & _U(width - 1)).astype(np.int32), (h >> _U(64 - width.bit_length() + 1)).astype(np.int32)
 
 
 def width_for(n_bytes: int) -> int:
@@ -127,24 +141,31 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Arr
             yield part, lang.slice(first, len(part))
 
 
+def count_up(row: np.ndarray, b: np.ndarray, least: int) -> None:
+    """Add one to counter ``b[i]`` of the row for each i; a counter stays at ``least``, so that it may be narrow."""
+    b = np.sort(b)
+    first = np.flatnonzero(np.diff(b, prepend=-1))
+    at = b[first]
+    row[at] = np.minimum(row[at] + np.diff(first, append=len(b)), least)
+
+
 def _sketch(width: int, least: int):
     """One task's sketch, in parts; a counter that has reached ``least`` needs no more."""
     narrow = np.min_scalar_type(least)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, any_text = np.zeros((ROWS, width), np.uint32), False
+        rows, any_text = np.zeros((ROWS, width), narrow), False
         for text, lang in _texts(batches):
             any_text = True
             for _, _, h in gram_hashes(pieces_of_texts(text), _lang_hashes(lang)):
                 for row, b in zip(rows, buckets(h, width), strict=True):
-                    np.add.at(row, b, 1)
+                    count_up(row, b, least)
         if not any_text:
             return
         pack = zstandard.ZstdCompressor(level=1)
         for i, row in enumerate(rows):
             for part in range(0, width, PART):
-                counts = np.minimum(row[part : part + PART], least).astype(narrow)
-                yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "part": pa.array([part // PART], pa.int32()), "counts": pa.array([pack.compress(counts.tobytes())], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "part": pa.array([part // PART], pa.int32()), "counts": pa.array([pack.compress(row[part : part + PART].tobytes())], pa.binary())})
 
     return build
 
@@ -166,7 +187,7 @@ def _merged(least: int):
 
 
 def _survivors(bits, width: int):
-    """Counts of the n-grams that the sketch lets through, by run of texts; a row without a phrase counts all words."""
+    """Counts of the n-grams that the sketch lets through, by run of texts and n; a row without a phrase counts all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -174,7 +195,6 @@ def _survivors(bits, width: int):
             words = pieces_of_texts(text)
             names = lang.dictionary_encode()
             codes = names.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-            starts, lengths, owners = [], [], []
             passed = np.zeros(len(words.start) + 1, bool)
             for n, at, h in gram_hashes(words, _lang_hashes(lang)):
                 keep = np.ones(len(at), bool) if n == 1 else passed[at] & passed[at + 1]
@@ -183,15 +203,12 @@ def _survivors(bits, width: int):
                 passed = np.zeros(len(words.start) + 1, bool)
                 passed[at[keep]] = True
                 at = at[keep]
-                starts.append(words.start[at])
-                lengths.append(words.start[at + n - 1] + words.length[at + n - 1] - words.start[at])
-                owners.append(codes[words.doc[at]])
-            start, length, owner = np.concatenate(starts), np.concatenate(lengths), np.concatenate(owners)
-            ends = np.concatenate([[0], np.cumsum(length)])
-            phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(gather(words.data, start, length))])
-            found = pa.table({"lang": owner, "phrase": phrases}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
+                start, end = words.start[at], words.start[at + n - 1] + words.length[at + n - 1]
+                ends = np.concatenate([[0], np.cumsum(end - start)])
+                phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(cut(words.data, start, end - start))])
+                found = pa.table({"lang": codes[words.doc[at]], "phrase": phrases}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
+                yield _batch(names.dictionary, found["lang"].combine_chunks(), found["phrase"].combine_chunks().cast(pa.large_string()).cast(pa.string()), found["count_all"].combine_chunks())
             total = np.bincount(codes[words.doc], minlength=len(names.dictionary))
-            yield _batch(names.dictionary, found["lang"].combine_chunks(), found["phrase"].combine_chunks().cast(pa.large_string()).cast(pa.string()), found["count_all"].combine_chunks())
             yield _batch(names.dictionary, pa.array(np.arange(len(total))), pa.nulls(len(total), pa.string()), pa.array(total.astype(np.int64)))
 
     return count
@@ -213,11 +230,14 @@ def frequent(docs: DataFrame, least: int = 30) -> DataFrame:
     sketches = texts.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(_sketch(width, least), "row int, part int, counts binary")
     merged = sketches.groupBy("row", "part").applyInArrow(_merged(least), "row int, part int, bits binary")
     bits = np.zeros((ROWS, width // 8), np.uint8)
-    for r in materialise(merged, "collocations-sketch").toLocalIterator():  # at most 8 MB
+    with batches_of(spark, BATCH_BYTES):
+        merged = materialise(merged, "collocations-sketch")
+    for r in merged.toLocalIterator():  # at most 8 MB
         bits[r["row"], r["part"] * PART // 8 : r["part"] * PART // 8 + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     counted = texts.mapInArrow(_survivors(spark.sparkContext.broadcast(bits), width), "lang string, phrase string, c long")
     exact = counted.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).filter((F.col("c") >= least) | F.col("phrase").isNull())
-    return materialise(exact, "collocations-frequent")
+    with batches_of(spark, BATCH_BYTES):
+        return materialise(exact, "collocations-frequent")
 
 
 def n_words(phrase: str) -> Column:

@@ -79,6 +79,18 @@ def large_rows(spark: SparkSession):
             spark.conf.set(name, value)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, n_bytes: int):
+    """While this holds, tasks take rows in batches of about so many bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n_bytes)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*written: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing reads any more."""
     for df in written:

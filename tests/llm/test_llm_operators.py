@@ -6,9 +6,11 @@ import itertools
 import json
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +267,45 @@ def test_pitman_yor_adds_up_what_all_rounds_need_once(spark, monkeypatch):
     assert collections.Counter(passes) == {"vocabulary_of": 2, "letter_probs": 1, "spelled_words": 1, "_by_context": len(sent), "_begin": 1, "_sums_of": pitman_yor.ROUNDS}
 
 
+def test_pitman_yor_seats_letters_in_few_groups_and_reads_buckets_apart(spark, monkeypatch):
+    """Rare letter contexts share a group, which holds all contexts that end alike; a round can leave out other rounds' rows.
+
+    No two words meet twice here, so that groups of contexts have no tables beyond those of single customers.
+    """
+    found, keep = {}, pitman_yor.materialise
+
+    def kept(df, name, **options):
+        out = keep(df, name, **options)
+        if name == "pitman-yor-leaves":
+            found["groups"] = out.selectExpr("group", "shiftright(key, 8) & 65535 as pair").distinct().collect()
+        if name in ("pitman-yor-words", "pitman-yor-seating"):
+            files = list(Path(out.written_to.removeprefix("file:")).glob("*.parquet"))
+            found.setdefault("rows", []).extend(f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, files) for i in range(f.num_row_groups))
+        return out
+
+    monkeypatch.setattr(pitman_yor, "materialise", kept)
+    signs = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(a + b + "x" for b in signs), i == 3) for i, a in enumerate(signs)]
+    assert pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), buckets=9).count() == len(rows)
+    group_of = dict((r.pair, r.group) for r in found["groups"])
+    assert len(group_of) == len(found["groups"]) > 600 and len(set(group_of.values())) <= 256
+    assert set(found["rows"]) == {1} and len(found["rows"]) == 9 * (2 + pitman_yor.SWEEPS)
+
+
+def test_pitman_yor_packs_and_adds_as_numpy():
+    rng = np.random.default_rng(3)
+    for most, size in ((0, 1), (255, 1), (256, 2), (70_000, 4), (2**33, 8)):
+        packed = pitman_yor._narrow(np.array([0, most])).tobytes()
+        assert len(packed) == 2 * size and pitman_yor._wide(packed, 2).tolist() == [0, most]
+    assert len(pitman_yor._wide(b"", 0)) == 0
+    for n in (0, 1, 500):
+        values = rng.integers(0, 50, n).astype(np.uint64)
+        different, first, of = pitman_yor._distinct(values)
+        assert different.tolist() == sorted(set(values.tolist())) and (values[first] == different).all() and (different[of] == values).all()
+    a, b = np.append(-np.inf, rng.normal(-300, 300, 999)), rng.normal(-300, 300, 1000)
+    assert np.allclose(pitman_yor._log_add(a, b), np.logaddexp(a, b), rtol=1e-14, atol=1e-14)
+
+
 def test_words_and_letters_of_awkward_texts():
     """Words by numpy are those of a regular expression, at ends of texts too; letters of joined words are those of each."""
     rng = np.random.default_rng(5)

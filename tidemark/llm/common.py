@@ -42,19 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later steps then start from files that any executor can read, so a lost
     executor costs the tasks that ran on it and no recomputation of ``df``, and
     the shuffle files that led to ``df`` are of no more use and are removed.
+    ``options`` are those of Spark's Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)

@@ -65,6 +65,14 @@ S1, S0 = 1.0, 1.0
 DL, SL = 0.6, 1.0
 SWEEPS, SAMPLES = 4, 3
 BLOCK_BYTES = 10_000_000
+#: Texts are cut into words in parts of about so many bytes, whose arrays fit a core's cache.
+PART_BYTES = 500_000
+#: Groups of letter contexts; contexts that share their last two bytes are in one group.
+LETTER_GROUPS = 256
+#: For tables whose rows are packed arrays: values never repeat, and most bytes don't compress.
+PACKED = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
+#: For those of which a round reads its buckets only: each row can be left out.
+ROWS_APART = PACKED | {"parquet.block.row.count.limit": "1"}
 END = 0x20
 _U = np.uint64
 
@@ -113,15 +121,16 @@ def _letters(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     return code[at], word
 
 
-def _spell(joined: bytes, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """[word, sample] log probabilities, by ascending ``keys`` that hold all letter events of the words."""
+def _spell(joined: bytes, keys: np.ndarray, logs: list[np.ndarray]) -> np.ndarray:
+    """[word, sample] log probabilities, from those of each sample by ascending ``keys`` that hold all letter events of the words."""
     code, word = _letters(joined)
     order = np.argsort(code)
     at = np.empty(len(code), np.int64)
     at[order] = np.searchsorted(keys, code[order])
     if (keys[np.minimum(at, len(keys) - 1)] != code).any():
         raise ValueError("a letter event is missing")
-    return np.add.reduceat(logs[at], _heads(word), axis=0)
+    heads = _heads(word)
+    return np.stack([np.add.reduceat(x[at], heads) for x in logs], axis=1)
 
 
 def _sums(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
@@ -174,7 +183,7 @@ def _top(customers: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def _seating(top: np.ndarray, seed: list[int]):
-    """Seats the restaurants of all contexts that share their last two bytes; events without customers get probabilities too."""
+    """Seats the restaurants of a group of contexts, with all that share their last two bytes; events without customers get probabilities too."""
 
     def group(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rng = np.random.default_rng([*seed, key[0].as_py()])
@@ -228,7 +237,8 @@ def letter_probs(vocabulary: DataFrame, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(event[head] >> 1), pa.array(np.add.reduceat(event & 1, head))], names=["key", "n"])
 
     counted = vocabulary.select("words", "counts").mapInArrow(events, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    leaves = materialise(counted.withColumn("group", F.shiftright("key", 8).bitwiseAND(0xFFFF)), "pitman-yor-leaves")
+    last_two = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    leaves = materialise(counted.withColumn("group", F.pmod(F.hash(last_two), F.lit(LETTER_GROUPS)).cast("long")), "pitman-yor-leaves")
     pair = F.col("key").bitwiseAND(0xFFFF).alias("pair")  # at most 65,536 of them go to the driver
     tables = leaves.filter("n > 0").select(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).distinct().groupBy(pair).agg(F.count("*").alias("t"))
     schema = "key long, t long, " + ", ".join(f"v{j} float" for j in range(SAMPLES))
@@ -249,7 +259,13 @@ def letter_probs(vocabulary: DataFrame, seed: int) -> DataFrame:
 _SPELLED = "bucket long, hashes binary, counts binary, word binary, kind binary, n binary, contexts binary, spelled binary"
 
 
-def _with_spelling(row: dict, keys: np.ndarray, logs: np.ndarray) -> dict:
+def _log_columns(letters: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The keys of letter events, ascending, and the log probabilities of each sample."""
+    order = np.argsort(letters["key"].to_numpy())
+    return letters["key"].to_numpy()[order], [np.log(letters[f"v{j}"].to_numpy()[order]) for j in range(SAMPLES)]
+
+
+def _with_spelling(row: dict, keys: np.ndarray, logs: list[np.ndarray]) -> dict:
     spelled = _spell(row["words"], keys, logs).astype(np.float32).tobytes()
     return {c: row[c] for c in ("bucket", "hashes", "counts", "word", "kind", "n", "contexts")} | {"spelled": spelled}
 
@@ -262,11 +278,8 @@ def spelled_words(vocabulary: DataFrame, letters: DataFrame, *, most: int = LETT
 
     Up to ``most`` letter events are broadcast; more are joined by key.
     """
-    names = [f"v{j}" for j in range(SAMPLES)]
     if letters.count() <= most:
-        table = letters.toArrow()
-        order = np.argsort(table["key"].to_numpy())
-        sent = vocabulary.sparkSession.sparkContext.broadcast((table["key"].to_numpy()[order], np.log(np.stack([table[c].to_numpy()[order] for c in names], axis=1))))
+        sent = vocabulary.sparkSession.sparkContext.broadcast(_log_columns(letters.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -282,9 +295,8 @@ def spelled_words(vocabulary: DataFrame, letters: DataFrame, *, most: int = LETT
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket)), pa.array(keys)], names=["bucket", "key"])
 
     def meet(key: tuple[pa.Scalar, ...], rows: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.argsort(found["key"].to_numpy())
-        logs = np.log(np.stack([found[c].to_numpy()[order] for c in names], axis=1))
-        return pa.Table.from_pylist([_with_spelling(r, found["key"].to_numpy()[order], logs) for r in rows.to_pylist()], schema=_SPELLED_ARROW)
+        known = _log_columns(found)
+        return pa.Table.from_pylist([_with_spelling(r, *known) for r in rows.to_pylist()], schema=_SPELLED_ARROW)
 
     found = vocabulary.select("bucket", "words").mapInArrow(asked, "bucket long, key long").join(letters, "key")
     return vocabulary.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(meet, _SPELLED)
@@ -292,12 +304,13 @@ def spelled_words(vocabulary: DataFrame, letters: DataFrame, *, most: int = LETT
 
 @dataclass
 class _Block:
-    """Tokens of a run of texts: the hash of each, that of the token before it, its text, its bucket and on demand its bytes."""
+    """Tokens of a run of texts: the hash of each with the token before it, its text, its bucket and on demand both hashes and its bytes."""
 
-    hashes: np.ndarray
-    before: np.ndarray
+    pairs: np.ndarray
     doc: np.ndarray
     bucket: np.ndarray
+    hashes: np.ndarray | None
+    before: np.ndarray | None
     start: np.ndarray | None  # in data; ends have no bytes
     length: np.ndarray | None
     data: np.ndarray | None
@@ -313,7 +326,7 @@ def _blocks(batch: pa.RecordBatch, buckets: int, only: np.ndarray | None, *, kee
     small = np.uint16 if buckets <= 1 << 16 else np.int64
     for a, texts in slices(batch["text"], BLOCK_BYTES):
         parts, sizes, from_byte = [], [], 0
-        for b, some in slices(texts):
+        for b, some in slices(texts, PART_BYTES):
             words = words_of_texts(some)
             h = word_hashes(words) if len(words.start) else np.empty(0, np.uint64)
             n = words.per_doc()
@@ -324,15 +337,16 @@ def _blocks(batch: pa.RecordBatch, buckets: int, only: np.ndarray | None, *, kee
             hashes[place + 1] = h  # the first one stands before the first token
             bucket = (hashes[1:] % _U(buckets)).astype(small)
             at = np.flatnonzero(wanted[bucket])
-            part = [hashes[1:][at], hashes[at], np.repeat(np.arange(b, b + len(n), dtype=np.int32), n + 1)[at], bucket[at]]
+            own, before = hashes[1:][at], hashes[at]
+            part = [_pair(own, before), np.repeat(np.arange(b, b + len(n), dtype=np.int32), n + 1)[at], bucket[at]]
             if keep_words:
                 start, length = np.zeros((2, len(hashes) - 1), np.int64)
                 start[place], length[place] = words.start, words.length
-                part += [start[at] + from_byte, length[at], words.data]
+                part += [own, before, start[at] + from_byte, length[at], words.data]
                 from_byte += len(words.data)
             parts.append(part)
             del words, h, place, hashes, bucket, at
-        yield a, np.concatenate(sizes), _Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), *[None] * (0 if keep_words else 3))
+        yield a, np.concatenate(sizes), _Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), *[None] * (0 if keep_words else 5))
 
 
 def _pair(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -344,6 +358,26 @@ def _heads(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them all."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of ``_narrow``."""
+    return np.frombuffer(packed, f"u{len(packed) // n}" if n else np.uint8)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in order, a place of each, and which one each value is."""
+    order = np.argsort(values)
+    head = _heads(values[order])
+    of = np.empty(len(values), np.int64)
+    of[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(values))))
+    first = order[head]
+    return values[first], first, of
+
+
 def _cut(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -357,21 +391,23 @@ def vocabulary_of(docs: DataFrame, buckets: int, only: np.ndarray | None = None)
     too, with a count of 0.
     """
 
+    room = _U(64 - buckets.bit_length())
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = ~np.array(batch["held_out"].to_pylist(), bool)
             for a, _, block in _blocks(batch, buckets, only, keep_words=True):
-                if not len(block.hashes):
+                if not len(block.pairs):
                     continue
-                pairs = _pair(block.hashes, block.before)
-                order = np.argsort(pairs)
-                head = _heads(pairs[order])
-                n = np.add.reduceat(train[block.doc + a][order], head, dtype=np.int64)
+                order = np.argsort(block.pairs)
+                head = _heads(block.pairs[order])
+                learned = np.append(0, np.cumsum(train[a:][block.doc][order]))
+                n = np.diff(learned[np.append(head, len(order))])
                 first = order[head]
-                del pairs, order, head
+                del order, head, learned
                 h = block.hashes[first]
-                order = np.argsort(h)
-                order = order[np.argsort(block.bucket[first[order]], kind="stable")]
+                # by bucket, then by as many bits of the hash as there is room for; a word that others break up is sent in parts
+                order = np.argsort(block.bucket[first].astype(np.uint64) << room | h >> (_U(64) - room))
                 first, n, h = first[order], n[order], h[order]
                 new = _heads(h)
                 bucket, starts, length = block.bucket[first], block.start[first[new]], block.length[first[new]]
@@ -381,30 +417,34 @@ def vocabulary_of(docs: DataFrame, buckets: int, only: np.ndarray | None = None)
                 text[ends - 1] = ord("\n")
                 cuts, word_cuts = _heads(bucket), _heads(bucket[new])
                 there = bucket[cuts].astype(np.int64)
-                pairs_of = np.diff(np.append(new, len(h))).astype(np.uint32)
+                pairs_of = np.diff(np.append(new, len(h)))
                 cuts, word_cuts = np.append(cuts, len(h)), np.append(word_cuts, len(new))
                 text_cuts = np.append(0, ends)[word_cuts].tolist()
                 columns = [
                     _cut(h[new], word_cuts),
                     [text[x : y - 1].tobytes() for x, y in zip(text_cuts, text_cuts[1:], strict=False)],
-                    _cut(pairs_of, word_cuts),
+                    _cut(_narrow(pairs_of), word_cuts),
                     _cut(block.before[first], cuts),
-                    _cut(n.astype(np.uint32), cuts),
+                    _cut(_narrow(n), cuts),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "hashes", "words", "pairs", "kind", "n"])
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         columns = {name: group[name].to_pylist() for name in ("hashes", "words", "pairs", "kind", "n")}
-        h = [np.frombuffer(x, np.uint64) for x in columns["hashes"]]
+        h, kinds = ([np.frombuffer(x, np.uint64) for x in columns[c]] for c in ("hashes", "kind"))
         text, starts, length = _lines(b"\n".join(columns["words"]))
-        hashes, first, of = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-        word = np.repeat(of, np.concatenate([np.frombuffer(x, np.uint32) for x in columns["pairs"]]))
-        contexts, kind = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in columns["kind"]]), return_inverse=True)
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in columns["n"]])
-        code, of_pair = np.unique(word * len(contexts) + kind, return_inverse=True)
-        total = np.bincount(of_pair, n, len(code)).astype(np.int64)
-        counts = np.bincount(code // len(contexts), total, len(hashes)).astype(np.int64)
-        values = [hashes.tobytes(), gather(text, starts[first], length[first] + 1)[:-1].tobytes(), counts.tobytes(), (code // len(contexts)).astype(np.int32).tobytes(), (code % len(contexts)).astype(np.int32).tobytes(), total.astype(np.uint32).tobytes(), contexts.tobytes()]
+        hashes, first, of = _distinct(np.concatenate(h))
+        word = np.repeat(of, np.concatenate([_wide(x, len(y)) for x, y in zip(columns["pairs"], h, strict=True)]))
+        contexts, _, kind = _distinct(np.concatenate(kinds))
+        n = np.concatenate([_wide(x, len(y)) for x, y in zip(columns["n"], kinds, strict=True)])
+        code = word * len(contexts) + kind
+        order = np.argsort(code)
+        code = code[order]
+        head = _heads(code)
+        total, code = np.add.reduceat(n[order], head, dtype=np.int64), code[head]
+        word, kind = np.divmod(code, len(contexts))
+        counts = np.bincount(word, total, len(hashes)).astype(np.int64)
+        values = [hashes.tobytes(), gather(text, starts[first], length[first] + 1)[:-1].tobytes(), counts.tobytes(), word.astype(np.int32).tobytes(), kind.astype(np.int32).tobytes(), total.astype(np.uint32).tobytes(), contexts.tobytes()]
         return pa.table([pa.array([key[0].as_py()]), *(pa.array([v], pa.binary()) for v in values)], names=["bucket", "hashes", "words", "counts", "word", "kind", "n", "contexts"])
 
     sent = docs.mapInArrow(spread, "bucket long, hashes binary, words binary, pairs binary, kind binary, n binary")
@@ -423,6 +463,12 @@ class _Totals:
     d0: float
 
 
+def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``np.logaddexp`` by functions that numpy works out for several numbers at once; not both may be -inf."""
+    top = np.maximum(a, b)
+    return top + np.log1p(np.exp(np.minimum(a, b) - top))
+
+
 def discount(once: float, twice: float) -> float:
     """The discount under which so many dishes have one and two customers, kept away from 0 and 1."""
     return min(0.95, max(0.05, once / max(1.0, once + 2 * twice)))
@@ -433,7 +479,8 @@ _KINDS = {"hashes": np.uint64, "counts": np.int64, "word": np.int32, "kind": np.
 
 def _numbers(row: dict) -> dict:
     found = row | {name: np.frombuffer(row[name], kind) for name, kind in _KINDS.items() if row.get(name) is not None}
-    found["n"] = found["n"].astype(np.int64)
+    if "n" in found:
+        found["n"] = found["n"].astype(np.int64)
     if "spelled" in found:
         found["spelled"] = found["spelled"].reshape(-1, SAMPLES).astype(np.float64)
     return found
@@ -511,15 +558,15 @@ def _by_context(rows: DataFrame, groups: int, sums_of, *, back: bool) -> DataFra
     return rows.mapInArrow(run, _ASKED)
 
 
-def _added(sent: DataFrame, *, answers: bool) -> DataFrame:
-    """Sums by context: ``answers`` to the buckets that asked, in the order in which they asked, or a row for each group of contexts."""
+def _added(sent: DataFrame, n_sums: int, *, answers: bool) -> DataFrame:
+    """``n_sums`` sums by context, 0 where no bucket adds to one: ``answers`` to the buckets that asked, in the order in which they asked, or a row for each group of contexts."""
 
     def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
         contexts, of = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = []
-        for j in range(max(len(r["sums"]) for r in rows)):
+        for j in range(n_sums):
             given = [np.frombuffer(r["sums"][j], np.uint32) if j < len(r["sums"]) else np.zeros(len(h), np.uint32) for r, h in zip(rows, hashes, strict=True)]
             sums.append(np.bincount(of, np.concatenate(given), len(contexts)).astype(np.uint32))
         if not answers:
@@ -543,14 +590,14 @@ def contexts_of(words: DataFrame, groups: int) -> DataFrame:
     def sums(row: dict) -> list[np.ndarray]:
         return [np.bincount(row["kind"], x, len(row["contexts"])) for x in (row["n"], row["n"] == 1)]
 
-    return _added(_by_context(words.select("bucket", "kind", "n", "contexts"), groups, sums, back=False), answers=False)
+    return _added(_by_context(words.select("bucket", "kind", "n", "contexts"), groups, sums, back=False), 2, answers=False)
 
 
 def _sweep(state: DataFrame, contexts: DataFrame, total: _Totals, sweep: int, seed: int, groups: int) -> DataFrame:
     """Seat every bucket's words once more, given what all buckets had after the sweep before."""
     sample = max(0, sweep - (SWEEPS - SAMPLES))
-    asked = _by_context(state.select("bucket", "kind", "n", "contexts", "t1"), groups, lambda row: [np.bincount(row["kind"], row["t1"], len(row["contexts"]))], back=True)
-    tables = _added(asked.unionByName(contexts.withColumn("sums", F.slice("sums", 2, 1))), answers=True)
+    asked = _by_context(state.select("bucket", "kind", "contexts", "t1"), groups, lambda row: [np.bincount(row["kind"], row["t1"], len(row["contexts"]))], back=True)
+    tables = _added(asked.unionByName(contexts.withColumn("sums", F.slice("sums", 2, 1))), 1, answers=True)
 
     def sit(key: tuple[pa.Scalar, ...], group: pa.Table, answers: pa.Table) -> pa.Table:
         given = group.to_pylist()[0]
@@ -578,10 +625,10 @@ def _totals(state: DataFrame) -> _Totals:
 
 def word_model(words: DataFrame, contexts: DataFrame, seed: int, groups: int) -> tuple[DataFrame, list[_Totals]]:
     """The seating of all buckets after the last sweep, with the kept ones, and the totals before each sweep and after the last."""
-    state = materialise(_begin(words), "pitman-yor-seating")
+    state = materialise(_begin(words), "pitman-yor-seating", **ROWS_APART)
     totals = [_totals(state)]
     for sweep in range(SWEEPS):
-        new = materialise(_sweep(state, contexts, totals[-1], sweep, seed, groups), "pitman-yor-seating")
+        new = materialise(_sweep(state, contexts, totals[-1], sweep, seed, groups), "pitman-yor-seating", **ROWS_APART)
         discard(state)
         state = new
         totals.append(_totals(state))
@@ -595,15 +642,15 @@ def kept_contexts(contexts: DataFrame, state: DataFrame, groups: int) -> DataFra
         none = np.zeros(len(row["contexts"]))
         return [none, none, *(np.bincount(row["kind"], np.frombuffer(k["t1"], np.int32), len(none)) for k in row["kept"])]
 
-    seated = _by_context(state.select("bucket", "kind", "n", "contexts", "kept"), groups, tables, back=False)
-    return _added(contexts.unionByName(seated), answers=False)
+    seated = _by_context(state.select("bucket", "kind", "contexts", "kept"), groups, tables, back=False)
+    return _added(contexts.unionByName(seated), 2 + SAMPLES, answers=False)
 
 
 def _values(words: DataFrame, state: DataFrame, contexts: DataFrame, totals: list[_Totals], groups: int, only: np.ndarray) -> DataFrame:
-    """Of each bucket of ``only`` the log10 probability of each pair and the count of its word; ``contexts``: those of ``kept_contexts``."""
-    mine = F.col("bucket").isin(only.tolist())
-    asked = _by_context(words.filter(mine).select("bucket", "n", "contexts"), groups, lambda row: [], back=True)
-    answers = _added(asked.unionByName(contexts), answers=True)
+    """Of each bucket of ``only``, a range, the log10 probability of each pair and the count of its word; ``contexts``: those of ``kept_contexts``."""
+    mine = F.col("bucket").between(int(only[0]), int(only[-1]))
+    asked = _by_context(words.filter(mine).select("bucket", "contexts"), groups, lambda row: [], back=True)
+    answers = _added(asked.unionByName(contexts), 2 + SAMPLES, answers=True)
     right = answers.drop("hashes").unionByName(state.filter(mine).select("bucket", "kept"), allowMissingColumns=True)
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table, found: pa.Table) -> pa.Table:
@@ -619,10 +666,10 @@ def _values(words: DataFrame, state: DataFrame, contexts: DataFrame, totals: lis
             served = np.bincount(row["word"], t1, words)
             with np.errstate(divide="ignore"):  # no customers: the log is -inf and only the parent counts
                 seated_g, seated_own = np.log(served - at.d0 * t0), np.log(row["n"] - at.d1 * t1)
-            g = np.logaddexp(seated_g, np.log(S0 + at.d0 * after.dishes) + row["spelled"][:, j]) - np.log(S0 + after.served)
-            own = np.logaddexp(seated_own, np.log(S1 + at.d1 * (singles + more[j]))[kind] + g[row["word"]])
+            g = _log_add(seated_g, np.log(S0 + at.d0 * after.dishes) + row["spelled"][:, j]) - np.log(S0 + after.served)
+            own = _log_add(seated_own, np.log(S1 + at.d1 * (singles + more[j]))[kind] + g[row["word"]])
             own = own - all_of - np.log(SAMPLES)
-            p = np.logaddexp(p, own) if j else own
+            p = _log_add(p, own) if j else own
         pair = _pair(row["hashes"][row["word"]], row["contexts"][kind])
         order = np.argsort(pair)
         columns = [pair[order], (p[order] / np.log(10)).astype(np.float32), row["counts"][row["word"]][order].astype(np.uint32), np.empty(0)]
@@ -642,22 +689,21 @@ def score(docs: DataFrame, *, buckets: int | None = None, seed: int = 11) -> Dat
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
     buckets = buckets or max(8, groups_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PER_BUCKET))
-    counted = [materialise(vocabulary_of(docs, buckets, np.arange(r, buckets, COUNT_ROUNDS)), "pitman-yor-vocabulary") for r in range(min(COUNT_ROUNDS, buckets))]
+    counted = [materialise(vocabulary_of(docs, buckets, np.arange(r, buckets, COUNT_ROUNDS)), "pitman-yor-vocabulary", **PACKED) for r in range(min(COUNT_ROUNDS, buckets))]
     vocabulary = functools.reduce(DataFrame.unionAll, counted)
     spelled = spelled_words(vocabulary, letter_probs(vocabulary, seed))
     with large_rows(docs.sparkSession):
-        words = materialise(spelled, "pitman-yor-words")
+        words = materialise(spelled, "pitman-yor-words", **ROWS_APART)
         discard(*counted)
-        contexts = materialise(contexts_of(words, buckets), "pitman-yor-contexts")
+        contexts = materialise(contexts_of(words, buckets), "pitman-yor-contexts", **PACKED)
         state, totals = word_model(words, contexts, seed, buckets)
-        kept = materialise(kept_contexts(contexts, state, buckets), "pitman-yor-kept")
+        kept = materialise(kept_contexts(contexts, state, buckets), "pitman-yor-kept", **PACKED)
         discard(contexts)
     tokens, different = totals[0].tokens, totals[0].words
     parts = []
-    for r in range(min(ROUNDS, buckets)):
-        only = np.arange(r, buckets, ROUNDS)
+    for only in np.array_split(np.arange(buckets), min(ROUNDS, buckets)):
         with large_rows(docs.sparkSession):
-            values = materialise(_values(words, state, kept, totals, buckets, only), "pitman-yor-values")
+            values = materialise(_values(words, state, kept, totals, buckets, only), "pitman-yor-values", **PACKED)
         parts.append(_sums_of(docs, values, buckets, only))
         discard(values)
     discard(words, state, kept)
@@ -684,9 +730,8 @@ def _sums_of(docs: DataFrame, values: DataFrame, buckets: int, only: np.ndarray)
         for batch in batches:
             for a, n, tokens in _blocks(batch, buckets, only, keep_words=False):
                 size, n = len(n), n.astype(np.uint32)
-                pairs = _pair(tokens.hashes, tokens.before)
-                order = np.argsort(pairs)
-                pairs, doc = pairs[order], tokens.doc[order]
+                order = np.argsort(tokens.pairs)
+                pairs, doc = tokens.pairs[order], tokens.doc[order]
                 head = _heads(pairs)
                 pairs, bucket = pairs[head], tokens.bucket[order[head]]
                 by_bucket = np.argsort(bucket, kind="stable")
@@ -703,11 +748,11 @@ def _sums_of(docs: DataFrame, values: DataFrame, buckets: int, only: np.ndarray)
                     several = -(-times // 255)
                     runs_of = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
                     entry, times = np.repeat(entry, several), np.minimum(np.repeat(times, several) - 255 * runs_of, 255)
-                runs = np.bincount(entry >> 32, minlength=len(pairs)).astype(np.uint32)
+                runs = np.bincount(entry >> 32, minlength=len(pairs))
                 heads = _heads(bucket)
                 there, heads = bucket[heads], np.append(heads, len(bucket))
                 cuts = np.append(0, np.cumsum(runs, dtype=np.int64))[heads]
-                columns = [_cut(pairs, heads), _cut(runs, heads), _cut((entry & 0xFFFFFFFF).astype(np.uint16), cuts), _cut(times.astype(np.uint8), cuts)]
+                columns = [_cut(pairs, heads), _cut(_narrow(runs), heads), _cut((entry & 0xFFFFFFFF).astype(np.uint16), cuts), _cut(times.astype(np.uint8), cuts)]
                 ones = np.ones(len(there), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), pa.array(ones * block), pa.array(ones), *(pa.array(c, pa.binary()) for c in columns)], names=_SENT)
                 ids = batch["doc_id"].slice(a, size)
@@ -726,10 +771,10 @@ def _sums_of(docs: DataFrame, values: DataFrame, buckets: int, only: np.ndarray)
             l1, seen = np.log10(count + 1), (count > 0).astype(np.float64)
             for r in rows:
                 if r["kind"] == 1:
-                    at = np.searchsorted(keys, np.frombuffer(r["a"], np.uint64))
-                    runs = np.frombuffer(r["b"], np.uint32)
-                    doc, n = np.frombuffer(r["c"], np.uint16), np.frombuffer(r["d"], np.uint8)
-                    sums = [np.bincount(doc, np.repeat(x[at], runs) * n) for x in (lp, l1, seen)]
+                    asked = np.frombuffer(r["a"], np.uint64)
+                    at = np.repeat(np.searchsorted(keys, asked), _wide(r["b"], len(asked)))
+                    doc, n = np.frombuffer(r["c"], np.uint16).astype(np.int64), np.frombuffer(r["d"], np.uint8)
+                    sums = [np.bincount(doc, x[at] * n) for x in (lp, l1, seen)]
                     own = np.flatnonzero(np.bincount(doc)).astype(np.uint16)
                     out.append({"block": r["block"], "kind": 1, "a": own.tobytes(), "b": sums[0][own].astype(np.float32).tobytes(), "c": sums[1][own].tobytes(), "d": sums[2][own].astype(np.uint32).tobytes()})
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("kind", pa.int64()), *((c, pa.binary()) for c in "abcd")]))
@@ -746,7 +791,5 @@ def _sums_of(docs: DataFrame, values: DataFrame, buckets: int, only: np.ndarray)
         return pa.Table.from_pylist([{"block": head["block"], **{c: head[c] for c in "abcd"}, "sums": total.tobytes()}], schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in [*"abcd", "sums"])]))
 
     sent = docs.mapInArrow(spread, _SENT_SCHEMA).unionAll(values)
-    sums = materialise(sent.groupBy("bucket").applyInArrow(meet, "block long, kind long, a binary, b binary, c binary, d binary"), "pitman-yor-sums")
-    part = materialise(sums.groupBy("block").applyInArrow(gather_block, "block long, a binary, b binary, c binary, d binary, sums binary"), "pitman-yor-part")
-    discard(sums)
-    return part
+    sums = sent.groupBy("bucket").applyInArrow(meet, "block long, kind long, a binary, b binary, c binary, d binary")
+    return materialise(sums.groupBy("block").applyInArrow(gather_block, "block long, a binary, b binary, c binary, d binary, sums binary"), "pitman-yor-part")

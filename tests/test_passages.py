@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import quantities, scans, sentences
+from tidemark.plans import passages
 
 
 def test_sentences_keep_their_places(spark):
@@ -54,3 +55,10 @@ def test_tables_and_manifests(spark):
     states = {r.url: r.state for r in quantities.manifest_states(listed, stored, "url").collect()}
     assert states == {"a": "ok", "b": "changed", "c": "missing", None: "missing", "d": "unlisted", "e": "ok"}
     assert quantities.manifest_states(listed.limit(0), stored.limit(0), "url").count() == 0
+
+
+def test_manifest_of_pages_that_share_a_url(spark, tmp_path):
+    pages = [(1, "u", "a"), (2, "u", "b"), (3, "u", "c"), (5, "v", "d"), (6, None, None), (10, "u", "b")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted((r.url or "", r.state) for r in passages.manifest_states(spark, str(tmp_path)).collect())
+    assert found == [("", "changed"), ("u", "changed"), ("u", "missing"), ("u", "missing"), ("u", "ok"), ("v", "unlisted")]

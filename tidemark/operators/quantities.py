@@ -66,11 +66,14 @@ def markdown_tables(rows: DataFrame, table_key: str, order: list[str], columns:
     return lines.select(table_key, F.size("lines").cast("long").alias("n_rows"), F.concat_ws("\n", F.concat(head, F.col("lines.line"))).alias("markdown"))
 
 
-def manifest_states(manifest: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """(key, state) of ``sha256`` columns: ok, changed, missing from the store, or unlisted in the manifest.
+def manifest_states(manifest: DataFrame, stored: DataFrame, key: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns of ``also``, state) of ``sha256`` columns: ok, changed, missing from the store, or unlisted in the manifest.
 
-    Null keys match nothing: they are missing or unlisted.
+    A key should name one row on each side, as rows that repeat one meet each other; what is in ``also`` goes along, as
+    the manifest has it or else the store. Null keys match nothing: they are missing or unlisted.
     """
-    a, b = manifest.select(F.col(key).alias("_a"), F.col("sha256").alias("_said"), F.lit(True).alias("_listed")), stored.select(F.col(key).alias("_b"), F.col("sha256").alias("_is"), F.lit(True).alias("_stored"))
-    state = F.when(F.col("_stored").isNull(), "missing").when(F.col("_listed").isNull(), "unlisted").when(F.col("_said").eqNullSafe(F.col("_is")), "ok").otherwise("changed")
-    return a.join(b, F.col("_a") == F.col("_b"), "full").select(F.coalesce("_a", "_b").alias(key), state.alias("state"))
+    own = lambda side: F.struct(*also, "sha256").alias(side)
+    a, b = manifest.select(F.col(key).alias("_a"), own("_said")), stored.select(F.col(key).alias("_b"), own("_is"))
+    state = F.when(F.col("_is").isNull(), "missing").when(F.col("_said").isNull(), "unlisted").when(F.col("_said.sha256").eqNullSafe(F.col("_is.sha256")), "ok").otherwise("changed")
+    kept = [F.when(F.col("_said").isNull(), F.col(f"_is.{c}")).otherwise(F.col(f"_said.{c}")).alias(c) for c in also]
+    return a.join(b, F.col("_a") == F.col("_b"), "full").select(F.coalesce("_a", "_b").alias(key), *kept, state.alias("state"))

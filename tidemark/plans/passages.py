@@ -136,8 +136,11 @@ def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select url, case when page_id % 7 = 3 then 'missing' when page_id % 11 = 5 then 'unlisted' when page_id % 5 = 1 then 'changed' else 'ok' end as state from pages""")
 def manifest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of the pages' digests, a fifth of them outdated, against a store that lacks some pages and has others besides."""
+    """A manifest of the pages' digests, a fifth of them outdated, against a store that lacks some pages and has others besides.
+
+    Pages are told apart by their ids, as some have the url of another one.
+    """
     pages, k = table(spark, sf_dir, "pages"), F.col("page_id")
-    listed = pages.filter((k % 11 != 5) | (k % 7 == 3)).select("url", F.sha2(F.when(k % 5 == 1, F.concat("html", F.lit(" "))).otherwise(F.col("html")), 256).alias("sha256"))
-    stored = pages.filter(k % 7 != 3).select("url", F.sha2("html", 256).alias("sha256"))
-    return quantities.manifest_states(listed, stored, "url")
+    listed = pages.filter((k % 11 != 5) | (k % 7 == 3)).select("page_id", "url", F.sha2(F.when(k % 5 == 1, F.concat(F.coalesce("html", F.lit("")), F.lit(" "))).otherwise(F.col("html")), 256).alias("sha256"))
+    stored = pages.filter(k % 7 != 3).select("page_id", "url", F.sha2("html", 256).alias("sha256"))
+    return quantities.manifest_states(listed, stored, "page_id", ("url",)).select("url", "state")

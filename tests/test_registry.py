@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import chunks, compliance, near, quality, registry, running, search
+from tidemark.plans import analytics
 
 
 def test_running_sum_equals_a_plain_one(spark):
@@ -80,3 +81,18 @@ def test_measures_without_rows(spark):
     same = spark.createDataFrame([(i, float(i % 3)) for i in range(30)], "k int, v double")
     floor = quality.noise_floor(same, same, "k", "v", iterations=20).first()
     assert floor.n == 30 and floor.delta == 0.0 and floor.half_width == 0.0
+
+
+def test_prerequisites_with_very_many_ways(spark, tmp_path):
+    keys = {2**i * 3**j: (i, j) for i in range(13) for j in range(13)}
+    spark.createDataFrame([(k,) for k in (0, *keys)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.node: (r.tier, r.prerequisites) for r in analytics.formula_tiers(spark, str(tmp_path)).collect()}
+    assert found == {k: (i + j, (i + 1) * (j + 1) - 1) for k, (i, j) in keys.items() if k > 1}
+
+
+def test_prerequisites_by_hand(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "d"), ("b", "c"), ("c", "d"), ("x", None), (None, "x")], "node string, input string")
+    assert {r.node: (r.tier, r.prerequisites) for r in registry.prerequisites(edges).collect()} == {"a": (3, 3), "b": (2, 2), "c": (1, 1)}
+    assert registry.prerequisites(edges.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="itself"):
+        registry.prerequisites(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "node string, input string"))

@@ -178,6 +178,25 @@ def evaluation_order(edges: DataFrame, nodes: DataFrame, given: DataFrame) -> Da
     return nodes.join(settled, "node", "left").select("node", "tier", F.coalesce("state", F.lit("BLOCKED")).alias("state"))
 
 
+def prerequisites(edges: DataFrame) -> DataFrame:
+    """(node, tier, prerequisites) of (node, input): steps of the longest way from a node, and how many different nodes it needs in all.
+
+    A round goes one step on from the different pairs that the round before has reached, so pairs are kept once a round
+    however many ways lead from one to the other. Nodes without inputs have no row; a cycle raises ``ValueError``.
+    """
+    need = materialise(edges.select("node", "input").filter("node is not null and input is not null").distinct(), "prerequisites-needs")
+    onward, at, tier = need.toDF("input", "next"), need, 1
+    found = []
+    while not at.isEmpty():
+        if not at.filter("node = input").isEmpty():
+            raise ValueError("a formula needs itself")
+        found.append(at.withColumn("tier", F.lit(tier).cast("long")))
+        at = materialise(at.join(onward, "input").select("node", F.col("next").alias("input")).distinct(), "prerequisites-pairs")
+        tier += 1
+    every = functools.reduce(DataFrame.unionAll, found or [at.withColumn("tier", F.lit(0).cast("long"))])
+    return every.groupBy("node").agg(F.max("tier").alias("tier"), F.count_distinct("input").alias("prerequisites"))
+
+
 def subgraph(edges: DataFrame, root: str, limit: int) -> DataFrame:
     """(src, dst, relation, node): the first ``limit`` edges at a node and who is at their other end."""
     own = edges.filter((F.col("src") == root) | (F.col("dst") == root)).distinct().orderBy("src", "dst", "relation").limit(limit)

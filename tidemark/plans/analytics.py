@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tidemark.operators import graph, measures, retrieval, texts
+from tidemark.operators import graph, measures, registry, retrieval, texts
 from tidemark.plans.catalogue import query
 from tidemark.sources.tables import table
 from tidemark.streaming import windows
@@ -256,14 +258,16 @@ def sibling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A formula needs those of half and of a third of its key.
-_NEED = "select p_partkey as node, p_partkey div 2 as input from {part} where p_partkey > 0 and p_partkey % 2 = 0 union all select p_partkey, p_partkey div 3 from {part} where p_partkey > 0 and p_partkey % 3 = 0"
 _WALK = """
-with recursive need(node, input) as ({need}),
+with recursive need(node, input) as (select p_partkey as node, p_partkey // 2 as input from part where p_partkey > 0 and p_partkey % 2 = 0 union all select p_partkey, p_partkey // 3 from part where p_partkey > 0 and p_partkey % 3 = 0),
 walk(node, input, tier) as (select node, input, 1 from need union all select w.node, n.input, w.tier + 1 from walk w join need n on w.input = n.node)
 select node, cast(max(tier) as bigint) as tier, count(distinct input) as prerequisites from walk group by node"""
 
 
-@query(_WALK.format(need=_NEED.format(part="part").replace(" div ", " // ")))
+@query(_WALK)
 def formula_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest way to an input and number of prerequisites of each formula, of which there is one a part."""
-    return spark.sql(_WALK.format(need=_NEED), part=table(spark, sf_dir, "part"))
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").filter(key > 0)
+    needs = (parts.filter(key % n == 0).select(key.alias("node"), F.expr(f"p_partkey div {n}").alias("input")) for n in (2, 3))
+    return registry.prerequisites(functools.reduce(DataFrame.unionAll, needs))

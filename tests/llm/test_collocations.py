@@ -140,3 +140,24 @@ def test_batches_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(collocations, "materialise", lambda df, to: seen.append(spark.conf.get(name)) or written(df, to))
     collocations.frequent(spark.createDataFrame([(1, "a b", "en", "", 1, 1)], SCHEMA))
     assert seen == [str(collocations.BATCH_BYTES)] * 2 and spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("counters", [1 << 12, 1 << 24, 1 << 34])
+def test_sketch_grows_with_the_texts(counters):
+    """No task holds the sketch of much text, two tasks' counts add up, and what passes is what is frequent, or more."""
+    assert collocations.counters_for(10**11) >= 10**10
+    rng = random.Random(3)
+    text = pa.array([" ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(400)) for _ in range(60)])
+    batches = [pa.RecordBatch.from_pydict({"text": part, "lang": pa.array(["en"] * len(part))}) for part in (text[:25], text[25:])]
+    tracemalloc.start()
+    sent = [b for batch in batches for b in collocations._sketch(counters, 9)(iter([batch]))]
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    found = []
+    for part in {b["part"][0].as_py() for b in sent}:
+        merged = list(collocations._merged(counters, 9)((pa.scalar(part),), iter([b for b in sent if b["part"][0].as_py() == part])))
+        found += [part * collocations.part_of(counters) + x for m in merged for x in np.cumsum(np.frombuffer(collocations.zstandard.decompress(m["passed"][0].as_py()), "<u4"), dtype=np.int64).tolist()]
+    counts = Counter()
+    for _, _, h in collocations.gram_hashes(collocations.pieces_of_texts(text), collocations._lang_hashes(pa.array(["en"] * len(text)))):
+        counts.update((h & np.uint64(counters - 1)).tolist())
+    assert sorted(found) == sorted(b for b, c in counts.items() if c >= 9) and found

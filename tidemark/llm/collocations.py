@@ -1,15 +1,17 @@
 """Phrases whose words stand together more often than their parts would suggest.
 
-Two passes over the texts. The first adds up a count-min sketch of all n-grams
-in each task; the sketches are merged by parts and never count too low. The
-second pass sends on only n-grams that the merged sketch, and those of their
-own parts, let through, and counts them exactly. Since no count is too low,
-nothing frequent is lost; what collides in the sketch is dropped by its exact
-count. Scores and subsumption are joins over the frequent n-grams.
-
-The sketch is as wide as the texts ask for, up to ``MOST_WIDTH`` counters a
-row. Beyond that it lets more n-grams through to the exact count, which costs
-time and changes no result.
+Two passes over the texts. The first makes a count-min sketch of all n-grams:
+each task sends the counters that it has raised, which are few beside all of
+them, and they are added up by parts; no counter is too low. The second pass
+sends on only n-grams that a bit table of the counters that reach the least
+count, and those of their own parts, let through, and counts them exactly.
+Nothing frequent is lost; what collides in the sketch or the table is dropped
+by its exact count. Scores and subsumption are joins over the frequent n-grams.
+
+The sketch grows with the texts, as no task holds more than a part of it. The
+table grows with the counters that pass, up to ``MOST_WIDTH`` bits a row.
+Beyond that it lets more n-grams through to the exact count, which costs time
+and changes no result.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ from tidemark.llm.words import Words, gather, mix, slices, word_hashes
 
 #: Words of a phrase at most, and of a candidate at least.
 LONGEST, SHORTEST = 4, 2
-#: Counters of a sketch row, at least and at most.
-LEAST_WIDTH, MOST_WIDTH = 1 << 16, 1 << 25
-#: Bytes of text for each counter of a row.
-BYTES_A_COUNTER = 40
+#: Bits of a row of the table of what the sketch lets through, at least and at most, and for each counter that passes.
+LEAST_WIDTH, MOST_WIDTH = 1 << 16, 1 << 29
+BITS_A_COUNTER = 16
 ROWS = 2
-#: Counters that are merged together.
-PART = 1 << 18
+#: Bytes of text for each counter of the sketch.
+BYTES_A_COUNTER = 8
+#: Counters that are added up together, at least, and parts at most.
+PART, MOST_PARTS = 1 << 22, 1 << 10
+#: N-grams that a task counts before it sends their counters.
+SENT = 1 << 23
 #: Bytes of a batch of texts; somewhat less than a run of ``slices``, so that a batch is one run.
 BATCH_BYTES = 3_800_000
 #: Words or phrases that are cut out at once.
@@ -112,13 +117,28 @@ def gram_hashes(words: Pieces, langs: np.ndarray) -> Iterator[tuple[int, np.ndar
         yield n, at, h
 
 
-def buckets(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counter of each row of the sketch."""
-    return (h & _U(width - 1)).astype(np.int32), (h >> _U(64 - width.bit_length() + 1)).astype(np.int32)
+def places(counters: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The bit of each counter in a row of the table."""
+    return ((mix(counters) if row else counters) & _U(width - 1)).astype(np.int64)
 
 
-def width_for(n_bytes: int) -> int:
-    return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << max(0, n_bytes // BYTES_A_COUNTER - 1).bit_length()))
+def _power_of_two(n: int) -> int:
+    return 1 << max(0, n - 1).bit_length()
+
+
+def counters_for(n_bytes: int) -> int:
+    """Counters of the sketch for so much text."""
+    return max(LEAST_WIDTH, _power_of_two(n_bytes // BYTES_A_COUNTER))
+
+
+def width_for(n_counters: int) -> int:
+    """Bits of a row of the table for so many counters that pass."""
+    return min(MOST_WIDTH, max(LEAST_WIDTH, _power_of_two(BITS_A_COUNTER * n_counters)))
+
+
+def part_of(counters: int) -> int:
+    """Counters of a part of the sketch."""
+    return min(counters, max(PART, counters // MOST_PARTS))
 
 
 def _lang_hashes(langs: pa.Array) -> np.ndarray:
@@ -141,53 +161,91 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Arr
             yield part, lang.slice(first, len(part))
 
 
-def count_up(row: np.ndarray, b: np.ndarray, least: int) -> None:
-    """Add one to counter ``b[i]`` of the row for each i; a counter stays at ``least``, so that it may be narrow."""
-    b = np.sort(b)
-    first = np.flatnonzero(np.diff(b, prepend=-1))
-    at = b[first]
-    row[at] = np.minimum(row[at] + np.diff(first, append=len(b)), least)
-
-
-def _sketch(width: int, least: int):
-    """One task's sketch, in parts; a counter that has reached ``least`` needs no more."""
-    narrow = np.min_scalar_type(least)
+def count_up(row: np.ndarray, b: np.ndarray, least: int, times: np.ndarray | None = None) -> None:
+    """Add one, or ``times[i]`` if each ``b[i]`` differs, to counter ``b[i]`` of the row for each i; a counter stays at ``least``, so that it may be narrow."""
+    if times is None:
+        b = np.sort(b)
+        first = np.flatnonzero(np.diff(b, prepend=-1))
+        b, times = b[first], np.diff(first, append=len(b))
+    row[b] = np.minimum(row[b].astype(np.int64) + times, least)
+
+
+def _raised(held: list[np.ndarray], counters: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The counters of n-grams by part: gaps between raised ones, byte by byte, then how often each was raised, up to ``least``."""
+    b, part, pack = np.concatenate(held), part_of(counters), zstandard.ZstdCompressor(level=1)
+    held.clear()
+    b.sort()
+    bounds = np.searchsorted(b, np.arange(0, counters, part, dtype=np.uint64).astype(b.dtype))
+    for k, (i, j) in enumerate(zip(bounds, [*bounds[1:], len(b)], strict=True)):
+        if i == j:
+            continue
+        own = (b[i:j] - b.dtype.type(k * part)).astype(np.int64)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        gaps = np.diff(own[first], prepend=0)
+        size = 2 if gaps.max() < 1 << 16 else 4
+        times = np.minimum(np.diff(first, append=j - i), least).astype(np.min_scalar_type(least))
+        raw = gaps.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes() + times.tobytes()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "n": pa.array([len(gaps)], pa.int32()), "size": pa.array([size], pa.int32()), "counts": pa.array([pack.compress(raw)], pa.binary())})
+
+
+def _sketch(counters: int, least: int):
+    """What a task adds to the sketch: the counters that its n-grams raise."""
+    kind = np.uint32 if counters <= 1 << 32 else np.uint64
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, any_text = np.zeros((ROWS, width), narrow), False
+        held: list[np.ndarray] = []
         for text, lang in _texts(batches):
-            any_text = True
             for _, _, h in gram_hashes(pieces_of_texts(text), _lang_hashes(lang)):
-                for row, b in zip(rows, buckets(h, width), strict=True):
-                    count_up(row, b, least)
-        if not any_text:
-            return
-        pack = zstandard.ZstdCompressor(level=1)
-        for i, row in enumerate(rows):
-            for part in range(0, width, PART):
-                yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "part": pa.array([part // PART], pa.int32()), "counts": pa.array([pack.compress(row[part : part + PART].tobytes())], pa.binary())})
+                held.append((h & _U(counters - 1)).astype(kind))
+            if sum(map(len, held)) >= SENT:
+                yield from _raised(held, counters, least)
+        if held:
+            yield from _raised(held, counters, least)
 
     return build
 
 
-def _merged(least: int):
-    """Sum the sketches' counters of one part; a bit says which reach ``least``."""
-    narrow = np.min_scalar_type(least)
+def _merged(counters: int, least: int):
+    """Add up the counters of one part; which of them reach ``least``, as gaps between them."""
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, unpack = None, zstandard.ZstdDecompressor()
+        narrow, unpack, pack = np.min_scalar_type(least), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        row = np.zeros(part_of(counters), narrow)
         for batch in batches:
-            for raw in batch.column("counts"):
-                counts = np.frombuffer(unpack.decompress(raw.as_py()), narrow)
-                total = counts.astype(np.int64) if total is None else total + counts
-        bits = np.packbits(total >= least, bitorder="little").tobytes()
-        yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+            for n, size, raw in zip(batch.column("n").to_pylist(), batch.column("size").to_pylist(), batch.column("counts"), strict=True):
+                raw = np.frombuffer(unpack.decompress(raw.as_py()), np.uint8)
+                gaps = np.ascontiguousarray(raw[: n * size].reshape(size, n).T).view(f"<u{size}").ravel()
+                count_up(row, np.cumsum(gaps, dtype=np.int64), least, raw[n * size :].view(narrow))
+        passed = np.flatnonzero(row >= least).astype("<u4")
+        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(passed)], pa.int64()), "passed": pa.array([pack.compress(np.diff(passed, prepend=np.uint32(0)).tobytes())], pa.binary())})
 
     return merge
 
 
-def _survivors(bits, width: int):
-    """Counts of the n-grams that the sketch lets through, by run of texts and n; a row without a phrase counts all words."""
+def _table(merged: DataFrame, counters: int) -> np.ndarray:
+    """The bits of the counters that pass, in ``ROWS`` rows; two bytes and the table's own size for each of them in the driver."""
+    width = width_for(merged.agg(F.sum("n")).first()[0] or 0)
+    bits, unpack = np.zeros((ROWS, width // 8), np.uint8), zstandard.ZstdDecompressor()
+    for r in merged.toLocalIterator():
+        at = np.cumsum(np.frombuffer(unpack.decompress(bytes(r["passed"])), "<u4"), dtype=np.uint64) + _U(r["part"] * part_of(counters))
+        for i in range(ROWS):
+            p = places(at, i, width)
+            np.bitwise_or.at(bits[i], p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
+    return bits
+
+
+def _let_through(table: np.ndarray, h: np.ndarray, counters: int, width: int) -> np.ndarray:
+    """The places in ``h`` that every row of the table lets through."""
+    at, b = np.arange(len(h)), h & _U(counters - 1)
+    for i, row in enumerate(table):
+        p = places(b[at], i, width)
+        at = at[(row[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
+    return at
+
+
+def _survivors(bits, width: int, counters: int | None = None):
+    """Counts of the n-grams that the table lets through, by run of texts and n; a row without a phrase counts all words."""
+    counters = counters or width
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -197,12 +255,12 @@ def _survivors(bits, width: int):
             codes = names.indices.to_numpy(zero_copy_only=False).astype(np.int32)
             passed = np.zeros(len(words.start) + 1, bool)
             for n, at, h in gram_hashes(words, _lang_hashes(lang)):
-                keep = np.ones(len(at), bool) if n == 1 else passed[at] & passed[at + 1]
-                for row, b in zip(table, buckets(h, width), strict=True):
-                    keep &= (row[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
+                if n > 1:
+                    within = np.flatnonzero(passed[at] & passed[at + 1])
+                    at, h = at[within], h[within]
+                at = at[_let_through(table, h, counters, width)]
                 passed = np.zeros(len(words.start) + 1, bool)
-                passed[at[keep]] = True
-                at = at[keep]
+                passed[at] = True
                 start, end = words.start[at], words.start[at + n - 1] + words.length[at + n - 1]
                 ends = np.concatenate([[0], np.cumsum(end - start)])
                 phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(cut(words.data, start, end - start))])
@@ -225,16 +283,13 @@ def frequent(docs: DataFrame, least: int = 30) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    width = width_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    # few sketches, each of many texts: their total size then doesn't grow with the number of files
-    sketches = texts.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(_sketch(width, least), "row int, part int, counts binary")
-    merged = sketches.groupBy("row", "part").applyInArrow(_merged(least), "row int, part int, bits binary")
-    bits = np.zeros((ROWS, width // 8), np.uint8)
+    counters = counters_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    sketches = texts.mapInArrow(_sketch(counters, least), "part int, n int, size int, counts binary")
+    merged = sketches.groupBy("part").applyInArrow(_merged(counters, least), "part int, n long, passed binary")
     with batches_of(spark, BATCH_BYTES):
         merged = materialise(merged, "collocations-sketch")
-    for r in merged.toLocalIterator():  # at most 8 MB
-        bits[r["row"], r["part"] * PART // 8 : r["part"] * PART // 8 + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    counted = texts.mapInArrow(_survivors(spark.sparkContext.broadcast(bits), width), "lang string, phrase string, c long")
+    bits = _table(merged, counters)
+    counted = texts.mapInArrow(_survivors(spark.sparkContext.broadcast(bits), 8 * bits.shape[1], counters), "lang string, phrase string, c long")
     exact = counted.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).filter((F.col("c") >= least) | F.col("phrase").isNull())
     with batches_of(spark, BATCH_BYTES):
         return materialise(exact, "collocations-frequent")

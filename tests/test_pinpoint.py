@@ -149,3 +149,12 @@ def test_bm25_writes_no_postings(spark, monkeypatch):
     pairs = retrieval.bm25(i, d, k=3).select("item_id", "doc_id")
     assert pairs.count() == 6 and max(sizes) <= 6
     assert pinpoint.cover_windows(pairs, i, d).count() == 6
+
+
+def test_pinpointing_writes_what_is_found_only(spark, monkeypatch):
+    sizes = []
+    for module in (retrieval, pinpoint):
+        monkeypatch.setattr(module, "materialise", lambda df, name, written=module.materialise: (lambda out: sizes.append(out.count()) or out)(written(df, name)))
+    i, d = frames(spark, [(1, "gold loan limit"), (2, "gold rate")], [(n, f"A gold loan limit holds. The {n} rate. " * (n % 3 + 1)) for n in range(300)])
+    assert pinpoint.pinpoint(retrieval.bm25(i, d, k=2).select("item_id", "doc_id"), i, d, least=0.1).count() > 0
+    assert len(sizes) == 4 and max(sizes) <= 4 * 6

@@ -88,3 +88,24 @@ def test_containments_equal_all_pairs(spark):
     inner, outer = [*words(30, 4), "b", "20a"], words(60, 9)
     found = dictionary.containments(spark.createDataFrame([(x,) for x in inner], "inner string"), spark.createDataFrame([(x,) for x in outer], "outer string"))
     assert sorted(map(tuple, found.collect())) == sorted((a, b) for a in inner for b in outer if a in b)
+
+
+def test_containments_of_names_that_begin_alike(spark):
+    """What is compared grows with the names' length, not with how many share any five characters."""
+    inner, outer = {f"RBI/2024-25/{i}" for i in range(0, 6000, 5)}, {f"RBI/2024-25/{i}" for i in range(6000)}
+    a, b = spark.createDataFrame([(x,) for x in inner], "inner string"), spark.createDataFrame([(x,) for x in outer], "outer string")
+    assert dictionary._like_inner(b, "outer", a).count() <= 4 * len(outer)
+    assert {tuple(r) for r in dictionary.containments(a, b).collect()} == {(y[:n], y) for y in outer for n in range(13, 17) if y[:n] in inner and n <= len(y)}
+    assert dictionary.containments(a.limit(0), b).count() == dictionary.containments(a, b.limit(0)).count() == 0
+
+
+def test_references_where_they_may_begin():
+    rng = random.Random(8)
+    bits = ["RBI/2024-25/12", "rbi/2020-21/7", "DOR.", "dor.a", "vendor.", "DBOD.No.12(a) dated", "FIDD.CO.Plan.No.4/5 January", "FMD.No.7 \n", "SEBI/", "CIR/x", "HO/(12)AB/c", "Master", "Direction", "-", "–", ": ", "A.1/2", "ſebi/x", "maſter", "İ", "₹", "\n", ".", "/", "No."]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) + rng.choice([" ", "", "  "]) for _ in range(rng.randrange(2, 14)))
+        low = None if dictionary._ODD.search(text) else text.lower()
+        for pattern, (beginnings, inside) in zip(dictionary.REFERENCES, dictionary.BEGINNINGS, strict=True):
+            form = re.compile(pattern, re.IGNORECASE)
+            found = [m.span() for m in dictionary._matches(form, beginnings, text, low)]
+            assert found == [m.span() for m in form.finditer(text)] and not (found and low is not None and inside not in low)

@@ -159,23 +159,51 @@ REFERENCES = (
     r"\b(SEBI\/[A-Za-z0-9_\-\/]+|CIR\/[A-Za-z0-9_\-\/]+|HO\/\([0-9]+\)[A-Za-z0-9_\-\/]+)\b",
     r"\b(?:Master\s+Direction|Master\s+Circular)\s*[-:–—]\s*([A-Za-z0-9\.\-\/\(\)]+)\b",
 )
+_OFFICES = tuple(f"{x}." for x in ("dbod", "rpcd", "dor", "fidd", "dnbr", "fmd", "dgba", "fmod", "idmd", "dpss", "fema"))
+#: How references of each form begin, in lower case, and what else they hold.
+BEGINNINGS = ((("rbi/",), ""), (_OFFICES, ""), (_OFFICES, ".no."), (("sebi/", "cir/", "ho/("), ""), (("master",), ""))
+#: Letters beyond ASCII that match ASCII ones whatever the case.
+_ODD = re.compile("[\u0130\u0131\u017f\u212a]")
+_SPACE = re.compile(r"\s+")
 #: Characters of a text that may hold references, and of a reference.
 SHORTEST_TEXT, SHORTEST_REFERENCE = 100, 5
 AROUND = 40
-#: Characters by which parts of identifiers find each other.
+#: Characters of a beginning by which identifiers find each other.
 GRAM = 5
 
 
+def _matches(form: re.Pattern, beginnings: tuple[str, ...], text: str, low: str | None) -> Iterator[re.Match]:
+    """What ``form.finditer`` finds, looked for only where the text begins like it; all over the text if ``low`` is None."""
+    if low is None:
+        yield from form.finditer(text)
+        return
+    starts = []
+    for begin in beginnings:
+        i = low.find(begin)
+        while i >= 0:
+            starts.append(i)
+            i = low.find(begin, i + 1)
+    end = 0
+    for i in sorted(starts):
+        if i >= end and (m := form.match(text, i)):
+            yield m
+            end = m.end()
+
+
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forms = [re.compile(p, re.IGNORECASE) for p in REFERENCES]
+    forms = [(re.compile(p, re.IGNORECASE), *how) for p, how in zip(REFERENCES, BEGINNINGS, strict=True)]
     for batch in batches:
         at, out = [], []
         for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-            seen = set()
-            for form in forms if text and len(text) >= SHORTEST_TEXT else ():
-                for m in form.finditer(text):
-                    name = re.sub(r"\s+", " ", m.group(1).strip().rstrip(".,;:)"))
-                    if len(name) < SHORTEST_REFERENCE or not {".", "/"} & set(name) or (name, m.start()) in seen:
+            if not text or len(text) < SHORTEST_TEXT:
+                continue
+            low, seen = None if _ODD.search(text) else text.lower(), set()
+            for form, beginnings, inside in forms:
+                if low is not None and inside not in low:
+                    continue
+                for m in _matches(form, beginnings, text, low):
+                    name = _SPACE.sub(" ", m.group(1).strip().rstrip(".,;:)"))
+                    if len(name) < SHORTEST_REFERENCE or not ("." in name or "/" in name) or (name, m.start()) in seen:
                         continue
                     seen.add((name, m.start()))
                     at.append(i)
@@ -192,22 +220,26 @@ def references(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, "text").mapInArrow(_references, f"`{key}` {kind}, reference string, char_start int, char_end int, context string")
 
 
-def _parts(text: str) -> Column:
-    """All parts of one to five characters of a short text."""
-    sizes = F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(text)))
-    return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n)))))
+def _like_inner(outer: DataFrame, text: str, inner: DataFrame) -> DataFrame:
+    """``outer`` with ``part``: the parts of its ``text`` that begin like a text of ``inner`` (inner) and are as long as one that begins so."""
+    begin = F.substring("inner", 1, GRAM)
+    begins = materialise(inner.groupBy(begin.alias("begin")).agg(F.collect_set(F.length("inner")).alias("lengths")), "containments-begins")
+    sizes = sorted(r[0] for r in begins.select(F.length("begin")).distinct().collect())  # at most GRAM of them
+    places = F.sequence(F.lit(1), F.length(text))
+    at = F.flatten(F.transform(places, lambda i: F.array(*(F.struct(i.alias("from"), F.substring(F.col(text), i, F.lit(n)).alias("begin")) for n in sizes)))) if sizes else F.expr("cast(array() as array<struct<from: int, begin: string>>)")
+    met = outer.filter(F.length(text) > 0).select("*", F.inline(at)).join(begins, "begin")
+    fits = F.filter("lengths", lambda n: F.col("from") + n <= F.length(text) + 1)
+    return met.withColumn("long", F.explode(fits)).select(*outer.columns, F.substring(F.col(text), F.col("from"), F.col("long")).alias("part"))
 
 
 def containments(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(inner, outer): the texts of column ``inner`` that stand inside texts of column ``outer`` (both short, distinct and not empty).
 
-    A text meets only those that hold its rarest part of five characters (or itself, if it is shorter), so a
-    beginning that all identifiers share pairs nothing.
+    Parts of a text that begin like an inner one are joined by the whole of them, so what is joined grows with the length
+    of the texts and not with how many begin alike.
     """
-    held = materialise(outer.select("outer", F.explode(_parts("outer")).alias("part")), "containments-parts")
-    own = inner.select("inner", F.explode(F.filter(_parts("inner"), lambda p: F.length(p) == F.least(F.lit(GRAM), F.length("inner")))).alias("part"))
-    rare = own.join(held.groupBy("part").agg(F.count("*").alias("n")), "part").groupBy("inner").agg(F.min(F.struct("n", "part")).alias("rare"))
-    return rare.select("inner", F.col("rare.part").alias("part")).join(held, "part").filter(F.contains("outer", "inner")).select("inner", "outer")
+    parts = _like_inner(outer.select("outer"), "outer", inner).distinct()
+    return inner.select("inner").join(parts.withColumnRenamed("part", "inner"), "inner").select("inner", "outer")
 
 
 def resolved(found: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -219,10 +251,13 @@ def resolved(found: DataFrame, manifest: DataFrame) -> DataFrame:
     names = manifest.filter("name <> ''").select("place", F.upper("name").alias("name"), "target")
     first = names.groupBy("name").agg(F.min("place").alias("place"), F.min_by("target", "place").alias("target"), F.max_by("target", "place").alias("exact"))
     first = materialise(first, "references-names")
-    asked = materialise(found.select(F.upper("reference").alias("clean")).distinct(), "references-asked")
-    inside = containments(first.select(F.col("name").alias("inner")), asked.select(F.col("clean").alias("outer"))).toDF("name", "clean")
-    around = containments(asked.select(F.col("clean").alias("inner")), first.select(F.col("name").alias("outer"))).select(F.col("outer").alias("name"), F.col("inner").alias("clean"))
-    partly = inside.unionAll(around).join(first, "name").groupBy("clean").agg(F.min_by("target", "place").alias("partly"))
+    found = materialise(found.withColumn("clean", F.upper("reference")), "references-found")
     exact = first.select(F.col("name").alias("clean"), "exact")
-    targets = asked.join(exact, "clean", "left").join(partly, "clean", "left").select("clean", F.coalesce("exact", "partly").alias("target"))
-    return found.withColumn("clean", F.upper("reference")).join(targets, "clean", "left").drop("clean")
+    asked = materialise(found.select("clean").distinct().join(exact, "clean", "left"), "references-asked")
+    # only references that no name equals need one that holds them or that they hold
+    vague = asked.filter("exact is null and clean <> ''").select("clean")
+    inside = _like_inner(vague, "clean", first.select(F.col("name").alias("inner"))).join(first.select(F.col("name").alias("part"), "place", "target"), "part").select("clean", "place", "target")
+    around = _like_inner(first.select("name", "place", "target"), "name", vague.select(F.col("clean").alias("inner"))).groupBy(F.col("part").alias("clean")).agg(F.min("place").alias("place"), F.min_by("target", "place").alias("target"))
+    partly = inside.unionAll(around.join(vague, "clean", "left_semi")).groupBy("clean").agg(F.min_by("target", "place").alias("partly"))
+    targets = asked.join(partly, "clean", "left").select("clean", F.coalesce("exact", "partly").alias("target"))
+    return found.join(targets, "clean", "left").drop("clean")

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import chunks, compliance, near, quality, registry, running, search
 from tidemark.plans import analytics
@@ -96,3 +97,16 @@ def test_prerequisites_by_hand(spark):
     assert registry.prerequisites(edges.limit(0)).count() == 0
     with pytest.raises(ValueError, match="itself"):
         registry.prerequisites(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "node string, input string"))
+
+
+def test_pairs_of_a_large_domain_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(registry, "PAIRED_TOGETHER", 10)
+    monkeypatch.setattr(registry, "PAIRS_A_TASK", 500)
+    rows = [(i, "hot" if i % 4 else f"d{i % 8}", i % 3) for i in range(120)] + [(None, "hot", 1), (500, None, 1), (501, "alone", 1)]
+    clauses = spark.createDataFrame(rows, "id long, domain string, x int")
+    found = registry.clause_pairs(clauses, "id", "domain")
+    want = [(d, a, x, b, y) for a, d, x in rows for b, e, y in rows if a is not None and b is not None and d is not None and d == e and a < b]
+    assert sorted(tuple(r) for r in found.select("domain", "id_a", "x_a", "id_b", "x_b").collect()) == sorted(want)
+    shares = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) > 8 and max(r["count"] for r in shares) < len(want) / 3
+    assert registry.clause_pairs(clauses.limit(0), "id", "domain").count() == 0

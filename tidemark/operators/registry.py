@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,30 @@ def compare_versions(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"added": F.size(added), "removed": F.size(removed), "retained": F.size(kept), "change": kind})
 
 
+#: Clauses of a domain that one task pairs with all of the domain, and pairs that a task looks at (about).
+PAIRED_TOGETHER, PAIRS_A_TASK = 2_000, 20_000_000
+
+
+def clause_pairs(clauses: DataFrame, key: str, domain: str) -> DataFrame:
+    """The pairs of each domain's clauses, the smaller key first: their columns with ``_a`` and ``_b`` and, once, the domain.
+
+    All pairs are made, so they grow with the square of a domain. A large domain is dealt to many tasks: some of its
+    clauses go to each, all of the others go along. Null keys and domains have no pairs.
+    """
+    kept = clauses.filter(F.col(key).isNotNull() & F.col(domain).isNotNull())
+    counts = materialise(kept.groupBy(domain).agg(F.count("*").alias("n")), "pairs-domains")
+    # clauses are few beside their pairs, so that Spark by itself would leave them all to a few tasks
+    pairs = counts.agg(F.sum(F.col("n") * F.col("n").cast("double"))).first()[0] or 0
+    tasks = max(2 * clauses.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS_A_TASK))
+    parts = counts.select(domain, F.ceil(F.col("n") / PAIRED_TOGETHER).cast("int").alias("_parts"))
+    dealt = kept.join(parts, domain)
+    sides = {x: [F.col(c).alias(f"{c}_{x}") for c in clauses.columns if c != domain] for x in "ab"}
+    a = dealt.select(domain, *sides["a"], F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"))
+    b = dealt.select(domain, *sides["b"], F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    a, b = (x.repartition(tasks, domain, "_part") for x in (a, b))
+    return a.join(b, [domain, "_part"]).filter(F.col(f"{key}_a") < F.col(f"{key}_b")).drop("_part")
+
+
 def clause_severity(pairs: DataFrame) -> DataFrame:
     """Add type and severity of the conflict of two clauses of one domain; pairs without one go.
 
@@ -46,7 +71,8 @@ def clause_severity(pairs: DataFrame) -> DataFrame:
     parameter (critical if either is a ceiling), and that before different dates
     of one regulator.
     """
-    clash = F.array_sort(F.array("modality_a", "modality_b")) == F.array(F.lit("mandatory"), F.lit("prohibited"))
+    must, must_not = (lambda m, x=x: F.col(f"modality_{m}") == x for x in ("mandatory", "prohibited"))  # plain comparisons, as there are very many pairs
+    clash = (must("a") & must_not("b")) | (must_not("a") & must("b"))
     differ = (F.col("parameter_a") == F.col("parameter_b")) & (F.abs(F.col("value_a") - F.col("value_b")) > 1e-5)
     ceiling = F.col("operator_a").isin("MAX", "<=") | F.col("operator_b").isin("MAX", "<=")
     overlap = (F.col("regulator_a") == F.col("regulator_b")) & (F.col("date_a") != F.col("date_b"))

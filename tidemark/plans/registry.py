@@ -37,9 +37,6 @@ def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.compare_versions(new.join(old, ["o_custkey", "i"])).select("o_orderkey", "added", "removed", "retained", "change")
 
 
-_SIDES = ["modality", "parameter", "value", "operator", "regulator", "date"]
-
-
 @query("""
 with c as (select p_partkey as id, p_brand || '/' || p_size as domain, ['mandatory', 'permitted', 'prohibited', 'permitted'][p_partkey % 4 + 1] as modality, case when p_partkey % 3 <> 0 then p_type end as parameter,
   p_retailprice as value, case when p_partkey % 5 = 0 then 'MAX' else 'MIN' end as operator, p_brand as regulator, p_partkey % 6 as date from part),
@@ -55,9 +52,8 @@ def clause_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("id"), F.concat_ws("/", "p_brand", "p_size").alias("domain"), modality.alias("modality"), F.when(i % 3 != 0, F.col("p_type")).alias("parameter"),
         F.col("p_retailprice").alias("value"), F.when(i % 5 == 0, "MAX").otherwise("MIN").alias("operator"), F.col("p_brand").alias("regulator"), (i % 6).alias("date"),
     )
-    a = rows.withColumnsRenamed({c: f"{c}_a" for c in _SIDES} | {"id": "a"})
-    b = rows.withColumnsRenamed({c: f"{c}_b" for c in _SIDES} | {"id": "b"})
-    return registry.clause_severity(a.join(b, "domain").filter("a < b")).select("a", "b", "conflict", "severity")
+    pairs = registry.clause_pairs(rows, "id", "domain")
+    return registry.clause_severity(pairs).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "conflict", "severity")
 
 
 @query("""
